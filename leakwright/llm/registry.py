@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leakwright.llm.chosen_path import near_duplicates
 from leakwright.llm.substring import drop_repeated_passages
 
 
@@ -18,8 +19,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(_table(spark, sf_dir, "documents"), window=50, digest=True)
 
 
+def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 2-word shingles have a similarity of 0.8 or more."""
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=2, ratio=(80, 100))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op10_chosen_path": op10_chosen_path,
         "op9_substring_dedup": op9_substring_dedup,
     }
 
