@@ -5,15 +5,59 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leakwright.llm.chosen_path import near_duplicates
+from leakwright.llm.dac import read_token_table, write_token_table
+from leakwright.llm.decontaminate import find_leaks
+from leakwright.llm.exact_dedup import exact_duplicates
+from leakwright.llm.line_dedup import drop_boilerplate
+from leakwright.llm.mixing import mix_report
 from leakwright.llm.substring import drop_repeated_passages
+from leakwright.sources.shared_tables import new_path
+
+#: The end id that the token file appends to each document.
+END_ID = 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, sources weighing 5, 2 and 1 in turn."""
+    return mix_report(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_repeats=3)
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts that are equal after lower-casing A-Z; the largest id stays."""
+    return exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold half of a benchmark item or more, with the item and its coverage."""
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of every document's ids, read back from the token file."""
+    path = new_path(spark, "tokens")
+    write_token_table(_table(spark, sf_dir, "documents"), path, tokenizer_path(), END_ID)
+    return read_token_table(spark, path)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, and those dropped as boilerplate of its source."""
+    kept = drop_boilerplate(_table(spark, sf_dir, "documents"), site="source", max_ratio=0.05, min_pages=3)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of every document after repeated 50-word passages are removed."""
     return drop_repeated_passages(_table(spark, sf_dir, "documents"), window=50, digest=True)
@@ -27,6 +71,11 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_chosen_path": op10_chosen_path,
+        "op3_mixing_weights": op3_mixing_weights,
+        "op4_exact_dedup": op4_exact_dedup,
+        "op5_decontamination": op5_decontamination,
+        "op7_token_file": op7_token_file,
+        "op8_line_dedup": op8_line_dedup,
         "op9_substring_dedup": op9_substring_dedup,
     }
 

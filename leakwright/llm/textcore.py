@@ -88,11 +88,11 @@ FIRST, SECOND = Family(11), Family(23)
 class Words:
     """The words of consecutive texts: where each lies, and how many each text has."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = _SEPARATOR):
         self.data = _LOWER[data] if lower else data
         self.offsets = offsets
         solid = np.ones(len(data) + 1, dtype=bool)
-        solid[:-1] = ~_SEPARATOR[data]
+        solid[:-1] = ~breaks[data]
         solid[-1] = False
         inner = offsets[1:-1]
         first = solid[:-1].copy()
