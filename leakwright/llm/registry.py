@@ -13,7 +13,10 @@ from leakwright.llm.decontaminate import find_leaks
 from leakwright.llm.exact_dedup import exact_duplicates
 from leakwright.llm.line_dedup import drop_boilerplate
 from leakwright.llm.mixing import mix_report
+from leakwright.llm.preference import paired_by_id, preference_records
+from leakwright.llm.quality import quality_scores
 from leakwright.llm.substring import drop_repeated_passages
+from leakwright.llm.url_rules import filter_urls
 from leakwright.sources.shared_tables import new_path
 
 #: The end id that the token file appends to each document.
@@ -23,6 +26,15 @@ END_ID = 2
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+#: The fixed rules of the url query: verdict, host with its subdomains, beginning of the path.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -30,6 +42,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learned from labels that are not held out."""
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url: of the longest fixed rule that fits, or else of the mined rules."""
+    return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, sources weighing 5, 2 and 1 in turn."""
     return mix_report(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), max_repeats=3)
@@ -45,6 +67,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the prompt and completions of every pair of conversations, and the characters trained on."""
+    turns = _table(spark, sf_dir, "conversations")
+    records = preference_records(turns, paired_by_id(turns))
+    digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
+    trained = lambda c: F.aggregate(f"{c}_spans", F.lit(0), lambda n, s: n + s["end"] - s["begin"]).cast("long").alias(f"{c}_trained")
+    return records.select("pair_id", "chosen_id", "rejected_id", "prefix_turns", digest("prompt"), digest("chosen"), digest("rejected"), trained("chosen"), trained("rejected"))
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start, length and checksum of every document's ids, read back from the token file."""
     path = new_path(spark, "tokens")
@@ -71,9 +102,12 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_chosen_path": op10_chosen_path,
+        "op1_quality_classifier": op1_quality_classifier,
+        "op2_url_filters": op2_url_filters,
         "op3_mixing_weights": op3_mixing_weights,
         "op4_exact_dedup": op4_exact_dedup,
         "op5_decontamination": op5_decontamination,
+        "op6_preference_formatting": op6_preference_formatting,
         "op7_token_file": op7_token_file,
         "op8_line_dedup": op8_line_dedup,
         "op9_substring_dedup": op9_substring_dedup,
