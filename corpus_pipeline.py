@@ -1,12 +1,64 @@
-"""The corpus pipeline: stages over the documents table (filled in below)."""
+"""The corpus pipeline: documents in, token ids out, through five operators.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  All
+but the last return the columns of ``documents``.  No stage can be said in SQL from end
+to end (a learned classifier, greedy tiling, a knapsack, a tokenizer), so there is no
+SQL for the whole.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from leakwright.llm.chosen_path import drop_near_duplicates
+from leakwright.llm.dac import read_token_table, write_token_table
+from leakwright.llm.decontaminate import drop_leaks
+from leakwright.llm.mixing import mix
+from leakwright.llm.quality import keep_quality
+from leakwright.llm.registry import END_ID, tokenizer_path
+from leakwright.sources.shared_tables import new_path, stash
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.3 or more; learned from the labels that are not held out."""
+    return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose 5-word shingles have a similarity of 0.8 or more."""
+    return drop_near_duplicates(docs, k=5, ratio=(80, 100))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without half of any benchmark item."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, sources weighing 5, 2 and 1 in turn."""
+    return mix(docs, weights=(5, 2, 1), max_repeats=3)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of the ids of every row, read back from the token file."""
+    path = new_path(spark, "tokens")
+    write_token_table(docs, path, tokenizer_path(), END_ID)
+    return read_token_table(spark, path)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("near-duplicates", near_dedup),
+    ("decontamination", decontaminate),
+    ("mixing", mix_sources),
+    ("token file", tokens),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the documents of ``sf_dir``, each written before the next reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -180,3 +180,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, ratio: tuple[int, int] = (80, 1
         discard(table)
     out = named.join(final, named["rep"] == final["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, ratio: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of its component.
+
+    The ids that go are broadcast if they are no more than ``broadcast_ids``, and joined otherwise.
+    """
+    gone = stash(near_duplicates(docs, k, ratio, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
+    return docs.join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, id_col, "left_anti").select(*docs.columns)
