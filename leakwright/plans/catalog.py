@@ -1,15 +1,494 @@
-"""All named queries of the core library and the SQL that gives the same rows."""
+"""All named queries of the core library and the SQL that gives the same rows.
+
+The benchmark tables stand in for a labelled dataset: documents are items, their text's
+md5 is the group and their language the label.  Predictions are derived from lineitem
+by hashes of its key, alike in both engines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from leakwright.functions.ordering import hash_number
+from leakwright.operators import calibrate, history, metrics, pairs, profile, resolve, sampling, split, stats
+from leakwright.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+LANGS = ["de", "en", "es", "fr", "it"]  # "it" does not occur: an absent class
+FLAGS = ["A", "N", "R"]
+COSINE_LEVELS = [0.30, 0.35, 0.40, 0.45, 0.50]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ------------------------------------------------------------------ inputs
+
+
+def meta(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5("text").alias("grp"), "lang", "source")
+
+
+_META = "meta AS (SELECT doc_id, md5(text) AS grp, lang, source FROM documents)"
+
+
+def predictions(spark: SparkSession, d: str) -> DataFrame:
+    """7 of 10 rows are right; confidence is in thousandths from 0 to 1."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("y_true"))
+    rows = rows.withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber")).withColumn("h", hash_number(F.concat_ws(":", "l_orderkey", "l_linenumber")))
+    said = F.element_at(F.array(*map(F.lit, FLAGS)), (F.floor(F.col("h") / 10) % 3 + 1).cast("int"))
+    rows = rows.withColumn("y_pred", F.when(F.col("h") % 10 < 7, F.col("y_true")).otherwise(said))
+    return rows.select("id", "y_true", "y_pred", (F.col("h") % 1001 / F.lit(1000.0)).alias("confidence"), (F.col("y_true") == F.col("y_pred")).alias("correct"))
+
+
+_PREDS = """raw AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS y_true, ('0x' || substr(md5(concat_ws(':', l_orderkey, l_linenumber)), 1, 8))::BIGINT AS h FROM lineitem),
+said AS (SELECT id, y_true, CASE WHEN h % 10 < 7 THEN y_true ELSE (['A', 'N', 'R'])[(h // 10) % 3 + 1] END AS y_pred, (h % 1001)::DOUBLE / 1000.0::DOUBLE AS confidence FROM raw),
+preds AS (SELECT *, y_true = y_pred AS correct FROM said)"""
+
+_PER_LABEL = """cells AS (SELECT y_true, y_pred, count(*) AS n FROM preds GROUP BY ALL),
+labels AS (SELECT y_true AS label FROM cells UNION SELECT y_pred FROM cells),
+per AS (SELECT label, coalesce((SELECT sum(n) FROM cells WHERE y_true = label AND y_pred = label), 0) AS tp,
+  coalesce((SELECT sum(n) FROM cells WHERE y_true <> label AND y_pred = label), 0) AS fp,
+  coalesce((SELECT sum(n) FROM cells WHERE y_true = label AND y_pred <> label), 0) AS fn FROM labels)"""
+
+_OVERALL = """overall AS (SELECT sum(tp + fn)::BIGINT AS n, sum(tp)::DOUBLE / sum(tp + fn) AS accuracy, avg(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) END) AS balanced_accuracy,
+  avg(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0)) AS macro_f1, sum(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) * (tp + fn)) / sum(tp + fn) AS weighted_f1 FROM per)"""
+
+
+def rounded(rows: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return rows.withColumns({c: F.round(c, places) for c in columns})
+
+
+# ------------------------------------------------------------------ profile
+
+
+@query(f"WITH {_META} SELECT lang, count(*) AS count, round(count(*)::DOUBLE / (SELECT count(*) FROM meta), 4) AS share FROM meta WHERE lang IS NOT NULL GROUP BY lang")
+def class_distribution(spark, d):
+    return profile.class_distribution(meta(spark, d), "lang")
+
+
+@query(f"""WITH {_META}, sizes AS (SELECT grp, count(doc_id) AS k FROM meta WHERE grp IS NOT NULL GROUP BY grp)
+SELECT (SELECT count(*) FROM meta) AS n_items, count(*) AS n_groups, count(*) FILTER (k > 1) AS groups_of_several, max(k) AS largest_group, (SELECT count(*) FROM meta) - count(*) AS redundant,
+round(((SELECT count(*) FROM meta) - count(*))::DOUBLE / (SELECT count(*) FROM meta), 4) AS redundant_share FROM sizes""")
+def group_redundancy(spark, d):
+    return profile.group_redundancy(meta(spark, d), "grp", "doc_id")
+
+
+@query(f"WITH {_META}, sizes AS (SELECT count(doc_id) AS k FROM meta WHERE grp IS NOT NULL GROUP BY grp) SELECT round(sum(k * (1 - pow(0.15, k - 1))) / sum(k), 4) AS expected_contamination FROM sizes")
+def expected_contamination(spark, d):
+    return profile.expected_contamination(meta(spark, d), "grp", "doc_id", 0.15)
+
+
+@query("WITH sizes AS (SELECT count(o_orderkey) AS size FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey) SELECT size, count(*) AS n_groups FROM sizes GROUP BY size")
+def group_size_hist(spark, d):
+    return profile.group_size_histogram(table(spark, d, "orders"), "o_custkey", "o_orderkey")
+
+
+@query("""WITH a AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)), b AS (SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))
+SELECT 'not_on_disk' AS "check", 'error' AS level, count(*) AS n, count(*) = 0 AS ok FROM a UNION ALL SELECT 'not_in_metadata', 'warning', count(*), count(*) = 0 FROM b
+UNION ALL SELECT 'required_columns', 'error', 0, true UNION ALL SELECT 'row_count', 'warning', (SELECT count(*) FROM documents), (SELECT count(*) FROM documents) = 1000""")
+def integrity_anti_joins(spark, d):
+    return profile.integrity(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id", ["doc_id", "lang"], 1000).select("check", "level", "n", "ok")
+
+
+# ------------------------------------------------------------------ pairs
+
+
+def exact_pairs(spark, d):
+    """Each copy of a text with the first document that has it: a chain of links, not all pairs."""
+    rows = meta(spark, d)
+    first = F.min("doc_id").over(Window.partitionBy("grp"))
+    return rows.withColumn("id_a", first).where("doc_id > id_a").select("id_a", F.col("doc_id").alias("id_b"), F.lit("exact").alias("method"))
+
+
+def cosine_found(spark, d):
+    """Vectors stand for documents of the same number."""
+    return pairs.cosine_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 0.30).select("id_a", "id_b", F.lit("embedding").alias("method"), "cosine")
+
+
+_EXACT = "exact AS (SELECT min(doc_id) OVER (PARTITION BY grp) AS id_a, doc_id AS id_b, 'exact' AS method FROM meta QUALIFY doc_id > min(doc_id) OVER (PARTITION BY grp))"
+_NEAR = """vecs AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+near AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.v, b.v) AS sim FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id
+  QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.vec_id) <= 5),
+close AS (SELECT least(src, dst) AS id_a, greatest(src, dst) AS id_b, max(sim) AS sim FROM near WHERE sim >= 0.3 GROUP BY ALL)"""
+_FOUND = f"""{_META}, {_EXACT}, {_NEAR}, found AS (SELECT id_a, id_b, method, NULL::DOUBLE AS cosine FROM exact UNION ALL SELECT id_a, id_b, 'embedding', round(sim, 5) FROM close),
+noted AS (SELECT f.*, a.source AS group_a, a.lang AS label_a, b.source AS group_b, b.lang AS label_b, coalesce(a.source = b.source, false) AS same_group, coalesce(a.lang = b.lang, false) AS same_label
+  FROM found f LEFT JOIN meta a ON a.doc_id = id_a LEFT JOIN meta b ON b.doc_id = id_b)"""
+
+
+def noted(spark, d) -> DataFrame:
+    found = exact_pairs(spark, d).unionByName(cosine_found(spark, d), allowMissingColumns=True)
+    return resolve.annotate_pairs(found, meta(spark, d), "doc_id", "source", "lang")
+
+
+@query(f"WITH {_META}, {_EXACT} SELECT * FROM exact")
+def exact_dup_pairs(spark, d):
+    return exact_pairs(spark, d)
+
+
+@query(f"WITH {_NEAR} SELECT id_a, id_b, round(sim, 5) AS cosine FROM close")
+def cosine_topk_pairs(spark, d):
+    return cosine_found(spark, d).drop("method")
+
+
+@query(f"""WITH {_NEAR}, levels AS (SELECT unnest([0.30, 0.35, 0.40, 0.45, 0.50])::DOUBLE AS threshold),
+hits AS (SELECT threshold, count(id_a) AS pairs, count(*) FILTER (a.label = b.label) AS declared FROM levels LEFT JOIN close ON sim >= threshold LEFT JOIN vecs a ON a.vec_id = id_a LEFT JOIN vecs b ON b.vec_id = id_b GROUP BY threshold)
+SELECT threshold, pairs, declared, pairs - declared AS undeclared, round(declared::DOUBLE / nullif(pairs, 0), 3) AS declared_rate FROM hits""")
+def cosine_threshold_sweep(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return pairs.threshold_sweep(vectors, "vec_id", "embedding", vectors, "label", COSINE_LEVELS)
+
+
+@query("""WITH prints AS (SELECT doc_id, ('0x' || substr(md5(text), 1, 8))::BIGINT & ('0x' || substr(md5(lang), 1, 8))::BIGINT & ('0x' || substr(md5(source), 1, 8))::BIGINT AS w FROM documents)
+SELECT a.doc_id AS id_a, b.doc_id AS id_b, bit_count(xor(a.w, b.w))::BIGINT AS hamming FROM prints a JOIN prints b ON a.doc_id < b.doc_id WHERE a.w > 0 AND b.w > 0 AND bit_count(xor(a.w, b.w)) <= 1""")
+def hamming_pairs(spark, d):
+    word = hash_number(F.col("text")).bitwiseAND(hash_number(F.col("lang"))).bitwiseAND(hash_number(F.col("source")))
+    prints = table(spark, d, "documents").select("doc_id", F.array(word).alias("words")).where(F.col("words")[0] > 0)
+    return pairs.hamming_pairs(prints, "doc_id", "words", words=1, max_distance=1)
+
+
+@query(f"WITH {_FOUND} SELECT * FROM noted")
+def annotate_pairs(spark, d):
+    return noted(spark, d)
+
+
+@query(f"WITH {_FOUND} SELECT method, count(*) FILTER (same_group) AS declared, count(*) FILTER (NOT same_group) AS undeclared FROM noted GROUP BY method")
+def pair_method_crosstab(spark, d):
+    return resolve.method_crosstab(noted(spark, d))
+
+
+@query(f"""WITH {_FOUND} SELECT count(*) AS pairs, count(*) FILTER (same_group) AS declared, count(*) FILTER (NOT same_group) AS undeclared, count(*) FILTER (NOT same_group AND NOT same_label) AS undeclared_label_mismatch,
+(SELECT count(DISTINCT i) FROM (SELECT unnest([id_a, id_b]) AS i FROM noted WHERE NOT same_group)) AS items_in_undeclared FROM noted""")
+def audit_summary(spark, d):
+    return resolve.audit_totals(noted(spark, d))
+
+
+@query(f"""WITH {_FOUND}, old AS (SELECT id_a, id_b, 'embedding' AS method, 9.0::DOUBLE AS cosine FROM exact UNION ALL SELECT id_a, id_b, 'phash', 1.0 FROM exact)
+SELECT id_a, id_b, method, cosine FROM old WHERE method NOT IN ('exact', 'embedding') UNION ALL SELECT DISTINCT id_a, id_b, method, cosine FROM found""")
+def merge_findings(spark, d):
+    exact = exact_pairs(spark, d)
+    old = exact.select("id_a", "id_b", F.lit("embedding").alias("method"), F.lit(9.0).alias("cosine")).unionByName(exact.select("id_a", "id_b", F.lit("phash").alias("method"), F.lit(1.0).alias("cosine")))
+    new = exact.unionByName(cosine_found(spark, d), allowMissingColumns=True)
+    return resolve.merge_findings(old, new, ["exact", "embedding"])
+
+
+_COMPONENTS = f"""{_FOUND}, edges AS (SELECT id_a AS x, id_b AS y FROM noted WHERE NOT same_group UNION SELECT id_b, id_a FROM noted WHERE NOT same_group),
+walk AS (SELECT x AS node, x AS seen FROM edges UNION SELECT node, y FROM walk JOIN edges ON x = seen), comps AS (SELECT node, min(seen) AS component FROM walk GROUP BY node)"""
+
+
+@query(f"WITH RECURSIVE {_COMPONENTS} SELECT node, component FROM comps")
+def dup_components(spark, d):
+    return resolve.duplicate_groups(noted(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_META}, {_EXACT}, own AS (SELECT doc_id, lang || ':' || (doc_id // 7) AS g FROM meta), pairs2 AS (SELECT a.g AS x, b.g AS y FROM exact JOIN own a ON a.doc_id = id_a JOIN own b ON b.doc_id = id_b),
+e AS (SELECT x, y FROM pairs2 UNION SELECT y, x FROM pairs2), walk AS (SELECT x AS node, x AS seen FROM e UNION SELECT node, y FROM walk JOIN e ON x = seen), roots AS (SELECT node, min(seen) AS root FROM walk GROUP BY node)
+SELECT doc_id, coalesce(root, g) AS effective_group FROM own LEFT JOIN roots ON node = g""")
+def effective_groups(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.concat_ws(":", "lang", F.floor(F.col("doc_id") / 7)).alias("g"))
+    clusters = exact_pairs(spark, d)
+    nodes = clusters.select(F.col("id_b").alias("node"), F.col("id_a").alias("component")).unionByName(clusters.select(F.col("id_a").alias("node"), F.col("id_a").alias("component")).distinct())
+    return resolve.effective_groups(rows, nodes, "doc_id", "g").select("doc_id", "effective_group")
+
+
+# ------------------------------------------------------------------ splits
+
+_SPLIT = f"""{_META}, n1 AS (SELECT lang, count(*) AS n FROM meta GROUP BY lang), n2 AS (SELECT *, floor(n * 0.3::DOUBLE)::BIGINT AS low, n * 0.3::DOUBLE AS x FROM n1),
+n3 AS (SELECT lang, n, low + (row_number() OVER (ORDER BY x - low DESC, lang) <= (SELECT round(sum(n) * 0.3::DOUBLE) - sum(low) FROM n2))::BIGINT AS held FROM n2),
+n4 AS (SELECT *, floor(held * 0.5::DOUBLE)::BIGINT AS low, held * 0.5::DOUBLE AS x FROM n3),
+quotas AS (SELECT lang, held, low + (row_number() OVER (ORDER BY x - low DESC, lang) <= (SELECT round(sum(held) * 0.5::DOUBLE) - sum(low) FROM n4))::BIGINT AS test FROM n4),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) - 1 AS r FROM meta),
+naive AS (SELECT r.doc_id, r.grp, r.lang, CASE WHEN r < test THEN 'test' WHEN r < held THEN 'val' ELSE 'train' END AS split FROM ranked r JOIN quotas q ON r.lang = q.lang)"""
+_GROUPED = f"""{_META}, gl AS (SELECT grp, min(lang) AS lang, count(*) AS n FROM meta GROUP BY grp),
+gc AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY lang ORDER BY md5('42:g:' || grp), grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n) OVER (PARTITION BY lang) AS total FROM gl),
+gs AS (SELECT grp, CASE WHEN (b + n / 2) / total <= 0.15 THEN 'test' WHEN (b + n / 2) / total <= 0.3 THEN 'val' ELSE 'train' END AS split FROM gc),
+grouped AS (SELECT m.doc_id, m.grp, m.lang, split FROM meta m JOIN gs USING (grp))"""
+
+
+def _contamination_sql(cte: str, name: str) -> str:
+    return f"""WITH {cte}, t AS (SELECT count(*) AS a, count(*) FILTER (grp IN (SELECT grp FROM {name} WHERE split <> 'test')) AS b FROM {name} WHERE split = 'test')
+SELECT a AS test_rows, b AS contaminated_rows, CASE WHEN a > 0 THEN round(b::DOUBLE / a, 4) ELSE 0 END AS share FROM t"""
+
+
+def naive(spark, d) -> DataFrame:
+    return split.naive_split(meta(spark, d), "doc_id", "lang").select("doc_id", "grp", "lang", "split")
+
+
+def grouped(spark, d) -> DataFrame:
+    return split.grouped_split(meta(spark, d), "doc_id", "grp", "lang").select("doc_id", "grp", "lang", "split")
+
+
+@query(f"WITH {_SPLIT} SELECT * FROM naive")
+def naive_split(spark, d):
+    return naive(spark, d)
+
+
+@query(f"WITH {_GROUPED} SELECT * FROM grouped")
+def grouped_split(spark, d):
+    return grouped(spark, d)
+
+
+@query(_contamination_sql(_SPLIT, "naive"))
+def contamination_naive(spark, d):
+    return split.contamination(naive(spark, d), "grp")
+
+
+@query(_contamination_sql(_GROUPED, "grouped"))
+def contamination_grouped(spark, d):
+    return split.contamination(grouped(spark, d), "grp")
+
+
+@query(f"""WITH {_SPLIT}, c AS (SELECT split, lang, count(*) AS rows FROM naive GROUP BY ALL), g AS (SELECT * FROM (SELECT DISTINCT split FROM naive), (SELECT DISTINCT lang FROM naive))
+SELECT g.split, g.lang, coalesce(rows, 0) AS rows, sum(coalesce(rows, 0)) OVER (PARTITION BY g.split)::BIGINT AS split_rows, round(coalesce(rows, 0)::DOUBLE / sum(coalesce(rows, 0)) OVER (PARTITION BY g.split), 3) AS share FROM g LEFT JOIN c ON g.split = c.split AND g.lang = c.lang""")
+def split_summary(spark, d):
+    return split.split_summary(naive(spark, d), "lang")
+
+
+@query(f"WITH {_SPLIT} SELECT grp, count(DISTINCT split) AS n_splits FROM naive GROUP BY grp HAVING count(DISTINCT split) > 1")
+def leakage_guard(spark, d):
+    return split.leaking_groups(naive(spark, d), "grp")
+
+
+@query("SELECT doc_id, lang, list_position(['de', 'en', 'es', 'fr', 'it'], lang) - 1 AS code FROM documents")
+def label_codes(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang", split.encode_label("lang", LANGS).alias("code"))
+
+
+@query("SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 20")
+def stratified_head(spark, d):
+    return sampling.head_per_class(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 20)
+
+
+# ------------------------------------------------------------------ weights and metrics
+
+_WEIGHTS = f"""{_META}, c AS (SELECT unnest(['de', 'en', 'es', 'fr', 'it']) AS label), w AS (SELECT label, count(doc_id) AS n FROM c LEFT JOIN meta ON lang = label GROUP BY label),
+raw AS (SELECT label, CASE WHEN n > 0 THEN (SELECT sum(n) FROM w)::DOUBLE / (5 * n) ELSE 1 END AS r FROM w), weights AS (SELECT label, r / (SELECT avg(r) FROM raw) AS weight FROM raw)"""
+
+
+@query(f"WITH {_WEIGHTS} SELECT label, round(weight, 6) AS weight FROM weights")
+def class_weights(spark, d):
+    return rounded(metrics.class_weights(meta(spark, d), "lang", LANGS), "weight")
+
+
+@query(f"WITH {_WEIGHTS} SELECT doc_id, lang, round(weight, 6) AS weight FROM meta LEFT JOIN weights ON label = lang")
+def row_weights(spark, d):
+    return rounded(metrics.row_weights(meta(spark, d).select("doc_id", "lang"), "lang", LANGS), "weight")
+
+
+@query(f"WITH {_PREDS}, {_PER_LABEL}, {_OVERALL} SELECT n, round(accuracy, 6) AS accuracy, round(balanced_accuracy, 6) AS balanced_accuracy, round(macro_f1, 6) AS macro_f1, round(weighted_f1, 6) AS weighted_f1 FROM overall")
+def overall_metrics(spark, d):
+    return rounded(metrics.overall_metrics(predictions(spark, d)), *metrics.METRICS)
+
+
+@query(f"""WITH {_PREDS}, {_PER_LABEL}, c AS (SELECT unnest(['A', 'N', 'R', 'X']) AS class)
+SELECT class, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 4) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 4) AS recall, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1, coalesce(tp + fn, 0)::BIGINT AS support FROM c LEFT JOIN per ON label = class""")
+def per_class_report(spark, d):
+    return metrics.per_class_report(predictions(spark, d), [*FLAGS, "X"])
+
+
+@query(f"""WITH {_PREDS}, c AS (SELECT unnest(['A', 'N', 'R', 'X']) AS k), g AS (SELECT a.k AS y_true, b.k AS y_pred FROM c a, c b), n AS (SELECT g.y_true, g.y_pred, count(p.id) AS n FROM g LEFT JOIN preds p ON p.y_true = g.y_true AND p.y_pred = g.y_pred GROUP BY ALL)
+SELECT y_true, y_pred, n, round(n::DOUBLE / greatest(sum(n) OVER (PARTITION BY y_true), 1), 4) AS share FROM n""")
+def confusion_matrix(spark, d):
+    return metrics.confusion_matrix(predictions(spark, d), [*FLAGS, "X"])
+
+
+@query(f"WITH {_PREDS} SELECT round(avg((y_pred = 'R')::INT), 6) AS recall, count(*) AS support FROM preds WHERE y_true = 'R'")
+def single_class_recall(spark, d):
+    return rounded(metrics.class_recall(predictions(spark, d), "R"), "recall")
+
+
+@query()
+def bootstrap_ci(spark, d):
+    return metrics.bootstrap_ci(predictions(spark, d), iterations=1000)
+
+
+@query()
+def ci_overlap(spark, d):
+    rows = predictions(spark, d)
+    return metrics.intervals_overlap(metrics.bootstrap_ci(rows.where("id % 2 = 0"), 200), metrics.bootstrap_ci(rows.where("id % 2 = 1"), 200))
+
+
+def _half_sql(half: int) -> str:
+    return f"(WITH {_PREDS.replace('FROM said)', f'FROM said WHERE id % 2 = {half})')}, {_PER_LABEL}, {_OVERALL} SELECT * FROM overall)"
+
+
+@query(f"""WITH a AS {_half_sql(0)}, b AS {_half_sql(1)}, m AS (SELECT unnest(['accuracy', 'balanced_accuracy', 'macro_f1']) AS metric, unnest([a.accuracy, a.balanced_accuracy, a.macro_f1]) AS x, unnest([b.accuracy, b.balanced_accuracy, b.macro_f1]) AS y FROM a, b)
+SELECT metric, round(x, 4) AS naive, round(y, 4) AS grouped, round(x - y, 4) AS delta FROM m""")
+def ab_compare(spark, d):
+    rows = predictions(spark, d)
+    return metrics.compare(metrics.overall_metrics(rows.where("id % 2 = 0")), metrics.overall_metrics(rows.where("id % 2 = 1")))
+
+
+# ------------------------------------------------------------------ calibration
+
+_BINS = f"""{_PREDS}, bins AS (SELECT k, k::DOUBLE * 0.1::DOUBLE AS lo, (k + 1)::DOUBLE * 0.1::DOUBLE AS hi FROM range(10) t(k)),
+filled AS (SELECT k, lo, hi, count(id) AS n, avg(confidence) AS mc, avg(correct::INT) AS acc FROM bins LEFT JOIN preds ON confidence > lo AND confidence <= hi GROUP BY ALL)"""
+
+
+@query(f"WITH {_BINS} SELECT round(lo, 3) AS bin_low, round(hi, 3) AS bin_high, n, round(mc, 6) AS mean_confidence, round(acc, 6) AS accuracy FROM filled")
+def reliability_bins(spark, d):
+    return rounded(calibrate.reliability_bins(predictions(spark, d)), "mean_confidence", "accuracy")
+
+
+@query(f"""WITH {_BINS}, w AS (SELECT count(*) AS n, avg(confidence) AS mc, avg(correct::INT) AS acc FROM preds)
+SELECT round((SELECT sum(n * abs(acc - mc)) FROM filled) / n, 6) AS ece, round(mc, 6) AS mean_confidence, round(acc, 6) AS accuracy, n, CASE WHEN mc - acc > 0.05 THEN 'overconfident' WHEN mc - acc < -0.05 THEN 'underconfident' ELSE 'calibrated' END AS verdict FROM w""")
+def ece(spark, d):
+    return rounded(calibrate.expected_calibration_error(predictions(spark, d)), "ece", "mean_confidence", "accuracy")
+
+
+@query(f"""WITH {_PREDS}, pool AS (SELECT *, row_number() OVER (PARTITION BY correct, y_true ORDER BY id) AS depth FROM preds QUALIFY row_number() OVER (PARTITION BY correct, y_true ORDER BY id) <= 8)
+SELECT id, y_true, y_pred, correct, depth, row_number() OVER (PARTITION BY correct ORDER BY depth, y_true) AS place FROM pool QUALIFY place <= 10""")
+def round_robin_examples(spark, d):
+    return calibrate.round_robin_examples(predictions(spark, d), "id", "y_true", "correct", 8, 10).drop("confidence")
+
+
+# ------------------------------------------------------------------ dose-response
+
+
+RATES = [0.0, 0.1, 0.25, 0.5, 1.0]
+
+
+def _swapped(spark, d) -> DataFrame:
+    rows = naive(spark, d)
+    return sampling.contaminate_sweep(rows.where("split = 'test'"), rows.where("split = 'train'"), "doc_id", "lang", RATES, draws=3)
+
+
+_SWEEP = f"""{_SPLIT}, grid AS (SELECT r::DOUBLE AS rate, k::INT AS draw FROM (SELECT unnest([0.0, 0.1, 0.25, 0.5, 1.0]) AS r), range(3) t(k) WHERE r > 0 OR k = 0),
+q AS (SELECT rate, draw, t.lang, least(round_even(n * rate, 0)::BIGINT, coalesce(m, 0)) AS swap, n FROM grid, (SELECT lang, count(*) AS n FROM naive WHERE split = 'test' GROUP BY lang) t LEFT JOIN (SELECT lang, count(*) AS m FROM naive WHERE split = 'train' GROUP BY lang) s ON s.lang = t.lang),
+qa AS (SELECT *, sum(swap) OVER (PARTITION BY rate, draw) / sum(n) OVER (PARTITION BY rate, draw) AS achieved FROM q),
+rk AS (SELECT s.*, draw AS k, row_number() OVER (PARTITION BY draw, split, lang ORDER BY md5('42:' || draw || ':' || doc_id), doc_id) - 1 AS r FROM naive s, (SELECT DISTINCT draw FROM grid)),
+sweep AS (SELECT doc_id, grp, rk.lang, split, rate, draw, achieved, split = 'train' AS from_donors FROM rk JOIN qa ON draw = k AND qa.lang = rk.lang WHERE (split = 'test' AND r >= swap) OR (split = 'train' AND r < swap))"""
+
+
+@query(f"WITH {_SWEEP} SELECT doc_id, lang, rate, draw, round(achieved, 6) AS achieved, from_donors FROM sweep")
+def contaminate_sample(spark, d):
+    return rounded(_swapped(spark, d).select("doc_id", "lang", "rate", "draw", "achieved", "from_donors"), "achieved")
+
+
+def _curve_points(spark, d) -> DataFrame:
+    """The share of rows with an even id stands for a score."""
+    return _swapped(spark, d).groupBy("rate", "draw").agg(F.avg((F.col("doc_id") % 2 == 0).cast("double")).alias("score"))
+
+
+_POINTS = f"{_SWEEP}, points AS (SELECT rate, draw, avg((doc_id % 2 = 0)::INT) AS score FROM sweep GROUP BY ALL), curve AS (SELECT rate, avg(score) AS mean, stddev_samp(score) AS std, count(score) AS count FROM points GROUP BY rate)"
+
+
+@query(f"WITH {_POINTS} SELECT rate, round(mean, 6) AS mean, round(std, 6) AS std, count FROM curve")
+def curve_rollup(spark, d):
+    return rounded(stats.curve_rollup(_curve_points(spark, d), "rate", "score"), "mean", "std")
+
+
+@query(f"WITH {_POINTS} SELECT round(regr_slope(score, rate) * 0.1, 6) AS slope_per_10pp, round(regr_intercept(score, rate), 6) AS intercept, round(CASE WHEN var_pop(score) > 0 THEN regr_r2(score, rate) END, 6) AS r2 FROM points")
+def dose_response_fit(spark, d):
+    return rounded(stats.fit_slope(_curve_points(spark, d), "rate", "score"), "slope_per_10pp", "intercept", "r2")
+
+
+@query(f"WITH {_POINTS} SELECT round(max(mean) FILTER (rate = 0), 6) AS baseline, round(arg_max(mean, rate), 6) AS at_max, round(arg_max(mean, rate) - max(mean) FILTER (rate = 0), 6) AS inflation FROM curve")
+def total_inflation(spark, d):
+    return rounded(stats.inflation(stats.curve_rollup(_curve_points(spark, d), "rate", "score"), "rate"), "baseline", "at_max", "inflation")
+
+
+@query()
+def weighted_draws(spark, d):
+    rows = meta(spark, d)
+    weights = metrics.class_weights(rows, "lang", LANGS).select(F.col("label").alias("lang"), "weight")
+    return sampling.weighted_draws(rows, "doc_id", "lang", weights, 5000)
+
+
+# ------------------------------------------------------------------ replication
+
+_RUNS = "runs AS (SELECT user_id, event_type, avg(value) AS value, min(event_id) AS seq FROM events GROUP BY ALL)"
+_GAPS = f"""{_RUNS}, g AS (SELECT user_id, max(value) FILTER (event_type = 'click') AS naive, max(value) FILTER (event_type = 'view') AS grouped FROM runs GROUP BY user_id), gaps AS (SELECT *, naive - grouped AS gap FROM g WHERE naive IS NOT NULL AND grouped IS NOT NULL)"""
+
+
+def runs(spark, d) -> DataFrame:
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("value"), F.min("event_id").alias("seq"))
+
+
+def gaps(spark, d) -> DataFrame:
+    found = stats.paired_gaps(runs(spark, d), ["user_id"], "event_type", "value", "click", "view", "seq")
+    return found.withColumnRenamed("click", "naive").withColumnRenamed("view", "grouped")
+
+
+@query(f"WITH {_GAPS} SELECT user_id, round(naive, 6) AS naive, round(grouped, 6) AS grouped, round(gap, 6) AS gap FROM gaps")
+def paired_gaps(spark, d):
+    return rounded(gaps(spark, d), "naive", "grouped", "gap")
+
+
+@query(f"""WITH {_GAPS}, m AS (SELECT user_id % 3 AS backbone, count(gap) AS n, avg(gap) AS mean, stddev_samp(gap) AS std FROM gaps GROUP BY ROLLUP (user_id % 3))
+SELECT backbone, n, round(mean, 6) AS mean, round(std, 6) AS std, round(mean - 1.96 * std / sqrt(n), 6) AS ci_low, round(mean + 1.96 * std / sqrt(n), 6) AS ci_high, round(mean / nullif(std, 0), 6) AS cohens_d, round(mean / nullif(std / sqrt(n), 0), 6) AS t FROM m""")
+def paired_test_moments(spark, d):
+    rows = gaps(spark, d).withColumn("backbone", F.col("user_id") % 3)
+    return rounded(stats.gap_moments(rows, ["backbone"]), "mean", "std", "ci_low", "ci_high", "cohens_d", "t")
+
+
+@query(f"""WITH {_GAPS}, r AS (SELECT round(gap, 1) AS gap FROM gaps WHERE round(gap, 1) <> 0), k AS (SELECT gap, rank() OVER (ORDER BY abs(gap)) + (count(*) OVER (PARTITION BY abs(gap)) - 1) / 2 AS rk, count(*) OVER (PARTITION BY abs(gap)) AS t FROM r)
+SELECT count(*) AS n, coalesce(sum(rk) FILTER (gap > 0), 0)::DOUBLE AS w_plus, coalesce(sum(rk) FILTER (gap < 0), 0)::DOUBLE AS w_minus, sum(t * t - 1)::DOUBLE AS tie_term, least(coalesce(sum(rk) FILTER (gap > 0), 0), coalesce(sum(rk) FILTER (gap < 0), 0))::DOUBLE AS w FROM k""")
+def wilcoxon_statistic(spark, d):
+    return stats.signed_ranks(gaps(spark, d).select(F.round("gap", 1).alias("gap")))
+
+
+@query()
+def paired_test(spark, d):
+    return stats.paired_test(gaps(spark, d))
+
+
+@query(f"WITH {_RUNS} SELECT event_type, round(avg(value), 4) AS value_mean, round(stddev_samp(value), 4) AS value_std, count(value) AS value_count FROM runs GROUP BY event_type")
+def replication_summary(spark, d):
+    return stats.replication_summary(runs(spark, d), ["event_type"], ["value"])
+
+
+@query("""WITH grid AS (SELECT u AS user_id, e AS event_type FROM range(200) t(u), (SELECT unnest(['click', 'view']) AS e)) SELECT user_id, event_type FROM grid WHERE NOT EXISTS (SELECT 1 FROM events v WHERE v.user_id = grid.user_id AND v.event_type = grid.event_type)""")
+def pending_runs(spark, d):
+    kinds = spark.createDataFrame([("click",), ("view",)], "event_type string")
+    grid = spark.range(200).select(F.col("id").alias("user_id")).join(F.broadcast(kinds))
+    return stats.pending_runs(grid, runs(spark, d), ["user_id", "event_type"])
+
+
+# ------------------------------------------------------------------ history
+
+_HISTORY = "hist AS (SELECT user_id % 5 AS run, event_id AS epoch, round(value, 1) AS v FROM events WHERE user_id < 40)"
+_SCAN = f"""{_HISTORY}, a AS (SELECT *, max(v) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY run ORDER BY epoch) AS k, max(v) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS best_so_far FROM hist),
+b AS (SELECT *, coalesce(v > before, true) AS improved FROM a), c AS (SELECT *, k - max(CASE WHEN improved THEN k END) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS epochs_since_best FROM b),
+scan AS (SELECT *, coalesce(max((epochs_since_best >= 4)::INT) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS ran FROM c)"""
+
+
+def _history(spark, d) -> DataFrame:
+    return table(spark, d, "events").where("user_id < 40").select((F.col("user_id") % 5).alias("run"), F.col("event_id").alias("epoch"), F.round("value", 1).alias("v"))
+
+
+@query(f"WITH {_SCAN} SELECT run, epoch, v, improved, best_so_far, epochs_since_best, ran FROM scan")
+def early_stop_scan(spark, d):
+    return history.early_stop_scan(_history(spark, d), ["run"], "epoch", "v", 4)
+
+
+@query(f"WITH {_SCAN} SELECT run, (SELECT min(epoch) FROM scan t WHERE t.run = s.run AND ran AND v = max(s.v)) AS best_epoch, max(v) AS best_value, max(epoch) AS stop_epoch FROM scan s WHERE ran GROUP BY run")
+def best_epoch(spark, d):
+    return history.best_epoch(_history(spark, d), ["run"], "epoch", "v", 4)
+
+
+@query("SELECT user_id, round(sum(value * (1 + user_id % 3)) / sum(1 + user_id % 3), 6) AS loss FROM events GROUP BY user_id")
+def epoch_loss(spark, d):
+    rows = table(spark, d, "events").withColumn("size", 1 + F.col("user_id") % 3)
+    return rounded(history.epoch_loss(rows, ["user_id"], "value", "size"), "loss")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
