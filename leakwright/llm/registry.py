@@ -13,6 +13,7 @@ from leakwright.llm.decontaminate import find_leaks
 from leakwright.llm.exact_dedup import exact_duplicates
 from leakwright.llm.line_dedup import drop_boilerplate
 from leakwright.llm.mixing import mix_report
+from leakwright.llm.oracles import SQL
 from leakwright.llm.preference import paired_by_id, preference_records
 from leakwright.llm.quality import quality_scores
 from leakwright.llm.substring import drop_repeated_passages
@@ -115,4 +116,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
