@@ -9,11 +9,13 @@ reaches the recall asked for at the threshold.  The depth grows with the logarit
 of the number of documents, so that documents without likeness rarely meet and
 nodes stay small.
 
-Equal sets are one class first, whatever their number.  Every document of a node
-is compared with the node's smallest document; then, in nodes that still hold
-documents of different components, every pair across components is compared.  A
-pair that is connected already cannot change the result and is not compared.  Each
-comparison counts the intersection of both full sets.
+Equal sets are one class first, whatever their number.  Then each document is
+compared with its *home*, the most central document that it meets most often; that
+connects nearly all of a large group of near copies by one comparison each.  The
+documents of a group that stay loose are compared with all of it, block by block, so
+that no row is made for a pair.  What else meets in a node and is not connected by
+then is compared pair by pair.  A pair that is connected already cannot change the
+result and is not compared.  Each comparison counts the intersection of both full sets.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with
 nothing; a text with fewer than k words is one shingle; rows with equal ids are one
@@ -37,8 +39,10 @@ from leakwright.sources.shared_tables import discard, stash
 
 #: Similarity that unrelated documents of one language reach, for the choice of the depth.
 BACKGROUND = 0.05
-#: In this many trees every document of a node is compared with its smallest before any pairs are.
-STAR_TREES = 4
+#: A document that meets its home in so many trees is compared with all of the home's cluster.
+HOME_TREES = 2
+#: Documents and shingles of a block; blocks are compared whole.
+BLOCK_ROWS, BLOCK_ITEMS = 128, 500_000
 
 
 def tree_shape(n_docs: int, threshold: float, recall: float = 1 - 1e-6) -> tuple[int, int]:
@@ -116,31 +120,105 @@ def _sets(k: int, lower: bool):
 _PAIR = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
-def _confirm(numerator: int, denominator: int):
+def _similar(both: np.ndarray, a: np.ndarray, b: np.ndarray, ratio: tuple[int, int]) -> np.ndarray:
+    return ratio[1] * both >= ratio[0] * (a + b - both)
+
+
+def _confirm(ratio: tuple[int, int]):
+    """Links among rows of two sets each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, dtype=bool)
             left, right = batch.column("left"), batch.column("right")
             for i in range(batch.num_rows):
                 a, b = left[i].values.to_numpy(), right[i].values.to_numpy()
-                if denominator * min(len(a), len(b)) < numerator * max(len(a), len(b)):
-                    continue
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                good[i] = denominator * both >= numerator * (len(a) + len(b) - both)
+                if ratio[1] * min(len(a), len(b)) >= ratio[0] * max(len(a), len(b)):
+                    good[i] = _similar(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), ratio)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], schema=_PAIR)
 
     return run
 
 
-def _links(docs: DataFrame, pairs: DataFrame, k: int, lower: bool, ratio: tuple[int, int]) -> DataFrame:
-    """Pairs whose full sets are similar enough, as a written table."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = stash(docs.join(wanted, "doc_id", "left_semi").distinct().mapInArrow(_sets(k, lower), "id long, items array<long>"), "sets")
+def block_links(left: list[np.ndarray], right: list[np.ndarray], ratio: tuple[int, int]) -> np.ndarray:
+    """Which sets of ``left`` are similar to which of ``right``: all intersections by products of incidence matrices."""
+    sizes_l, sizes_r = (np.array([len(x) for x in side], dtype=np.int64) for side in (left, right))
+    values, code = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    owner_l, owner_r = np.repeat(np.arange(len(left)), sizes_l), np.repeat(np.arange(len(right)), sizes_r)
+    code_l, code_r = code[: len(owner_l)], code[len(owner_l) :]
+    shared = np.zeros(len(values), dtype=bool)
+    shared[code_l] = True
+    shared &= np.bincount(code_r, minlength=len(values)) > 0
+    column = np.cumsum(shared) - 1
+    both = np.zeros((len(left), len(right)))
+    keep_l, keep_r = shared[code_l], shared[code_r]
+    col_l, row_l, col_r, row_r = column[code_l[keep_l]], owner_l[keep_l], column[code_r[keep_r]], owner_r[keep_r]
+    for at in range(0, int(shared.sum()), 4096):
+        one, two = np.zeros((len(left), 4096), dtype=np.float32), np.zeros((len(right), 4096), dtype=np.float32)
+        in_l, in_r = (col_l >= at) & (col_l < at + 4096), (col_r >= at) & (col_r < at + 4096)
+        one[row_l[in_l], col_l[in_l] - at] = 1
+        two[row_r[in_r], col_r[in_r] - at] = 1
+        both += one @ two.T
+    return _similar(np.rint(both).astype(np.int64), sizes_l[:, None], sizes_r[None, :], ratio)
+
+
+def _confirm_blocks(ratio: tuple[int, int]):
+    """Links between two blocks of sets; a link that only closes a circle among the blocks' own links is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mine, others in zip(batch.column("mine"), batch.column("others")):
+                (ids_l, left), (ids_r, right) = (([x["id"].as_py() for x in side], [x["items"].values.to_numpy() for x in side]) for side in (mine, others))
+                root: dict[int, int] = {}
+
+                def find(x: int) -> int:
+                    while root.setdefault(x, x) != x:
+                        root[x] = root[root[x]]
+                        x = root[x]
+                    return x
+
+                found = []
+                for i, j in np.argwhere(block_links(left, right, ratio)):
+                    a, b = find(ids_l[i]), find(ids_r[j])
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        found.append((ids_l[i], ids_r[j]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=_PAIR)
+
+    return run
+
+
+def _links(sets: DataFrame, pairs: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+    """Of pairs ``(a, b)`` those whose full sets are similar enough, as a written table."""
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("left")), "a")
     met = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("right")), "b").select("a", "b", "left", "right")
-    found = stash(met.mapInArrow(_confirm(*ratio), "src long, dst long").distinct(), "links")
-    discard(sets)
-    return found
+    return stash(met.mapInArrow(_confirm(ratio), "src long, dst long").distinct(), "links")
+
+
+def _blocks(rows: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """Documents of each cluster in blocks of about BLOCK_ROWS and BLOCK_ITEMS, with their sets."""
+    weighed = rows.join(sets, rows["rep"] == sets["id"]).select("cluster", "id", "items")
+    n = rows.join(sets.select("id", F.size("items").alias("n")), F.col("rep") == F.col("id")).groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_ITEMS)).alias("blocks"))
+    dealt = weighed.join(n, "cluster").select("cluster", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias(name), F.struct("id", "items").alias("x"))
+    return dealt.groupBy("cluster", name, "blocks").agg(F.collect_list("x").alias("xs"))
+
+
+def _cluster_links(clusters: DataFrame, sets: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+    """Links of the documents of each cluster outside its largest component, with any document of the cluster."""
+    loose = clusters.where("is_loose").select("cluster", "rep")
+    some = loose.select("cluster").distinct()
+    all_blocks = _blocks(clusters.join(some, "cluster", "left_semi").select("cluster", "rep"), sets, "block")
+    loose_blocks = _blocks(loose, sets, "loose")
+    counts = all_blocks.select("cluster", "blocks").distinct()
+    asked = loose_blocks.select("cluster", F.col("xs").alias("mine")).join(counts, "cluster").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = asked.select("cluster", "block", "mine").join(all_blocks.select("cluster", "block", F.col("xs").alias("others")), ["cluster", "block"])
+    return stash(met.select("mine", "others").mapInArrow(_confirm_blocks(ratio), "src long, dst long").distinct(), "links")
+
+
+def _joined(comps: DataFrame, links: DataFrame, new: DataFrame) -> DataFrame:
+    """Components after new links; where there are none they are as before."""
+    return comps if new.isEmpty() else stash(connected_components(links.unionByName(new)), "components")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, ratio: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", lower: bool = True, recall: float = 1 - 1e-6) -> DataFrame:
@@ -155,28 +233,46 @@ def near_duplicates(docs: DataFrame, k: int = 5, ratio: tuple[int, int] = (80, 1
     full = signed_docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes"))
     steps = classes.select("rep", F.posexplode("nodes").alias("tree", "node"))
-    size = steps.groupBy("node").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot < top").select("node", "pivot")
-    members = stash(steps.join(size, "node"), "members")
-
-    stars = stash(members.where((F.col("tree") < STAR_TREES) & (F.col("rep") > F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    links = _links(docs, stars, k, lower, ratio)
-    components = stash(connected_components(links), "components")
+    size = steps.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    members = stash(steps.join(size, "node").select("rep", "tree", "node", "n"), "members")
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    sets = stash(docs.join(wanted, "doc_id", "left_semi").distinct().mapInArrow(_sets(k, lower), "id long, items array<long>"), "sets")
 
-    # Nodes whose documents are not all connected yet: every pair across components.
-    placed = members.join(components, members["rep"] == components["node"], "left").select(members["node"], "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = placed.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("node")
+    # The pivot of a node is its document that meets most others in all trees; the home of a document, its most frequent pivot.
+    degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
+    central = F.struct("degree", (-F.col("rep")).alias("rep"))
+    pivots = members.join(degree, "rep").groupBy("node").agg((-F.max(central)["rep"]).alias("pivot"))
+    meets = members.join(pivots, "node").where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("times"))
+    homes = meets.groupBy("rep").agg(F.max(F.struct("times", (-F.col("pivot")).alias("pivot"))).alias("best")).select("rep", (-F.col("best.pivot")).alias("home"), F.col("best.times").alias("times"))
+    homes = stash(homes, "homes")
+    links = _links(sets, homes.select(F.col("rep").alias("a"), F.col("home").alias("b")), ratio)
+    comps = stash(connected_components(links), "components")
+
+    # A cluster is what hangs together by frequent homes, similar enough or not.  The documents of a
+    # cluster outside its largest component meet all of it, block by block.
+    near = stash(connected_components(homes.where(F.col("times") >= HOME_TREES).select(F.col("rep").alias("src"), F.col("home").alias("dst"))), "near")
+    placed = wanted.select(F.col("doc_id").alias("rep")).join(near, F.col("rep") == near["node"], "left").select("rep", F.coalesce("component", "rep").alias("cluster"))
+    placed = placed.join(comps, placed["rep"] == comps["node"], "left").select("rep", "cluster", F.coalesce("component", "rep").alias("comp"))
+    main = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg((-F.max(F.struct("n", (-F.col("comp")).alias("comp")))["comp"]).alias("main"))
+    clusters = stash(placed.join(main, "cluster").select("rep", "comp", "cluster", (F.col("comp") != F.col("main")).alias("is_loose")), "clusters")
+    inner = _cluster_links(clusters, sets, ratio)
+    comps2 = _joined(comps, links, inner)
+
+    # What meets in a node across clusters, and is not connected by now: pair by pair.
+    placed = members.join(clusters.select("rep", "cluster"), "rep").join(comps2, F.col("rep") == comps2["node"], "left").select(members["node"], "rep", "cluster", F.coalesce("component", "rep").alias("comp"))
+    mixed = placed.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("cluster").alias("c1"), F.max("cluster").alias("c2")).where("low < high AND c1 < c2").select("node")
     open_nodes = stash(placed.join(mixed, "node", "left_semi"), "open")
-    one, two = (open_nodes.select("node", F.col("rep").alias(r), F.col("comp").alias(c)) for r, c in (("a", "ca"), ("b", "cb")))
-    across = one.join(two, "node").where("ca <> cb AND a < b").select("a", "b").distinct()
-    pairs = stash(across.join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = _links(docs, pairs, k, lower, ratio)
+    one, two = (open_nodes.select("node", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "comp", "cluster"))) for x in "ab")
+    across = one.join(two, "node").where("rep_a < rep_b AND comp_a <> comp_b AND cluster_a <> cluster_b")
+    pairs = stash(across.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "pairs")
+    more = _links(sets, pairs, ratio)
 
     twice = full.join(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), ["h1", "h2"]).select("doc_id", "n_shingles", "rep")
     named = stash(signed_docs.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("rep")).unionByName(twice), "named")
     several = named.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("src"), F.max("rep").alias("top")).where("src < top").select("doc_id", "src")
     several = named.join(several, "doc_id").select("src", F.col("rep").alias("dst"))
-    final = stash(connected_components(links.unionByName(more).unionByName(several)), "components")
-    for table in (signed_docs, members, stars, components, open_nodes, pairs):
+    final = _joined(comps2, links.unionByName(inner), more.unionByName(several))
+    for table in (signed_docs, members, sets, homes, near, clusters, open_nodes, pairs):
         discard(table)
     out = named.join(final, named["rep"] == final["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
