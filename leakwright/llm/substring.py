@@ -8,7 +8,7 @@ modulo a period v, so for any two positions i and j there is a shift below v aft
 which both stand on D.  Two equal windows therefore share an anchor of
 ``window - v + 1`` words that stands at a cover position in both texts.  Anchors
 found in two documents mark the places where long matches can lie; only there
-every whole window is hashed, with 128 bits, and matched to the smallest document
+every whole window is hashed, with 96 bits, and matched to the smallest document
 that has it.  That second step is the extension of anchors to long matches, and it
 is exact: it neither samples nor pairs the members of a group.
 
@@ -60,7 +60,7 @@ def _batch(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 
 _ANCHOR = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
-_WINDOW = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
+_WINDOW = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.large_string())])
 
@@ -131,7 +131,7 @@ def _emit_windows(window: int):
                 yield _batch(
                     {
                         "h1": signed(FIRST.windows(hashes, begins, window)),
-                        "h2": signed(SECOND.windows(other, begins, window)),
+                        "h2": (SECOND.windows(other, begins, window) >> np.uint64(32)).astype(np.uint32).view(np.int32),
                         "doc_id": ids[at + of],
                         "place": _place(data, offsets)[of] + begins - words.first[of],
                     },
@@ -174,22 +174,32 @@ def _emit_kept(window: int, digest: bool):
 
 
 def _shared_anchors(docs: DataFrame, window: int) -> DataFrame:
-    """``(doc_id, anchor)`` of anchors that stand in two documents or more."""
+    """``(doc_id, anchor)`` of anchors that stand in two documents or more.
+
+    The shared anchors are written first: the join back then has plain exchanges on
+    both sides, whose skewed partitions adaptive execution splits.
+    """
     anchors = docs.where("doc_id IS NOT NULL").mapInArrow(_emit_anchors(window), "anchor long, doc_id long")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    return stash(anchors.join(shared, "anchor").select("doc_id", "anchor"), "shared-anchors")
+    shared = stash(shared, "anchors")
+    found = stash(anchors.join(shared, "anchor").select("doc_id", "anchor"), "shared-anchors")
+    discard(shared)
+    return found
 
 
 def _candidate_windows(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
     per_doc = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
     near = docs.join(per_doc, "doc_id").select("doc_id", "text", "shared")
-    return stash(near.mapInArrow(_emit_windows(window), "h1 long, h2 long, doc_id long, place long"), "windows")
+    return stash(near.mapInArrow(_emit_windows(window), "h1 long, h2 int, doc_id long, place long"), "windows")
 
 
 def _repeated_places(windows: DataFrame) -> DataFrame:
     """``(doc_id, place)`` of windows that a document of smaller id has too."""
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low")
-    return stash(windows.join(first, ["h1", "h2"]).where("doc_id > low").select("doc_id", "place"), "repeated")
+    first = stash(first, "first")
+    found = stash(windows.join(first, ["h1", "h2"]).where("doc_id > low").select("doc_id", "place"), "repeated")
+    discard(first)
+    return found
 
 
 def drop_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
