@@ -125,6 +125,10 @@ def test_near_duplicates_against_brute_force(spark, k):
     texts = corpus(150, seed=9)
     got = sorted(map(tuple, near_duplicates(docs(spark, texts).repartition(3), k=k).collect()))
     assert got == components(texts, k)
+
+
+def test_near_duplicates_are_dropped(spark):
+    texts, k = corpus(60, seed=10), 5
     kept = drop_near_duplicates(docs(spark, texts), k=k)
     assert kept.columns == ["doc_id", "text", "rep", "cluster", "text_sha256"]
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, _, _, stays in components(texts, k) if stays]
