@@ -8,13 +8,13 @@ is unset (local tests) a temporary folder of this machine is used.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: dict[str, str] = {}
 
 
@@ -33,20 +33,26 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver notice which finished steps nothing refers to, so that their shuffle files go.
+
+    Executors keep shuffle files until the driver's garbage is collected, which may be
+    long after a job that spans many steps has filled the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stash(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and return it as a fresh scan.
 
-    The table survives the loss of executors.  The shuffle files of the job that
-    wrote it are of no further use and are removed when it ends.
+    The table survives the loss of executors.  Shuffle files of earlier steps are
+    released first.
     """
     spark = df.sparkSession
+    release(spark)
     path = new_path(spark, tag)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
