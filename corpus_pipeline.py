@@ -16,6 +16,7 @@ from leakwright.llm.decontaminate import drop_leaks
 from leakwright.llm.mixing import mix
 from leakwright.llm.quality import keep_quality
 from leakwright.llm.registry import END_ID, tokenizer_path
+from leakwright.llm.textcore import bound_batches
 from leakwright.sources.shared_tables import new_path, stash
 
 
@@ -46,12 +47,20 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return read_token_table(spark, path)
 
 
+def _bounded(stage):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality classifier", quality),
-    ("near-duplicates", near_dedup),
-    ("decontamination", decontaminate),
-    ("mixing", mix_sources),
-    ("token file", tokens),
+    ("quality classifier", _bounded(quality)),
+    ("near-duplicates", _bounded(near_dedup)),
+    ("decontamination", _bounded(decontaminate)),
+    ("mixing", _bounded(mix_sources)),
+    ("token file", _bounded(tokens)),
 ]
 ORACLE_SQL = None
 

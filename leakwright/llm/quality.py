@@ -35,7 +35,7 @@ PASSAGE_WORDS = 64
 #: Buckets that byte bigrams are hashed to, size of a passage's code, size of the attention layer.
 BUCKETS, CODE, ATTENTION = 1024, 24, 12
 #: Passages encoded at once.
-CHUNK = 2048
+CHUNK = 1024
 
 _BUCKET = ((np.arange(1 << 16, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(54)).astype(np.int32)
 
@@ -129,7 +129,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 1500, batch: int = 64,
     for _, _, data, offsets in text_slices(pa.array(texts, pa.large_string())):
         edges, again, cuts = passages(data, offsets)
         x = features(data, edges, again)
-        bags += [x[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        bags += [x[a:b].astype(np.float16) for a, b in zip(cuts[:-1], cuts[1:])]
     rng = np.random.default_rng(seed)
     shape = {"W": (BUCKETS + 1, CODE), "b": (CODE,), "V": (CODE, ATTENTION), "U": (CODE, ATTENTION), "a": (ATTENTION,), "c": (CODE,), "d": (1,)}
     w = {k: (rng.normal(0, 1 / np.sqrt(s[0]), s) if k not in "bd" else np.zeros(s)).astype(np.float32) for k, s in shape.items()}
@@ -140,7 +140,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 1500, batch: int = 64,
         order = rng.permutation(len(bags))
         for i in range(0, len(order), batch):
             own = order[i : i + batch]
-            grads = _gradients(model, np.concatenate([bags[k] for k in own]), np.concatenate([[0], np.cumsum([len(bags[k]) for k in own])]), y[own])
+            grads = _gradients(model, np.concatenate([bags[k] for k in own]).astype(np.float32), np.concatenate([[0], np.cumsum([len(bags[k]) for k in own])]), y[own])
             t += 1
             step = rate * (1 - epoch / epochs)
             for k, g in grads.items():

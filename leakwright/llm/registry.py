@@ -17,6 +17,7 @@ from leakwright.llm.oracles import SQL
 from leakwright.llm.preference import paired_by_id, preference_records
 from leakwright.llm.quality import quality_scores
 from leakwright.llm.substring import drop_repeated_passages
+from leakwright.llm.textcore import bound_batches
 from leakwright.llm.url_rules import filter_urls
 from leakwright.sources.shared_tables import new_path
 
@@ -25,6 +26,7 @@ END_ID = 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 #: The fixed rules of the url query: verdict, host with its subdomains, beginning of the path.

@@ -12,13 +12,17 @@ UTF-8.  Hashes are fixed functions of the bytes: equal on every executor.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: A slice of this many text bytes is hashed at once; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+
+#: Text bytes that a Python worker is sent at once: a worker and its executor each hold a few batches.
+BATCH_BYTES = 16 << 20
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -138,5 +142,13 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) ->
         at = end
 
 
+def bound_batches(spark) -> None:
+    """Keep Arrow batches to BATCH_BYTES, if the session would have larger ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(key).lower())
+    if now is None or not 0 < int(now[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[now[2]] <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
