@@ -15,19 +15,15 @@ def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
-def hamming_pairs(prints: DataFrame, id_col: str, words_col: str, words: int = 4, max_distance: int = 12) -> DataFrame:
-    """``(id_a, id_b, hamming)`` of all pairs at most ``max_distance`` bits apart, id_a < id_b.
+def _known(prints: DataFrame, id_col: str, words_col: str) -> DataFrame:
+    return prints.where(F.col(id_col).isNotNull() & F.col(words_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(words_col).alias("words"))
 
-    Lossless banding: bits are dealt to max_distance + 1 bands, so of two such prints
-    one band at least is equal.  Pairs meet by band, in an equi-join.  Equal prints are
-    one class first, so copies do not meet in every band: classes are joined, and
-    the members of two classes, or of one, are paired last.
-    """
+
+def _close_classes(classes: DataFrame, words: int, max_distance: int) -> DataFrame:
+    """``(wa, wb, hamming)`` of distinct prints at most ``max_distance`` bits apart, wa < wb."""
     bits = 64 * words
     bands = max_distance + 1
     edges = [bits * b // bands for b in range(bands + 1)]
-    known = prints.where(F.col(id_col).isNotNull() & F.col(words_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(words_col).alias("words"))
-    classes = known.select("words").distinct()
 
     def band(first: int, last: int) -> Column:
         """Bits first..last of the words, as text."""
@@ -40,13 +36,42 @@ def hamming_pairs(prints: DataFrame, id_col: str, words_col: str, words: int = 4
 
     banded = classes.select("words", F.posexplode(F.array(*(band(a, b) for a, b in zip(edges, edges[1:])))).alias("band", "value"))
     one, two = banded.select("band", "value", F.col("words").alias("wa")), banded.select("band", "value", F.col("words").alias("wb"))
-    close = one.join(two, ["band", "value"]).where("wa < wb").select("wa", "wb").distinct().withColumn("hamming", hamming(F.col("wa"), F.col("wb"))).where(F.col("hamming") <= max_distance)
+    return one.join(two, ["band", "value"]).where("wa < wb").select("wa", "wb").distinct().withColumn("hamming", hamming(F.col("wa"), F.col("wb"))).where(F.col("hamming") <= max_distance)
+
+
+def hamming_pairs(prints: DataFrame, id_col: str, words_col: str, words: int = 4, max_distance: int = 12) -> DataFrame:
+    """``(id_a, id_b, hamming)`` of all pairs at most ``max_distance`` bits apart, id_a < id_b.
+
+    Lossless banding: bits are dealt to max_distance + 1 bands, so of two such prints
+    one band at least is equal.  Pairs meet by band, in an equi-join.  Equal prints are
+    one class first, so copies do not meet in every band: classes are joined, and
+    the members of two classes, or of one, are paired last.
+    """
+    known = _known(prints, id_col, words_col)
+    classes = known.select("words").distinct()
+    close = _close_classes(classes, words, max_distance)
     same = classes.select(F.col("words").alias("wa"), F.col("words").alias("wb"), F.lit(0).alias("hamming"))
     left, right = known.select(F.col("id").alias("x"), F.col("words").alias("wa")), known.select(F.col("id").alias("y"), F.col("words").alias("wb"))
     met = close.unionByName(same).join(left, "wa").join(right, "wb").where("wa <> wb OR x < y")
     return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), F.col("hamming").cast("long").alias("hamming"))
 
 
+def hamming_classes(prints: DataFrame, id_col: str, words_col: str, words: int = 4, max_distance: int = 12) -> DataFrame:
+    """The pairs of ``hamming_pairs`` by classes of equal prints, each named by its least id: ``(id_a, id_b, hamming)``.
+
+    Rows with hamming 0 are membership: class id_a holds item id_b.  The others are two
+    classes; each item of one is so far from each of the other.  No pair is lost, and
+    the rows do not grow with the square of the copies.
+    """
+    known = _known(prints, id_col, words_col)
+    classes = known.groupBy("words").agg(F.min("id").alias("id"))
+    close = _close_classes(classes.select("words"), words, max_distance)
+    of = lambda side, name: classes.select(F.col("words").alias(side), F.col("id").alias(name))
+    met = close.join(of("wa", "x"), "wa").join(of("wb", "y"), "wb").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), F.col("hamming").cast("long").alias("hamming"))
+    members = known.join(of("words", "id_a"), "words").where("id > id_a").select("id_a", F.col("id").alias("id_b"), F.lit(0).cast("long").alias("hamming"))
+    return met.unionByName(members)
+
+
 #: Vectors of a block; two blocks are compared by one matrix product.
 BLOCK_ROWS = 1024
 

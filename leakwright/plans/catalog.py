@@ -8,6 +8,7 @@ by hashes of its key, alike in both engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -156,10 +157,24 @@ def cosine_threshold_sweep(spark, d):
 SELECT a.doc_id AS id_a, b.doc_id AS id_b, bit_count(xor(a.w, b.w))::BIGINT AS hamming FROM prints a JOIN prints b ON a.doc_id < b.doc_id WHERE a.w > 0 AND b.w > 0 AND bit_count(xor(a.w, b.w)) <= 1""")
 def hamming_pairs(spark, d):
     word = hash_number(F.col("text")).bitwiseAND(hash_number(F.col("lang"))).bitwiseAND(hash_number(F.col("source")))
-    prints = table(spark, d, "documents").select("doc_id", F.array(word).alias("words")).where(F.col("words")[0] > 0)
+    prints = table(spark, d, "documents").select("doc_id", F.array(word).alias("words"))
     return pairs.hamming_pairs(prints, "doc_id", "words", words=1, max_distance=1)
 
 
+def block_prints(spark, d) -> DataFrame:
+    """256 bits of each text: 16 of the hash of each sixteenth of it."""
+    piece = F.ceil(F.length("text") / 16).cast("int")
+    part = lambda k: hash_number(F.substring(F.col("text"), piece * k + 1, piece), 4)
+    word = lambda w: reduce(lambda x, k: F.shiftleft(x, 16).bitwiseOR(part(k)), range(4 * w + 1, 4 * w + 4), part(4 * w))
+    return table(spark, d, "documents").select("doc_id", F.array(*map(word, range(4))).alias("words"))
+
+
+@query()
+def hamming_pairs_256(spark, d):
+    """Documents at most 12 of 256 bits apart, as pairs of classes of equal prints and members of the classes."""
+    return pairs.hamming_classes(block_prints(spark, d), "doc_id", "words", words=4, max_distance=12)
+
+
 @query(f"WITH {_FOUND} SELECT * FROM noted")
 def annotate_pairs(spark, d):
     return noted(spark, d)
