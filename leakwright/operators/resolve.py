@@ -34,6 +34,35 @@ def audit_totals(annotated: DataFrame) -> DataFrame:
     return pairs.join(F.broadcast(items))
 
 
+def cross_group_links(rows: DataFrame, key: str, id_col: str, group: str) -> DataFrame:
+    """``(id_a, id_b)``: what links of each row to the first of its ``key`` leave out between groups.
+
+    Of a key with several groups, every row of the first one's group is linked to the
+    least row of another.  With the links to the first, each row that has a row of
+    another group under its key is in an undeclared link, and all of them hang together.
+    A row without a group agrees with none and needs no link here.
+    """
+    known = rows.where(F.col(id_col).isNotNull()).select(F.col(key).alias("k"), F.col(id_col).alias("id"), F.col(group).alias("g"))
+    firsts = known.groupBy("k").agg(F.min(F.struct("id", "g")).alias("first")).select(F.col("k").alias("fk"), F.col("first.id").alias("first"), F.col("first.g").alias("fg")).where("fg IS NOT NULL")
+    least = known.groupBy("k", "g").agg(F.min("id").alias("least"))
+    others = least.join(firsts, F.col("k").eqNullSafe(F.col("fk"))).where(~F.col("g").eqNullSafe(F.col("fg"))).groupBy("fk", "first", "fg").agg(F.min("least").alias("other"))
+    met = known.join(others, F.col("k").eqNullSafe(F.col("fk")) & (F.col("g") == F.col("fg"))).where("id <> first")
+    return met.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
+
+
+def key_pair_counts(rows: DataFrame, key: str, group: str, label: str) -> DataFrame:
+    """One row: all pairs of rows with one key, counted from sizes: pairs, declared, undeclared, undeclared_label_mismatch."""
+    cells = rows.groupBy(F.col(key).alias("k"), F.col(group).alias("g"), F.col(label).alias("l")).agg(F.count("*").alias("n"))
+    n = F.sum("n")
+    two = F.coalesce(F.sum(F.expr("n * (n - 1) DIV 2")), F.lit(0))
+    pairs = cells.groupBy("k").agg(n.alias("n")).agg(two.alias("pairs"))
+    declared = cells.where("g IS NOT NULL").groupBy("k", "g").agg(n.alias("n")).agg(two.alias("declared"))
+    alike = cells.where("l IS NOT NULL").groupBy("k", "l").agg(n.alias("n")).agg(two.alias("alike"))
+    both = cells.where("g IS NOT NULL AND l IS NOT NULL").agg(two.alias("both"))
+    sums = pairs.join(F.broadcast(declared)).join(F.broadcast(alike)).join(F.broadcast(both)).withColumn("undeclared", F.col("pairs") - F.col("declared"))
+    return sums.select("pairs", "declared", "undeclared", (F.col("undeclared") - F.col("alike") + F.col("both")).alias("undeclared_label_mismatch"))
+
+
 def duplicate_groups(pairs: DataFrame) -> DataFrame:
     """``(node, component)`` of the undeclared pairs."""
     return connected_components(undeclared(pairs) if "same_group" in pairs.columns else pairs, "id_a", "id_b")

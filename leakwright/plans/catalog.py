@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from leakwright.functions.ordering import hash_number
 from leakwright.operators import calibrate, history, metrics, pairs, profile, resolve, sampling, split, stats
 from leakwright.session import table
+from leakwright.sources.shared_tables import stash
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -135,6 +136,13 @@ def noted(spark, d) -> DataFrame:
     return resolve.annotate_pairs(found, meta(spark, d), "doc_id", "source", "lang")
 
 
+def noted_across(spark, d) -> DataFrame:
+    """``noted``, with the links of copies that share the first one's source to a copy in another source."""
+    rows = meta(spark, d)
+    more = resolve.cross_group_links(rows, "grp", "doc_id", "source").withColumn("method", F.lit("exact"))
+    return noted(spark, d).unionByName(resolve.annotate_pairs(more, rows, "doc_id", "source", "lang"), allowMissingColumns=True)
+
+
 @query(f"WITH {_META}, {_EXACT} SELECT * FROM exact")
 def exact_dup_pairs(spark, d):
     return exact_pairs(spark, d)
@@ -188,7 +196,12 @@ def pair_method_crosstab(spark, d):
 @query(f"""WITH {_FOUND} SELECT count(*) AS pairs, count(*) FILTER (same_group) AS declared, count(*) FILTER (NOT same_group) AS undeclared, count(*) FILTER (NOT same_group AND NOT same_label) AS undeclared_label_mismatch,
 (SELECT count(DISTINCT i) FROM (SELECT unnest([id_a, id_b]) AS i FROM noted WHERE NOT same_group)) AS items_in_undeclared FROM noted""")
 def audit_summary(spark, d):
-    return resolve.audit_totals(noted(spark, d))
+    """All pairs of copies, counted from sizes, and the pairs of vectors."""
+    links = stash(noted_across(spark, d), "links")
+    found = resolve.audit_totals(links.where("method = 'embedding'")).drop("items_in_undeclared")
+    counts = found.unionByName(resolve.key_pair_counts(meta(spark, d), "grp", "source", "lang"))
+    items = resolve.audit_totals(links).select("items_in_undeclared")
+    return counts.agg(*(F.sum(c).alias(c) for c in counts.columns)).join(F.broadcast(items))
 
 
 @query(f"""WITH {_FOUND}, old AS (SELECT id_a, id_b, 'embedding' AS method, 9.0::DOUBLE AS cosine FROM exact UNION ALL SELECT id_a, id_b, 'phash', 1.0 FROM exact)
@@ -206,7 +219,7 @@ walk AS (SELECT x AS node, x AS seen FROM edges UNION SELECT node, y FROM walk J
 
 @query(f"WITH RECURSIVE {_COMPONENTS} SELECT node, component FROM comps")
 def dup_components(spark, d):
-    return resolve.duplicate_groups(noted(spark, d))
+    return resolve.duplicate_groups(noted_across(spark, d))
 
 
 @query(f"""WITH RECURSIVE {_META}, {_EXACT}, own AS (SELECT doc_id, lang || ':' || (doc_id // 7) AS g FROM meta), pairs2 AS (SELECT a.g AS x, b.g AS y FROM exact JOIN own a ON a.doc_id = id_a JOIN own b ON b.doc_id = id_b),
