@@ -482,8 +482,10 @@ def replication_summary(spark, d):
 @query("""WITH grid AS (SELECT u AS user_id, e AS event_type FROM range(200) t(u), (SELECT unnest(['click', 'view']) AS e)) SELECT user_id, event_type FROM grid WHERE NOT EXISTS (SELECT 1 FROM events v WHERE v.user_id = grid.user_id AND v.event_type = grid.event_type)""")
 def pending_runs(spark, d):
     kinds = spark.createDataFrame([("click",), ("view",)], "event_type string")
-    grid = spark.range(200).select(F.col("id").alias("user_id")).join(F.broadcast(kinds))
-    return stats.pending_runs(grid, runs(spark, d), ["user_id", "event_type"])
+    """Users 0 to 199 are planned, and all that the table names."""
+    done = runs(spark, d)
+    users = spark.range(200).select(F.col("id").alias("user_id")).union(done.select("user_id").where("user_id IS NOT NULL")).distinct()
+    return stats.pending_runs(users.join(F.broadcast(kinds)), done, ["user_id", "event_type"])
 
 
 # ------------------------------------------------------------------ history
