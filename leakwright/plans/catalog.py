@@ -346,7 +346,7 @@ def bootstrap_ci(spark, d):
 @query()
 def ci_overlap(spark, d):
     rows = predictions(spark, d)
-    return metrics.intervals_overlap(metrics.bootstrap_ci(rows.where("id % 2 = 0"), 200), metrics.bootstrap_ci(rows.where("id % 2 = 1"), 200))
+    return metrics.intervals_overlap(metrics.bootstrap_ci(rows.where("id % 2 = 0")), metrics.bootstrap_ci(rows.where("id % 2 = 1")))
 
 
 def _half_sql(half: int) -> str:
