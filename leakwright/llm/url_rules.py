@@ -4,7 +4,8 @@ A fixed rule names a host, which stands for its subdomains too, and the beginnin
 path; of the rules that fit an url the longest decides.  The urls that fixed rules
 decide are the labels.  Spark's FP-growth mines combinations of url tokens that go
 with a verdict; rules below ``min_support`` or ``min_confidence`` are pruned, and so is
-a rule whose shorter form is as sure.  The ``max_rules`` surest are kept.  They match
+a rule whose shorter form is as sure.  All others are kept, unless ``max_rules`` asks
+for the surest only.  They match
 by an inverted index: each rule stands under the rarest token of its combination, so
 an url looks up its own tokens only.  The surest rule that fits decides, then the
 longer, the more frequent, and the first by name; no fit gives ``default``.
@@ -24,7 +25,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakwright.sources.shared_tables import stash
+from leakwright.sources.shared_tables import discard, stash
 
 #: (verdict, host, beginning of the path)
 Rule = tuple[str, str, str]
@@ -68,7 +69,7 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(parts)
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, max_rules: int) -> list[dict]:
+def mine(labelled: DataFrame, min_support: float, min_confidence: float, max_rules: int | None = None) -> list[dict]:
     """Rules from ``(tokens, verdict)`` rows, surest first; each has antecedent, verdict, confidence and support."""
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(_VERDICT), "verdict"))).alias("items"))
     if baskets.isEmpty():
@@ -76,14 +77,22 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float, max_rul
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where(F.element_at("consequent", 1).startswith(_VERDICT))
     found = found.select(F.sort_array("antecedent").alias("antecedent"), F.substring(F.element_at("consequent", 1), len(_VERDICT) + 1, 100).alias("verdict"), "confidence", "support")
-    # The shortest combinations first, so that what makes a longer one redundant is among those kept.
-    rows = [r.asDict() for r in found.orderBy(F.size("antecedent"), F.desc("confidence"), F.desc("support"), "antecedent", "verdict").limit(10 * max_rules).collect()]
-    kept: list[dict] = []
+    found = stash(found.withColumn("id", F.monotonically_increasing_id()), "rules")
+    rows = [r.asDict() for r in _irredundant(found).drop("id").collect()]
+    discard(found)
     for r in rows:
         r["tokens"] = frozenset(r["antecedent"])
-        if not any(k["verdict"] == r["verdict"] and k["confidence"] >= r["confidence"] and k["tokens"] < r["tokens"] for k in kept):
-            kept.append(r)
-    return sorted(kept, key=_sureness)[:max_rules]
+    return sorted(rows, key=_sureness)[:max_rules]
+
+
+def _irredundant(rules: DataFrame) -> DataFrame:
+    """Rules of which no shorter form with the same verdict is as sure; a rule meets shorter ones by their rarest token."""
+    tokens = rules.select("id", F.size("antecedent").alias("n"), "antecedent", "verdict", "confidence", F.explode("antecedent").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    rarest = tokens.join(often, "token").groupBy("id").agg(F.min(F.struct("often", "token"))["token"].alias("token"))
+    short = rules.join(rarest, "id").select("token", "verdict", F.size("antecedent").alias("m"), F.col("antecedent").alias("part"), F.col("confidence").alias("sure"))
+    met = tokens.join(short, ["token", "verdict"]).where((F.col("m") < F.col("n")) & (F.col("sure") >= F.col("confidence")))
+    return rules.join(met.where(F.size(F.array_except("part", "antecedent")) == 0).select("id").distinct(), "id", "left_anti")
 
 
 def _sureness(r: dict) -> tuple:
@@ -107,7 +116,7 @@ def best_rule(tokens: list[str], index: dict[str, list[tuple[int, frozenset]]])
     return min((rank for t in have for rank, need in index.get(t, ()) if need <= have), default=None)
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", min_support: float = 0.002, min_confidence: float = 0.8, max_rules: int = 1000, default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", min_support: float = 0.002, min_confidence: float = 0.8, max_rules: int | None = None, default: str = "allow") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, and the mined rule and its confidence where one decided."""
     url = F.col(url_col).cast("string")
     host, path = host_and_path(url)
