@@ -2,24 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakwright.sources.shared_tables import discard, stash
 
 
-def _star_round(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step; edges run from the larger node u to the smaller v.
+def contract(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars of the graph with edges (u, v): every node but the least of its component, and that least one."""
+    nodes, code = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = code[: len(u)], code[len(u) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low < high
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, high[apart], low[apart])
+        while ((up := label[label]) != label).any():
+            label = up
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """The edges of each partition as stars.  What fits one partition is settled by this alone."""
+    if edges.schema["u"].dataType.simpleString() != "bigint":
+        return edges
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("u").to_numpy(zero_copy_only=False), b.column("v").to_numpy(zero_copy_only=False)) for b in batches]
+        if held:
+            u, v = contract(*(np.concatenate(side) for side in zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
+def _star_round(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """One large-star and one small-star step, and the tables made for it; edges run from the larger node u to the smaller v.
 
-    Each step is a minimum per node, which aggregates before its shuffle, and a
-    join back, whose skewed partitions adaptive execution can split.
+    Each step is a minimum per node, which aggregates before its shuffle and is
+    written, and a join back.  That join has plain exchanges on both sides, whose
+    skewed partitions adaptive execution splits, so a hub does not stay in one task.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    large = stash(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large-star")
+    small = stash(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+    moved = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), [least, large, small]
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -32,21 +67,24 @@ def _settled(edges: DataFrame) -> bool:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges``; the component is its smallest node.
 
-    Alternates large-star and small-star steps until only stars are left, in
-    a number of rounds that grows with the logarithm of the longest chain.  Each
-    round is written to the shared folder, which cuts the lineage.  Edges with a
-    null end and loops link nothing: null nodes are left out, loops give a node of
-    its own.
+    Every partition first reduces its own edges to stars; then large-star and
+    small-star steps alternate until only stars are left, in a number of rounds that
+    grows with the logarithm of the longest chain.  Each round is written to the
+    shared folder, which cuts the lineage.  Edges with a null end and loops link
+    nothing: null nodes are left out, loops give a node of its own.  Names of nodes
+    are integers or any type with an order.
     """
     a, b = F.col(src), F.col(dst)
     known = edges.select(a.alias("a"), b.alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     loops = known.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    now = stash(known.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = stash(_contracted(known.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), "edges")
     for _ in range(max_rounds):
         if _settled(now):
             break
-        after = stash(_star_round(now), "edges")
-        discard(now)
+        stepped, made = _star_round(now)
+        after = stash(_contracted(stepped), "edges")
+        for table in (now, *made):
+            discard(table)
         now = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

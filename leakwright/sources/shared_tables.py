@@ -1,8 +1,9 @@
 """Intermediate tables in the folder that driver and executors share.
 
 Long jobs here cut their lineage by writing a table and reading it back.  The
-folder is the one the cluster names in ``spark.checkpoint.dir``; only where that
-is unset (local tests) a temporary folder of this machine is used.
+folder is the one the cluster names in ``spark.checkpoint.dir``.  Where that is unset
+a temporary folder of this machine is used under a local master, whose executors
+share it; a cluster without the setting is refused.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The shared folder of this application, below ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if "root" not in _local:
             _local["root"] = tempfile.mkdtemp(prefix="leakwright-")
             atexit.register(shutil.rmtree, _local["root"], ignore_errors=True)
@@ -37,20 +40,16 @@ def release(spark: SparkSession) -> None:
     """Have the driver notice which finished steps nothing refers to, so that their shuffle files go.
 
     Executors keep shuffle files until the driver's garbage is collected, which may be
-    long after a job that spans many steps has filled the disks.
+    long after a job that spans many steps has filled the disks.  To be called after a
+    step that shuffled much, not after each.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
 def stash(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and return it as a fresh scan.
-
-    The table survives the loss of executors.  Shuffle files of earlier steps are
-    released first.
-    """
+    """Write ``df`` to the shared folder and return it as a fresh scan, which survives the loss of executors."""
     spark = df.sparkSession
-    release(spark)
     path = new_path(spark, tag)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
