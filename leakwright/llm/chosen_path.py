@@ -1,32 +1,38 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-A document is the set of its distinct k-word shingles.  In each of several
-independent trees a document goes down a path: at every level it takes the branch
-of the shingle that is least under that level's hash.  Two sets of similarity s
-take the same branch with probability s, so they end in the same node of one of
-``t`` trees of depth d with probability ``1 - (1 - s^d)^t``; t is the least that
-reaches the recall asked for at the threshold.  The depth grows with the logarithm
-of the number of documents, so that documents without likeness rarely meet and
-nodes stay small.
-
-Equal sets are one class first, whatever their number.  Then each document is
-compared with its *home*, the most central document that it meets most often; that
-connects nearly all of a large group of near copies by one comparison each.  The
-documents of a group that stay loose are compared with all of it, block by block, so
-that no row is made for a pair.  What else meets in a node and is not connected by
-then is compared pair by pair.  A pair that is connected already cannot change the
-result and is not compared.  Each comparison counts the intersection of both full sets.
+A document is the set of its distinct k-word shingles, and carries for each of many
+hash functions the shingle that is least under it, its *minwise tokens*.  In each of
+several independent trees documents are branched recursively: a node that is too
+large is split by the minwise token that the tree has selected for its level, and a
+node stops where the pairs left to compare in it are few (``NODE_PAIRS``).  Two sets
+of similarity s take the same branch with probability s, so they share a node of
+depth d in one of t trees with probability ``1 - (1 - s^d)^t``; t is the least that
+reaches the recall asked for at the threshold and the depth at which nodes of
+unrelated documents are small.  Several levels are laid out and counted at a time.
+
+Equal sets are one class first, whatever their number.  Inside its nodes each
+document is compared with its *home*, the member that meets most others: one
+comparison a document connects nearly all of a group of near copies.  Then the small
+nodes that still hold several components are compared exhaustively: all pairs across
+components by their minwise tokens, and those that may reach the threshold (4.5
+standard deviations below it) by their full sets.  A large node of one component has
+nothing left to find and ends; a large node of several is branched further.  So a
+node costs a bounded number of comparisons, gives at most a forest of links, and no
+row is made for a pair.
 
 Defined cases: null, empty and blank texts have the empty set and are linked with
 nothing; a text with fewer than k words is one shingle; rows with equal ids are one
 document and take the smallest component of their texts; null ids form no links,
-have a null component and are kept; further columns are ignored.
+have a null component and are kept; further columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,35 +40,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakwright.llm.textcore import FIRST, Words, mix, signed, stream, text_slices
-from leakwright.operators.graph import connected_components
-from leakwright.sources.shared_tables import discard, stash
+from leakwright.operators.graph import connected_components, contract
+from leakwright.sources.shared_tables import discard, release, stash
 
-#: Similarity that unrelated documents of one language reach, for the choice of the depth.
-BACKGROUND = 0.05
-#: A document that meets its home in so many trees is compared with all of the home's cluster.
-HOME_TREES = 2
-#: Documents and shingles of a block; blocks are compared whole.
-BLOCK_ROWS, BLOCK_ITEMS = 128, 500_000
+#: Pairs across components that are compared in a node; a node with more is branched.
+NODE_PAIRS = 2016
+#: Levels laid out at a time, and the depth at which branching ends and what is left in a node is compared as it is.
+LEVELS, MAX_DEPTH = 3, 32
+#: Ids of documents that meet others are broadcast up to this number, and joined beyond it.
+BROADCAST_IDS = 500_000
+#: Documents laid out at once.
+DOCS_AT_ONCE = 2000
 
 
-def tree_shape(n_docs: int, threshold: float, recall: float = 1 - 1e-6) -> tuple[int, int]:
-    """Depth and number of trees for a number of documents."""
-    depth = max(3, math.ceil(math.log(max(n_docs, 1) * 10) / math.log(1 / BACKGROUND)))
-    return depth, math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
+@dataclass(frozen=True)
+class Forest:
+    """Which minwise token each tree selects at each level: fresh ones at the first levels, then the tree's own order of all."""
+
+    trees: int
+    first: int
+    last: int
+
+    @property
+    def width(self) -> int:
+        return max(128, self.trees * self.last)
+
+    def selected(self, tree: int) -> np.ndarray:
+        own = np.arange(self.last) + tree * self.last
+        others = np.setdiff1d(np.arange(self.width), own)
+        return np.concatenate([own, others[np.argsort(stream(200 + tree, len(others)))]])
+
+
+def forest_for(n_docs: int, threshold: float, recall: float = 0.99999) -> Forest:
+    """The trees for a number of documents: counting starts where nodes can first be small, and trees reach the recall at the last level of the first layout."""
+    first = 1 + max(0, math.floor(math.log(max(n_docs, 1) / 64) / math.log(256)))
+    last = first + LEVELS - 1
+    return Forest(math.ceil(math.log(1 - recall) / math.log(1 - threshold**last)), first, last)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, and where each text's begin."""
     words = Words(data, offsets, lower=lower)
-    hashes = words.hashes()
     starts, text = words.runs(k)
     short = np.flatnonzero((words.counts > 0) & (words.counts < k))
     sizes = np.concatenate([np.full(len(starts), k), words.counts[short]]).astype(np.int64)
     starts, text = np.concatenate([starts, words.first[short]]), np.concatenate([text, short])
-    up, down = FIRST.words_base.to(len(hashes) + 1)
-    prefix = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * up[:-1], out=prefix[1:])
-    values = mix((prefix[starts + sizes] - prefix[starts]) * down[starts] + sizes.astype(np.uint64))
+    values = FIRST.spans(words.hashes(), starts, sizes)
     order = np.argsort(values)
     n = len(offsets) - 1
     order = order[np.argsort(text[order].astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")]
@@ -73,37 +96,86 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, lower: bool) ->
     return values, np.searchsorted(text, np.arange(n + 1))
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("nodes", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("sketch", pa.binary())])
+
 
+def _signatures(k: int, lower: bool, width: int):
+    """Of each text the size of its set, a digest of it, and its minwise tokens, whole and by one byte each."""
 
-def _signatures(k: int, lower: bool, depth: int, trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = stream(101, depth * trees).reshape(trees, depth) | np.uint64(1)
-        salts = stream(102, trees)
+        factors = stream(101, width) | np.uint64(1)
         for batch in batches:
             ids = batch.column("doc_id")
             for at, end, data, offsets in text_slices(batch.column("text")):
                 values, cuts = shingle_sets(data, offsets, k, lower)
                 sizes = np.diff(cuts)
                 full = np.flatnonzero(sizes)
-                h1, h2 = np.zeros((2, end - at), dtype=np.uint64)
-                paths = np.zeros((end - at, trees), dtype=np.uint64)
-                if len(full):
-                    at_once = cuts[:-1][full]
-                    h1[full] = np.add.reduceat(mix(values), at_once)
-                    h2[full] = np.add.reduceat(mix(values ^ np.uint64(0x5DEECE66D)), at_once)
-                    for tree in range(trees):
-                        path = np.full(len(full), salts[tree], dtype=np.uint64)
-                        for level in range(depth):
-                            path = mix(path * np.uint64(31) + np.minimum.reduceat(values * factors[tree, level], at_once))
-                        paths[full, tree] = path
-                kept = sizes > 0
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(kept * trees)]).astype(np.int32)), pa.array(signed(paths[kept].ravel())))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), pa.array(sizes.astype(np.int64)), pa.array(signed(h1)), pa.array(signed(h2)), lists], schema=_SIGNED)
+                tokens = np.zeros((end - at, width), dtype=np.uint32)
+                for c in range(width if len(full) else 0):
+                    least = np.minimum.reduceat(values * factors[c], cuts[:-1][full])
+                    tokens[full, c] = (mix(least) >> np.uint64(32)).astype(np.uint32)
+                digests = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                rows = [ids.slice(at, end - at), pa.array(sizes.astype(np.int64)), digests, list(map(bytes, tokens)), list(map(bytes, tokens.astype(np.uint8)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if isinstance(c, list) else c for c, f in zip(rows, _SIGNED)], schema=_SIGNED)
+
+    return run
+
+
+_STEP = pa.schema([("rep", pa.int64()), ("comp", pa.int64()), ("tree", pa.int32()), ("level", pa.int32()), ("node", pa.int64()), ("parent", pa.int64())])
+_STEPS = "rep long, comp long, tree int, level int, node long, parent long"
+
+
+def _steps(forest: Forest, first: int, last: int):
+    """The nodes of levels first..last on the paths of documents, in the trees that each is alive in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = mix(stream(102, forest.trees))
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(at, DOCS_AT_ONCE)
+                tokens = np.frombuffer(b"".join(part.column("tokens").to_pylist()), dtype=np.uint32).reshape(part.num_rows, -1)
+                alive = part.column("alive").to_numpy(zero_copy_only=False)
+                reps, comps = (part.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "comp"))
+                for tree in range(forest.trees):
+                    own = np.flatnonzero(np.array([tree in a for a in alive])) if alive[0] is not None else np.arange(len(reps))
+                    if not len(own):
+                        continue
+                    selected = forest.selected(tree)
+                    path = np.full(len(own), salts[tree], dtype=np.uint64)
+                    for level in range(1, min(last, len(selected)) + 1):
+                        above = path
+                        path = mix((path ^ tokens[own, selected[level - 1]].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(level))
+                        if level >= first:
+                            same = [pa.array(np.full(len(own), x, dtype=np.int32)) for x in (tree, level)]
+                            yield pa.RecordBatch.from_arrays([pa.array(reps[own]), pa.array(comps[own]), *same, pa.array(signed(path)), pa.array(signed(above))], schema=_STEP)
 
     return run
 
 
+def _grow(rows: DataFrame, forest: Forest, first: int, last: int, fresh: bool) -> DataFrame:
+    """``(rep, tree, node, n, large)``: the nodes where paths end by level ``last``, small ones or, at that level, large ones.
+
+    ``rows`` has rep, comp, tokens and alive (trees, null for all); with ``fresh`` each
+    document is a component of its own.  Nodes of one component are left out.
+    """
+    steps = rows.mapInArrow(_steps(forest, first, last), _STEPS)
+    n = F.col("n")
+    if fresh:
+        nodes = steps.groupBy("node").agg(F.count("*").alias("n"), F.min("parent").alias("parent"), F.min("level").alias("level")).withColumn("pairs", n * (n - 1) / 2)
+    else:
+        cells = steps.groupBy("node", "comp").agg(F.count("*").alias("c"), F.min("parent").alias("parent"), F.min("level").alias("level"))
+        nodes = cells.groupBy("node").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("alike"), F.min("parent").alias("parent"), F.min("level").alias("level")).withColumn("pairs", (n * n - F.col("alike")) / 2)
+    nodes = stash(nodes.where("pairs > 0").select("node", "parent", "level", "n", "pairs"), "nodes")
+    above = nodes.select(F.col("node").alias("parent"), (F.col("pairs") > NODE_PAIRS).alias("open"))
+    large = F.col("pairs") > NODE_PAIRS
+    ended = nodes.join(above, "parent", "left").where((~large & F.coalesce("open", F.lit(True))) | (large & (F.col("level") == last)))
+    ended = stash(ended.select("node", "n", large.alias("large")), "ended")
+    members = stash(steps.select("rep", "tree", "node").join(ended, "node").select("rep", "tree", "node", "n", "large"), "members")
+    discard(nodes)
+    discard(ended)
+    return members
+
+
 _SET = pa.schema([("id", pa.int64()), ("items", pa.list_(pa.int64()))])
 
 
@@ -140,148 +212,213 @@ def _confirm(ratio: tuple[int, int]):
     return run
 
 
-def block_links(left: list[np.ndarray], right: list[np.ndarray], ratio: tuple[int, int]) -> np.ndarray:
-    """Which sets of ``left`` are similar to which of ``right``: all intersections by products of incidence matrices."""
-    sizes_l, sizes_r = (np.array([len(x) for x in side], dtype=np.int64) for side in (left, right))
-    values, code = np.unique(np.concatenate([*left, *right]), return_inverse=True)
-    owner_l, owner_r = np.repeat(np.arange(len(left)), sizes_l), np.repeat(np.arange(len(right)), sizes_r)
-    code_l, code_r = code[: len(owner_l)], code[len(owner_l) :]
-    shared = np.zeros(len(values), dtype=bool)
-    shared[code_l] = True
-    shared &= np.bincount(code_r, minlength=len(values)) > 0
-    column = np.cumsum(shared) - 1
-    both = np.zeros((len(left), len(right)))
-    keep_l, keep_r = shared[code_l], shared[code_r]
-    col_l, row_l, col_r, row_r = column[code_l[keep_l]], owner_l[keep_l], column[code_r[keep_r]], owner_r[keep_r]
-    for at in range(0, int(shared.sum()), 4096):
-        one, two = np.zeros((len(left), 4096), dtype=np.float32), np.zeros((len(right), 4096), dtype=np.float32)
-        in_l, in_r = (col_l >= at) & (col_l < at + 4096), (col_r >= at) & (col_r < at + 4096)
-        one[row_l[in_l], col_l[in_l] - at] = 1
-        two[row_r[in_r], col_r[in_r] - at] = 1
-        both += one @ two.T
-    return _similar(np.rint(both).astype(np.int64), sizes_l[:, None], sizes_r[None, :], ratio)
-
-
-def _confirm_blocks(ratio: tuple[int, int]):
-    """Links between two blocks of sets; a link that only closes a circle among the blocks' own links is left out."""
+def _links(sets: DataFrame, pairs: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+    """Of pairs ``(a, b)`` those whose full sets are similar enough, as a written table."""
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("left")), "a")
+    met = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("right")), "b").select("a", "b", "left", "right")
+    return stash(met.mapInArrow(_confirm(ratio), "src long, dst long").distinct(), "links")
+
+
+def near_pairs(sketches: np.ndarray, comps: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Members of a node, by place, that are of two components and share at least ``least`` of their tokens."""
+    _, code, sizes = np.unique(comps, return_inverse=True, return_counts=True)
+    outside = np.flatnonzero(code != sizes.argmax())  # a pair across components has a member outside the largest
+    one, two = [], []
+    at_once = max(1, (8 << 20) // sketches.size)
+    for at in range(0, len(outside), at_once):
+        rows = outside[at : at + at_once]
+        alike = (sketches[rows, None, :] == sketches[None, :, :]).sum(2) >= least * sketches.shape[1]
+        i, j = np.nonzero(alike & (code[rows, None] != code[None, :]))
+        one.append(rows[i])
+        two.append(j)
+    return np.concatenate(one), np.concatenate(two)
+
+
+_CLUMP = pa.schema([("clump", pa.binary()), ("rep", pa.int64()), ("comp", pa.int64())])
+
+
+def _clumps(least: float):
+    """What hangs together in a node by pairs that may be similar; alike in all trees, so that each is compared once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch.column("members"):
+                own = members.values
+                reps, comps = (own.field(c).to_numpy() for c in ("rep", "comp"))
+                sketches = np.frombuffer(b"".join(own.field("sketch").to_pylist()), dtype=np.uint8).reshape(len(reps), -1)
+                one, two = near_pairs(sketches, comps, least)
+                if not len(one):
+                    continue
+                met = np.unique(np.concatenate([one, two]))
+                root = dict(zip(*(x.tolist() for x in contract(one, two))))
+                groups: dict[int, list[int]] = {}
+                for place in met.tolist():
+                    groups.setdefault(root.get(place, place), []).append(place)
+                for places in groups.values():
+                    ids = np.sort(reps[places])
+                    name = hashlib.blake2b(ids.tobytes(), digest_size=16).digest()
+                    order = np.argsort(reps[places])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids), pa.binary()), pa.array(ids), pa.array(comps[places][order])], schema=_CLUMP)
+
+    return run
+
 
+def set_links(ids: list[int], comps: list[int], sets: list[np.ndarray], ratio: tuple[int, int]) -> list[tuple[int, int]]:
+    """A forest of the similar pairs across components: all intersections by a product of incidence matrices, in slices of items."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    codes, code = np.unique(np.array(comps), return_inverse=True)
+    values, item = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    outside = np.flatnonzero(code != np.bincount(code).argmax())
+    place = np.full(len(sets), -1)
+    place[outside] = np.arange(len(outside))
+    both = np.zeros((len(outside), len(sets)), dtype=np.float64)
+    width = max(256, min(4096, (16 << 20) // (4 * len(sets))))
+    order = np.argsort(item, kind="stable")
+    owner, item = owner[order], item[order]
+    cuts = np.searchsorted(item, np.arange(0, len(values) + width, width))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+        whole = np.zeros((len(sets), width), dtype=np.float32)
+        whole[owner[a:b], item[a:b] - k * width] = 1
+        both += whole[outside] @ whole.T
+    good = _similar(np.rint(both).astype(np.int64), sizes[outside, None], sizes[None, :], ratio) & (code[outside, None] != code[None, :])
+    label = list(range(len(codes)))
+    found = []
+    for i, j in np.argwhere(good).tolist():
+        a, b = int(code[outside[i]]), int(code[j])
+        while label[a] != a:
+            a = label[a]
+        while label[b] != b:
+            b = label[b]
+        if a != b:
+            label[max(a, b)] = min(a, b)
+            found.append((ids[outside[i]], ids[j]))
+    return found
+
+
+def _confirm_clumps(ratio: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for mine, others in zip(batch.column("mine"), batch.column("others")):
-                (ids_l, left), (ids_r, right) = (([x["id"].as_py() for x in side], [x["items"].values.to_numpy() for x in side]) for side in (mine, others))
-                root: dict[int, int] = {}
-
-                def find(x: int) -> int:
-                    while root.setdefault(x, x) != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
-                found = []
-                for i, j in np.argwhere(block_links(left, right, ratio)):
-                    a, b = find(ids_l[i]), find(ids_r[j])
-                    if a != b:
-                        root[max(a, b)] = min(a, b)
-                        found.append((ids_l[i], ids_r[j]))
+            for members in batch.column("members"):
+                own = members.values
+                items = own.field("items")
+                found = set_links(own.field("rep").to_pylist(), own.field("comp").to_pylist(), [items[i].values.to_numpy() for i in range(len(own))], ratio)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], schema=_PAIR)
 
     return run
 
 
-def _links(sets: DataFrame, pairs: DataFrame, ratio: tuple[int, int]) -> DataFrame:
-    """Of pairs ``(a, b)`` those whose full sets are similar enough, as a written table."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("left")), "a")
-    met = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("right")), "b").select("a", "b", "left", "right")
-    return stash(met.mapInArrow(_confirm(ratio), "src long, dst long").distinct(), "links")
+def _node_links(members: DataFrame, comps: DataFrame, marked: DataFrame, sets: DataFrame, ratio: tuple[int, int], width: int) -> DataFrame:
+    """Links across components among the members ``(rep, node)`` of small nodes, as a written table."""
+    placed = _placed(members, comps)
+    mixed = stash(placed.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("node"), "mixed")
+    share = ratio[0] / ratio[1]
+    least = share - 4.5 * math.sqrt(share * (1 - share) / width)
+    drawn = placed.join(mixed, "node").join(marked.select("rep", "sketch"), "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "comp", "sketch")).alias("members"))
+    clumps = stash(drawn.select("members").mapInArrow(_clumps(least), "clump binary, rep long, comp long").distinct(), "clumps")
+    whole = clumps.join(sets, clumps["rep"] == sets["id"]).groupBy("clump").agg(F.collect_list(F.struct("rep", "comp", "items")).alias("members"))
+    links = stash(whole.select("members").mapInArrow(_confirm_clumps(ratio), "src long, dst long").distinct(), "links")
+    discard(mixed)
+    discard(clumps)
+    return links
 
 
-def _blocks(rows: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """Documents of each cluster in blocks of about BLOCK_ROWS and BLOCK_ITEMS, with their sets."""
-    weighed = rows.join(sets, rows["rep"] == sets["id"]).select("cluster", "id", "items")
-    n = rows.join(sets.select("id", F.size("items").alias("n")), F.col("rep") == F.col("id")).groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_ITEMS)).alias("blocks"))
-    dealt = weighed.join(n, "cluster").select("cluster", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias(name), F.struct("id", "items").alias("x"))
-    return dealt.groupBy("cluster", name, "blocks").agg(F.collect_list("x").alias("xs"))
+def _placed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    named = comps.select(F.col("node").alias("rep"), "component")
+    return members.join(named, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
 
 
-def _cluster_links(clusters: DataFrame, sets: DataFrame, ratio: tuple[int, int]) -> DataFrame:
-    """Links of the documents of each cluster outside its largest component, with any document of the cluster."""
-    loose = clusters.where("is_loose").select("cluster", "rep")
-    some = loose.select("cluster").distinct()
-    all_blocks = _blocks(clusters.join(some, "cluster", "left_semi").select("cluster", "rep"), sets, "block")
-    loose_blocks = _blocks(loose, sets, "loose")
-    counts = all_blocks.select("cluster", "blocks").distinct()
-    asked = loose_blocks.select("cluster", F.col("xs").alias("mine")).join(counts, "cluster").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = asked.select("cluster", "block", "mine").join(all_blocks.select("cluster", "block", F.col("xs").alias("others")), ["cluster", "block"])
-    return stash(met.select("mine", "others").mapInArrow(_confirm_blocks(ratio), "src long, dst long").distinct(), "links")
+def _homes(members: DataFrame) -> DataFrame:
+    """``(rep, home)``: the pivot of a node is its document that meets most others in all trees; a document's home, its most frequent pivot."""
+    degree = stash(members.groupBy("rep").agg(F.sum("n").alias("degree")), "degree")
+    central = F.struct("degree", (-F.col("rep")).alias("rep"))
+    pivots = stash(members.select("rep", "node").join(degree, "rep").groupBy("node").agg((-F.max(central)["rep"]).alias("pivot")), "pivots")
+    meets = members.select("rep", "node").join(pivots, "node").where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("times"))
+    homes = meets.groupBy("rep").agg(F.max(F.struct("times", (-F.col("pivot")).alias("pivot"))).alias("best")).select("rep", (-F.col("best.pivot")).alias("home"))
+    homes = stash(homes, "homes")
+    discard(degree)
+    discard(pivots)
+    return homes
 
 
-def _joined(comps: DataFrame, links: DataFrame, new: DataFrame) -> DataFrame:
+def _joined(comps: DataFrame, new: DataFrame) -> DataFrame:
     """Components after new links; where there are none they are as before."""
-    return comps if new.isEmpty() else stash(connected_components(links.unionByName(new)), "components")
+    if new.isEmpty():
+        return comps
+    known = comps.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    return stash(connected_components(known.unionByName(new)), "components")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, ratio: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", lower: bool = True, recall: float = 1 - 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, ratio: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", lower: bool = True, recall: float = 0.99999) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept (is the smallest id of its component).
 
-    ``ratio`` is the least similarity as numerator and denominator, compared in integers.
+    ``ratio`` is the least similarity as numerator and denominator, compared in
+    integers; ``recall`` is that of a pair just at it.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    depth, trees = tree_shape(docs.count(), ratio[0] / ratio[1], recall)
-    signed_docs = stash(docs.mapInArrow(_signatures(k, lower, depth, trees), "doc_id long, n_shingles long, h1 long, h2 long, nodes array<long>"), "signatures")
+    forest = forest_for(docs.count(), ratio[0] / ratio[1], recall)
+    signed_docs = stash(docs.mapInArrow(_signatures(k, lower, forest.width), "doc_id long, n_shingles long, digest binary, tokens binary, sketch binary"), "signatures")
 
     full = signed_docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("nodes").alias("nodes"))
-    steps = classes.select("rep", F.posexplode("nodes").alias("tree", "node"))
-    size = steps.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    members = stash(steps.join(size, "node").select("rep", "tree", "node", "n"), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stash(docs.join(wanted, "doc_id", "left_semi").distinct().mapInArrow(_sets(k, lower), "id long, items array<long>"), "sets")
-
-    # The pivot of a node is its document that meets most others in all trees; the home of a document, its most frequent pivot.
-    degree = members.groupBy("rep").agg(F.sum("n").alias("degree"))
-    central = F.struct("degree", (-F.col("rep")).alias("rep"))
-    pivots = members.join(degree, "rep").groupBy("node").agg((-F.max(central)["rep"]).alias("pivot"))
-    meets = members.join(pivots, "node").where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("times"))
-    homes = meets.groupBy("rep").agg(F.max(F.struct("times", (-F.col("pivot")).alias("pivot"))).alias("best")).select("rep", (-F.col("best.pivot")).alias("home"), F.col("best.times").alias("times"))
-    homes = stash(homes, "homes")
+    classes = stash(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    firsts = full.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
+    marked = stash(firsts.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp"), "tokens", "sketch", F.lit(None).cast("array<int>").alias("alive")), "marked")
+    members = _grow(marked.drop("sketch"), forest, forest.first, forest.last, fresh=True)
+    wanted = stash(members.select(F.col("rep").alias("doc_id")).distinct(), "met")
+    few = wanted.count() <= BROADCAST_IDS
+    release(docs.sparkSession)
+    sets = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(_sets(k, lower), "id long, items array<long>")
+    sets = stash(sets.distinct(), "sets")
+
+    homes = _homes(members)
     links = _links(sets, homes.select(F.col("rep").alias("a"), F.col("home").alias("b")), ratio)
     comps = stash(connected_components(links), "components")
-
-    # A cluster is what hangs together by frequent homes, similar enough or not.  The documents of a
-    # cluster outside its largest component meet all of it, block by block.
-    near = stash(connected_components(homes.where(F.col("times") >= HOME_TREES).select(F.col("rep").alias("src"), F.col("home").alias("dst"))), "near")
-    placed = wanted.select(F.col("doc_id").alias("rep")).join(near, F.col("rep") == near["node"], "left").select("rep", F.coalesce("component", "rep").alias("cluster"))
-    placed = placed.join(comps, placed["rep"] == comps["node"], "left").select("rep", "cluster", F.coalesce("component", "rep").alias("comp"))
-    main = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg((-F.max(F.struct("n", (-F.col("comp")).alias("comp")))["comp"]).alias("main"))
-    clusters = stash(placed.join(main, "cluster").select("rep", "comp", "cluster", (F.col("comp") != F.col("main")).alias("is_loose")), "clusters")
-    inner = _cluster_links(clusters, sets, ratio)
-    comps2 = _joined(comps, links, inner)
-
-    # What meets in a node across clusters, and is not connected by now: pair by pair.
-    placed = members.join(clusters.select("rep", "cluster"), "rep").join(comps2, F.col("rep") == comps2["node"], "left").select(members["node"], "rep", "cluster", F.coalesce("component", "rep").alias("comp"))
-    mixed = placed.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("cluster").alias("c1"), F.max("cluster").alias("c2")).where("low < high AND c1 < c2").select("node")
-    open_nodes = stash(placed.join(mixed, "node", "left_semi"), "open")
-    one, two = (open_nodes.select("node", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "comp", "cluster"))) for x in "ab")
-    across = one.join(two, "node").where("rep_a < rep_b AND comp_a <> comp_b AND cluster_a <> cluster_b")
-    pairs = stash(across.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), "pairs")
-    more = _links(sets, pairs, ratio)
-
-    twice = full.join(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), ["h1", "h2"]).select("doc_id", "n_shingles", "rep")
+    release(docs.sparkSession)
+    comps = _joined(comps, _node_links(members.where("NOT large").select("rep", "node"), comps, marked, sets, ratio, forest.width))
+
+    # Large nodes of several components are branched further, until none is left.
+    large, depth = members.where("large"), forest.last
+    while not (live := stash(_mixed_paths(large, comps), "live")).isEmpty():
+        alive = live.groupBy("rep", "comp").agg(F.collect_set("tree").alias("alive"))
+        first, depth = depth + 1, min(depth + 4 * LEVELS, MAX_DEPTH)
+        deeper = _grow(marked.select("rep", "tokens").join(alive, "rep").select("rep", "comp", "tokens", "alive"), forest, first, depth, fresh=False)
+        ends = deeper if depth == MAX_DEPTH else deeper.where("NOT large")
+        comps = _joined(comps, _node_links(ends.select("rep", "node"), comps, marked, sets, ratio, forest.width))
+        large = deeper.where("large")
+        if depth == MAX_DEPTH:
+            break
+
+    twice = full.select("doc_id", "n_shingles", "digest").join(classes, "digest").select("doc_id", "n_shingles", "rep")
     named = stash(signed_docs.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("rep")).unionByName(twice), "named")
     several = named.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("src"), F.max("rep").alias("top")).where("src < top").select("doc_id", "src")
-    several = named.join(several, "doc_id").select("src", F.col("rep").alias("dst"))
-    final = _joined(comps2, links.unionByName(inner), more.unionByName(several))
-    for table in (signed_docs, members, sets, homes, near, clusters, open_nodes, pairs):
+    comps = _joined(comps, named.join(several, "doc_id").select("src", F.col("rep").alias("dst")))
+    for table in (signed_docs, classes, marked, members, wanted, sets, homes, links):
         discard(table)
-    out = named.join(final, named["rep"] == final["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    out = named.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 5, ratio: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = 1_000_000) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of its component.
+def _mixed_paths(large: DataFrame, comps: DataFrame) -> DataFrame:
+    """``(rep, comp, tree)`` of members of large nodes that still hold several components."""
+    placed = _placed(large.select("rep", "tree", "node"), comps)
+    mixed = stash(placed.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("node"), "mixed")
+    return placed.join(mixed, "node").select("rep", "comp", "tree")
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, ratio: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``docs``, all columns, one of each component: that of the smallest id, null ids last.
 
-    The ids that go are broadcast if they are no more than ``broadcast_ids``, and joined otherwise.
+    Every row is judged by itself, whatever its id: of repeated rows one stays, null ids
+    are deduplicated too, and a different text under the same id is not a copy.  The
+    rows that go are broadcast if they are no more than ``broadcast_ids``, and joined
+    otherwise.
     """
-    gone = stash(near_duplicates(docs, k, ratio, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
-    return docs.join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, id_col, "left_anti").select(*docs.columns)
+    rows = stash(docs.withColumn("__row__", F.monotonically_increasing_id()), "rows")
+    near = stash(near_duplicates(rows, k, ratio, "__row__", text_col).select(F.col("doc_id").alias("__row__"), "component_id"), "near")
+    together = near.join(near.where("component_id <> __row__").select("component_id").distinct(), "component_id", "left_semi")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row__"))
+    ranked = together.join(rows.select("__row__", id_col), "__row__")
+    stays = stash(ranked.groupBy("component_id").agg(F.min(order)["__row__"].alias("stays")), "stays")
+    gone = stash(together.join(stays, "component_id").where("__row__ <> stays").select("__row__"), "dropped")
+    return rows.join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, "__row__", "left_anti").select(*docs.columns)

@@ -6,20 +6,24 @@ document labels alone, weighs the passages; the weighted sum of their codes give
 score (Ilse, Tomczak and Welling, 2018).  So a document is judged by the passages
 that tell most, however long it is, and the attention weights name them.
 
-The model is fitted on a bounded sample of labelled rows: the ``max_train`` rows that
-are first by a hash of the id, of those up to ``max_train_chars`` characters (longer
-ones would make the sample's size unbounded).  It is a few hundred kilobytes, is sent
-to the executors, and scores every whole text where it lies.
+The model is fitted on a bounded sample of labelled rows: the ``max_train`` ids that
+are first by a hash of the id, of texts up to ``max_train_chars`` characters, in that
+order as long as they have no more than ``max_passages`` passages together.  One
+executor task fits it, so no text comes to the driver; the model is a hundred
+kilobytes, is sent to the executors, and scores every whole text where it lies.
 
 Defined cases: null, empty and blank texts are one passage without bigrams and get a
 score; labels that are null, not 0 or 1, or that contradict each other for an id are
 left out; with no labels of one kind the score is that share of the other; an id that
-occurs in several rows is scored for each; columns with clashing names are kept apart.
+occurs in several rows is scored for each and is learned from once, by the least of
+its texts; an empty table gives an empty result; columns with clashing names are kept
+apart.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -120,16 +124,20 @@ def _gradients(model: AttentionModel, x: np.ndarray, cuts: np.ndarray, y: np.nda
     return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "a": (tv * su).T @ dlogit, "c": z.T @ err, "d": err.sum(keepdims=True)}
 
 
-def fit(texts: list[str], labels: list[int], steps: int = 1500, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> AttentionModel:
-    """Learn from labelled texts by Adam on the cross entropy of document labels."""
+def as_bags(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The passages of each text, a row of features for each."""
+    for _, _, data, offsets in text_slices(texts):
+        edges, again, cuts = passages(data, offsets)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            parts = [features(data, edges[i : min(i + CHUNK, b) + 1], again[i : min(i + CHUNK, b)]).astype(np.float16) for i in range(a, b, CHUNK)]
+            yield parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def fit(bags: list[np.ndarray], labels: list[int], steps: int = 1500, batch: int = 64, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> AttentionModel:
+    """Learn from labelled bags of passages by Adam on the cross entropy of document labels."""
     y = np.array(labels, dtype=np.float32)
     if not len(y) or y.min() == y.max():
         return AttentionModel(None, float(y.mean()) if len(y) else 0.5)
-    bags = []
-    for _, _, data, offsets in text_slices(pa.array(texts, pa.large_string())):
-        edges, again, cuts = passages(data, offsets)
-        x = features(data, edges, again)
-        bags += [x[a:b].astype(np.float16) for a, b in zip(cuts[:-1], cuts[1:])]
     rng = np.random.default_rng(seed)
     shape = {"W": (BUCKETS + 1, CODE), "b": (CODE,), "V": (CODE, ATTENTION), "U": (CODE, ATTENTION), "a": (ATTENTION,), "c": (CODE,), "d": (1,)}
     w = {k: (rng.normal(0, 1 / np.sqrt(s[0]), s) if k not in "bd" else np.zeros(s)).astype(np.float32) for k, s in shape.items()}
@@ -155,15 +163,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = 3000, max_train_chars: int = 100_000) -> AttentionModel:
-    """Fit on a bounded sample of the labelled rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = 3000, max_train_chars: int = 100_000, max_passages: int = 50_000) -> AttentionModel:
+    """Fit on a bounded sample of the labelled rows that are not held out, in one executor task."""
     known = labels.where(~held_out(F.col(id_col)) & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     known = known.groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).alias("y"), F.max(label_col).alias("other")).where("y = other")
-    picked = known.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(max_train).select("doc_id", "y")
+    place = F.xxhash64(F.lit(3), "doc_id").alias("place")
+    picked = known.select("doc_id", F.col("y").cast("int").alias("y"), place).orderBy("place", "doc_id").limit(max_train)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.length("text") <= max_train_chars)
-    rows = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], [int(r["y"]) for r in rows])
+    sample = texts.join(F.broadcast(picked), "doc_id").groupBy("place", "doc_id", "y").agg(F.min("text").alias("text"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags, labels, room = [], [], max_passages
+        for batch in batches:
+            for bag, y in zip(as_bags(batch.column("text")), batch.column("y").to_pylist()) if room > 0 else ():
+                room -= len(bag)
+                if room < 0:
+                    break
+                bags.append(bag)
+                labels.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(bags, labels))], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).sortWithinPartitions("place", "doc_id").select("text", "y").mapInArrow(learn, "model binary").first()
+    return pickle.loads(bytes(found["model"])) if found else AttentionModel(None)
 
 
 def add_score(docs: DataFrame, model: AttentionModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -181,15 +202,15 @@ def add_score(docs: DataFrame, model: AttentionModel, text_col: str = "text", sc
     return judged.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, **sample: int) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, **bounds: int) -> DataFrame:
     """Per document: doc_id, held_out, score and predicted."""
-    model = train(docs, labels, id_col, text_col, label_col, **sample)
+    model = train(docs, labels, id_col, text_col, label_col, **bounds)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = add_score(rows, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, **sample: int) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, **bounds: int) -> DataFrame:
     """The rows of ``docs``, all columns, that score ``threshold`` or more."""
-    model = train(docs, labels, id_col, text_col, label_col, **sample)
+    model = train(docs, labels, id_col, text_col, label_col, **bounds)
     return add_score(docs, model, text_col, "__score__").where(F.col("__score__") >= threshold).select(*docs.columns)

@@ -1,9 +1,9 @@
 """Vectorised word arithmetic over Arrow text columns.
 
 A batch of texts is one byte buffer with offsets.  Everything here works on that
-buffer with NumPy: words are found by a byte table, hashed by a polynomial over
-randomised bytes, and windows of words by a second polynomial over mixed word
-hashes.  No Python object is made per word.
+buffer with NumPy: words are found by a byte table, hashed eight bytes at a time,
+and runs of words by a polynomial modulo a prime over word hashes.  No Python object
+is made per word.
 
 A word is a maximal run of bytes outside space, tab, LF, VT, FF and CR, which is
 the character class ``[^\\x20\\x09-\\x0D]+`` because all six are single bytes in
@@ -12,6 +12,7 @@ UTF-8.  Hashes are fixed functions of the bytes: equal on every executor.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -45,45 +46,105 @@ def stream(seed: int, n: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 20)) * np.uint64(0x9E3779B97F4A7C15))
 
 
+#: The Mersenne prime of the polynomial over words; residues of 61 bits.
+PRIME = (1 << 61) - 1
+_P, _S61, _S32, _S29 = np.uint64(PRIME), np.uint64(61), np.uint64(32), np.uint64(29)
+_LOW31, _LOW30, _LOW32, _LOW29 = (np.uint64((1 << n) - 1) for n in (31, 30, 32, 29))
+_S31W, _S30W, _ONE = np.uint64(31), np.uint64(30), np.uint64(1)
+
+
+def reduce61(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit values modulo 2**61 - 1."""
+    x = (x & _P) + (x >> _S61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def mul61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of residues modulo 2**61 - 1, from halves that fit 64 bits."""
+    ah, al, bh, bl = a >> _S31W, a & _LOW31, b >> _S31W, b & _LOW31
+    mid = ah * bl + al * bh
+    return reduce61(((ah * bh) << _ONE) + (mid >> _S30W) + ((mid & _LOW30) << _S31W) + al * bl)
+
+
+def _sums61(terms: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, 2, ... residues, modulo 2**61 - 1."""
+    out = np.zeros(len(terms) + 1, dtype=np.uint64)
+    high, low = np.cumsum(terms >> _S32), np.cumsum(terms & _LOW32)
+    out[1:] = reduce61((high >> _S29) + ((high & _LOW29) << _S32) + reduce61(low))
+    return out
+
+
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of a base and of its inverse modulo 2**61 - 1, grown on demand."""
 
     def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.base, self.inverse = base, pow(base, -1, PRIME)
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, SLICE_BYTES + 1)
+            size = max(n, SLICE_BYTES // 4)
             self.up, self.down = (self._run(b, size) for b in (self.base, self.inverse))
         return self.up[:n], self.down[:n]
 
     @staticmethod
     def _run(b: int, n: int) -> np.ndarray:
-        out = np.full(n, b, dtype=np.uint64)
-        out[0] = 1
-        return np.cumprod(out, dtype=np.uint64)
+        out = np.ones(n, dtype=np.uint64)
+        done = 1
+        while done < n:
+            more = min(done, n - done)
+            out[done : done + more] = mul61(out[:more], np.uint64(pow(b, done, PRIME)))
+            done += more
+        return out
+
+
+#: Words of more bytes are hashed by BLAKE2b, shorter ones by mixing eight bytes at a time.
+LONG_WORD = 64
 
 
 class Family:
-    """One independent hash of bytes, words and windows of words."""
+    """One hash of words and of runs of words; two families are independent of each other.
+
+    A word is mixed in eight bytes at a time by a function that is not linear, or is
+    digested if it is long; a run of words is a polynomial modulo a prime over their
+    hashes.  So texts of a regular make do not collide, as they would modulo 2**64.
+    """
 
     def __init__(self, seed: int):
-        self.byte = stream(seed, 256)
-        self.bytes_base, self.words_base = Powers(int(stream(seed + 1, 1)[0]) | 1), Powers(int(stream(seed + 2, 1)[0]) | 1)
+        self.seed = int(stream(seed, 1)[0])
+        self.key = self.seed.to_bytes(8, "little")
+        self.words_base = Powers(int(stream(seed + 2, 1)[0]) % PRIME)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        up, down = self.bytes_base.to(len(data) + 1)
-        prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.byte[data] * up[:-1], out=prefix[1:])
-        return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-    def windows(self, words: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-        """Hashes of ``words[s : s + k]`` for every s in ``starts``."""
+        sizes = ends - starts
+        eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=np.concatenate([data, np.zeros(16, np.uint8)]), strides=(1,))
+        out = mix(sizes.astype(np.uint64) + np.uint64(self.seed))
+        long = np.flatnonzero(sizes > LONG_WORD)
+        left = np.where(sizes > LONG_WORD, 0, sizes)
+        here, at = np.arange(len(sizes)), starts
+        for k in range(LONG_WORD // 8):
+            if k:
+                here = np.flatnonzero(left > 8 * k)
+                at = starts[here] + 8 * k
+            if not len(here):
+                break
+            n = np.minimum(left[here] - 8 * k, 8).astype(np.uint64)
+            cut = (np.uint64(8) - n) * np.uint64(8)
+            chunk = np.where(n > 0, eight[at] << (cut & np.uint64(63)), np.uint64(0))
+            out[here] = mix((out[here] ^ chunk) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k + 1))
+        raw = memoryview(np.ascontiguousarray(data))
+        for i in long.tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8, key=self.key).digest(), "little")
+        return out
+
+    def spans(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+        """Hashes of ``words[s : s + n]`` for every s in ``starts`` and n in ``sizes``."""
         up, down = self.words_base.to(len(words) + 1)
-        prefix = np.zeros(len(words) + 1, dtype=np.uint64)
-        np.cumsum(words * up[:-1], out=prefix[1:])
-        return mix((prefix[starts + k] - prefix[starts]) * down[starts] + np.uint64(k))
+        prefix = _sums61(mul61(reduce61(words), up[:-1]))
+        value = mul61(reduce61(prefix[starts + sizes] + (_P - prefix[starts])), down[starts])
+        return mix(value + np.asarray(sizes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    windows = spans
 
 
 FIRST, SECOND = Family(11), Family(23)

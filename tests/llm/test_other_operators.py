@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,12 +59,20 @@ def test_quality_edges(spark):
     assert {r.score for r in quality.quality_scores(rows, none).collect()} == {0.5}
     labels = spark.createDataFrame([(1, 1), (2, 1), (2, 0), (3, None)], "doc_id long, quality int")
     assert all(0 <= r.score <= 1 for r in quality.quality_scores(rows, labels).collect())
-    model = quality.fit(["good words here", "!!! ### $$$"] * 20, [1, 0] * 20)
+    model = quality.fit(list(quality.as_bags(pa.array(["good words here", "!!! ### $$$"] * 20))), [1, 0] * 20)
     kept = quality.add_score(rows, model, score_col="s")
     assert kept.columns == ["doc_id", "text", "score", "s"] and all(0 <= r.s <= 1 for r in kept.collect())
     assert quality.quality_scores(rows.limit(0), labels).count() == 0
 
 
+def test_quality_learns_alike_from_ids_with_several_texts(spark):
+    rows = spark.createDataFrame([(i, t) for i in range(40) for t in ("good words here", "more of them", "!! ## $$")[i % 2 :]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, "doc_id long, quality int")
+    one, two = (sorted(map(tuple, quality.quality_scores(r, labels, max_passages=25).collect()), key=str) for r in (rows, rows.orderBy(F.rand(1)).repartition(5)))
+    assert one == two
+    assert {r.score for r in quality.quality_scores(rows, labels, max_passages=0).collect()} == {0.5}
+
+
 # ------------------------------------------------------------------ urls
 
 

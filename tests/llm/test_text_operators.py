@@ -13,7 +13,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from leakwright.llm.chosen_path import block_links, drop_near_duplicates, near_duplicates, tree_shape
+from leakwright.llm import chosen_path
+from leakwright.llm.chosen_path import drop_near_duplicates, forest_for, near_duplicates, near_pairs, set_links
 from leakwright.llm.exact_dedup import exact_duplicates
 from leakwright.llm.line_dedup import drop_boilerplate, host_of
 from leakwright.llm.substring import DIFFERENCE_SETS, cover_for, drop_repeated_passages
@@ -156,19 +157,61 @@ def test_near_duplicates_edges(spark):
 
 
 def test_recall_of_trees():
-    for n in (10, 10**5, 10**9):
-        depth, trees = tree_shape(n, 0.8)
-        assert 1 - (1 - 0.8**depth) ** trees >= 1 - 1e-6
+    for n in (0, 10, 10**5, 10**9):
+        forest = forest_for(n, 0.8)
+        assert 1 - (1 - 0.8**forest.last) ** forest.trees >= 0.99999
+        assert all(len(set(forest.selected(t).tolist())) == forest.width for t in (0, forest.trees - 1))
+        assert len({c for t in range(forest.trees) for c in forest.selected(t)[: forest.last].tolist()}) == forest.trees * forest.last
 
 
-def test_blocks_count_intersections():
+def test_pairs_and_links_across_components():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 40)) for _ in range(25)]
-    got = block_links(sets[:10], sets[10:], (50, 100))
-    for i in range(10):
-        for j in range(15):
-            both = len(np.intersect1d(sets[i], sets[10 + j]))
-            assert got[i, j] == (100 * both >= 50 * (len(sets[i]) + len(sets[10 + j]) - both))
+    comps = rng.integers(0, 6, 25)
+    pairs = {(i, j) for i in range(25) for j in range(i) if comps[i] != comps[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 50 * len(np.union1d(sets[i], sets[j]))}
+    found = set_links(list(range(25)), comps.tolist(), sets, (50, 100))
+    assert {(max(p), min(p)) for p in found} <= pairs and len(found) < 6
+
+    def merged(links):
+        label = {int(c): int(c) for c in comps}
+        for i, j in links:
+            a, b = label[int(comps[i])], label[int(comps[j])]
+            label = {k: min(a, b) if v in (a, b) else v for k, v in label.items()}
+        return label
+
+    assert merged(found) == merged(pairs)
+    sketches = rng.integers(0, 3, (25, 128)).astype(np.uint8)
+    one, two = near_pairs(sketches, comps, 0.35)
+    want = {(i, j) for i in range(25) for j in range(25) if comps[i] != comps[j] and (sketches[i] == sketches[j]).mean() >= 0.35}
+    assert {frozenset(p) for p in zip(one.tolist(), two.tolist())} == {frozenset(p) for p in want}
+
+
+@pytest.mark.parametrize("pairs", [1, 40])
+def test_recursion_into_large_nodes(spark, monkeypatch, pairs):
+    """With few pairs a node, groups are branched down to the last level, and nothing is lost there."""
+    monkeypatch.setattr(chosen_path, "NODE_PAIRS", pairs)
+    monkeypatch.setattr(chosen_path, "MAX_DEPTH", 8)
+    monkeypatch.setattr(chosen_path, "BROADCAST_IDS", 0)
+    texts = corpus(90, seed=11)
+    assert sorted(map(tuple, near_duplicates(docs(spark, texts), k=2).collect())) == components(texts, 2)
+
+
+def test_words_of_a_regular_make_are_told_apart(spark):
+    """Two words of 4,096 letters that polynomials modulo 2**64 do not tell apart."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = one.translate(str.maketrans("ab", "ba"))
+    words = [f"w{i}" for i in range(49)]
+    got = near_duplicates(docs(spark, [one, other]), k=2).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 1)]
+    got = drop_repeated_passages(docs(spark, [" ".join([*words, one]), " ".join([*words, other]), " ".join([*words, one])]), window=50).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(0, 0), (1, 0), (2, 50)]
+
+
+def test_rows_are_dropped_each_by_itself(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, text), (7, text), (7, "another text under the same id"), (None, text), (3, text + " x"), (None, "quite another one here"), (None, "quite another one here")]
+    kept = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), broadcast_ids=0).collect()
+    assert sorted(((r.doc_id or -1), r.text) for r in kept) == sorted([(3, text + " x"), (7, "another text under the same id"), (-1, "quite another one here")])
 
 
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
