@@ -22,7 +22,8 @@ any store that Spark can reach will do.  The table is not compressed, as a segme
 is addressed in place.
 
 Defined cases: null text is empty, so it has the end id alone; null ids sort first;
-equal ids are ordered by text; equal rows are written once each; an empty table
+equal ids are ordered by the first 32 characters, a hash and the text, and are dealt to
+several tasks if they are many; equal rows are written once each; an empty table
 gives an empty file; further columns are ignored.
 """
 
@@ -32,6 +33,7 @@ import itertools
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,21 +59,22 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
 
 
+_SPACE = _byte_letters()[0x20]
 _SPELL = {c: "".join(map(_byte_letters().__getitem__, chr(c).encode())) for c in range(0x250)}
 
 
 class _Known(dict):
-    """Ids of pieces seen so far; others are worked out, and kept while there is room."""
+    """What was worked out so far; letters are kept while there is room, other things while half of it is free."""
 
     def __init__(self, work, room: int):
         super().__init__()
         self.work, self.room = work, room
 
-    def __missing__(self, piece: str):
-        ids = self.work(piece)
-        if len(self) < self.room and len(piece) <= 64:
-            self[piece] = ids
-        return ids
+    def __missing__(self, key: str):
+        found = self.work(key)
+        if len(self) < (self.room if key.isalpha() else self.room // 2) and len(key) <= 64:
+            self[key] = found
+        return found
 
 
 class TokenEncoder:
@@ -79,10 +82,12 @@ class TokenEncoder:
 
     For a byte-level tokenizer a single space that has no white space on both sides
     always begins a new pre-token, so texts are cut there and the ids of recurring
-    pieces are remembered.  Any text with other spacing is encoded in one go.
+    pieces are remembered.  Any text with other spacing is encoded in one go.  Plain
+    words are remembered for themselves; those with marks after them are put together
+    from word and marks, and are remembered as long as half of the room is free.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 800_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
@@ -90,11 +95,12 @@ class TokenEncoder:
         self.by_piece = self.whole.normalizer is None and isinstance(before, pre_tokenizers.ByteLevel) and not before.add_prefix_space and before.use_regex
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.model, self.before = self.whole.model, before
-        self.units = _Known(self._unit, room)
+        self.units = _Known(self._unit, room // 8)
         self.pieces = _Known(self._piece, room)
+        self.heads = _Known(self._head, room // 8)
 
     def _unit(self, unit: str) -> bytes:
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(unit))
+        return array("I", [t.id for t in self.model.tokenize(unit)]).tobytes()
 
     def _text(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -108,9 +114,22 @@ class TokenEncoder:
         """Ids of a piece and the space before it; none where that space may belong to a longer run."""
         if plain := _PLAIN.fullmatch(piece):
             word, marks = plain.groups()
-            word = self.units[(" " + word).translate(_SPELL)]
-            return word + self.units[marks] if marks else word
-        return self._run(" " + piece) if piece and not piece[0].isspace() else None
+            if not marks:
+                return self._unit(_SPACE + word if word.isascii() else (" " + word).translate(_SPELL))
+            return self.pieces[word] + self.units[marks]
+        if not piece or piece[0].isspace():
+            return None
+        first, *lines = piece.split("\n")
+        if lines and all(lines) and not any(x[0].isspace() or x[-1].isspace() for x in (first, *lines)):
+            return b"".join([self.pieces[first], *(self.units["\u010a"] + self.heads[x] for x in lines)])
+        return self._run(" " + piece)
+
+    def _head(self, piece: str) -> bytes:
+        """Ids of a piece at the begin of a line: a line feed alone between other characters is a pre-token of its own."""
+        if plain := _PLAIN.fullmatch(piece):
+            word, marks = plain.groups()
+            return self.units[word if word.isascii() else word.translate(_SPELL)] + (self.units[marks] if marks else b"")
+        return self._run(piece)
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece:
@@ -135,26 +154,39 @@ def encoder(path: str) -> TokenEncoder:
 # ---------------------------------------------------------------- segments
 
 
+def _spread(n: int, width: int) -> list[tuple[int, int, int]]:
+    """Of eight codes of a width, which byte each overlaps and how far its bits are shifted there."""
+    return [(code, byte, 8 * (byte + 1) - width * (code + 1)) for code in range(n) for byte in range(code * width // 8, ((code + 1) * width - 1) // 8 + 1)]
+
+
 def pack(values: np.ndarray, width: int) -> bytes:
-    size = 8 if width <= 8 else 16 if width <= 16 else 32
-    bits = np.unpackbits(values.astype(f">u{size // 8}").view(np.uint8)).reshape(-1, size)[:, size - width :]
-    return np.packbits(bits).tobytes()
+    """Codes of ``width`` bits one after another, high bits first; eight of them fill ``width`` bytes."""
+    n = len(values)
+    codes = np.zeros(-(-n // 8) * 8, dtype=np.uint64)
+    codes[:n] = values
+    codes = np.ascontiguousarray(codes.reshape(-1, 8).T)
+    out = np.zeros((width, codes.shape[1]), dtype=np.uint8)
+    for code, byte, shift in _spread(8, width):
+        out[byte] |= (codes[code] << np.uint64(shift) if shift >= 0 else codes[code] >> np.uint64(-shift)).astype(np.uint8)
+    return out.T.tobytes()[: -(-n * width // 8)]
 
 
 def unpack(raw: bytes | memoryview, n: int, width: int) -> np.ndarray:
-    size = 8 if width <= 8 else 16 if width <= 16 else 32
-    bits = np.zeros((n, size), dtype=np.uint8)
-    bits[:, size - width :] = np.unpackbits(np.frombuffer(raw, np.uint8), count=n * width).reshape(n, width)
-    return np.packbits(bits, axis=1).view(f">u{size // 8}").ravel().astype(np.uint32)
+    whole = np.zeros(-(-n // 8) * width, dtype=np.uint8)
+    whole[: -(-n * width // 8)] = np.frombuffer(raw, np.uint8, -(-n * width // 8))
+    data = np.ascontiguousarray(whole.reshape(-1, width).T).astype(np.uint64)
+    codes = np.zeros((8, data.shape[1]), dtype=np.uint64)
+    for code, byte, shift in _spread(8, width):
+        codes[code] |= data[byte] >> np.uint64(shift) if shift >= 0 else data[byte] << np.uint64(-shift)
+    return (codes.T.ravel()[:n] & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
 def best_widths(ids: np.ndarray) -> tuple[int, ...]:
     """Chunk widths, lowest chunk first, that need the fewest bits for these ids."""
     if not len(ids):
         return (1,)
-    longer = np.zeros(33, dtype=np.int64)  # ids of more than b bits
-    edges = np.concatenate([[0], np.uint64(1) << np.arange(1, 33, dtype=np.uint64)])
-    longer[:] = len(ids) - np.searchsorted(np.sort(ids.astype(np.uint64)), edges)
+    of_bits = np.bincount(np.frexp(ids.astype(np.float64))[1], minlength=34)
+    longer = len(ids) - np.cumsum(of_bits)  # ids of more than b bits
     most = max(1, int(ids.max()).bit_length())
     best, found = None, (most,)
     for levels in range(1, MAX_LEVELS + 1):
@@ -290,7 +322,8 @@ def _write(tokenizer: str, end_id: int | None, segment_tokens: int):
 def write_token_table(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", segment_tokens: int = 1 << 16) -> None:
     """Encode every whole text and write the segments in ascending id order to ``path``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = [F.col("doc_id"), F.substring("text", 1, 32), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     segments = ordered.mapInArrow(_write(tokenizer, end_id, segment_tokens), _SEGMENTS)
     segments.write.option("compression", "none").option("parquet.block.size", 16 << 20).option("parquet.enable.dictionary", "false").parquet(path)
 
