@@ -10,13 +10,16 @@ Within a source every document is taken as often as all its documents fit, and t
 rest of the target is fitted to document lengths: the documents of each exact length
 are counted, each length gets its share of the rest, what rounding leaves is carried
 to the next shorter length, and a bounded-knapsack dynamic program over reachable
-sums closes the last budget with documents not yet taken.  Which documents of a
-length are taken once more is decided by a seeded hash of the row: those up to a
-threshold.  So a decision needs only the row and its length's entry in the plan.
+sums closes the last budget, ``DP_WORDS`` and what was carried, with documents not yet
+taken.  Which documents of a length are taken once more is decided by a seeded hash of
+the row: those up to a threshold.  Rows of one hash, which are repeated rows, are told
+apart by a number given when the sizes are written, and a second threshold.  So a
+decision needs only the row and its length's entry in the plan.
 
 Defined cases: null and blank texts have size 0 and no words taken; null is a source
-of its own; a source without words has target 0; equal rows have equal hashes and
-are taken alike; an empty table gives an empty result; further columns are ignored.
+of its own; a source without words has target 0; of equal rows as many are taken once
+more as the plan says, and which is all the same; an empty table gives an empty
+result; further columns are kept by ``mix`` and ignored by the report.
 """
 
 from __future__ import annotations
@@ -28,18 +31,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakwright.sources.shared_tables import discard, stash
+from leakwright.sources.shared_tables import stash
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a source's rest that are left to the dynamic program, and rows of a length ranked together.
-DP_WORDS = 4096
+DP_WORDS = 1 << 16
 BUCKET_ROWS = 1000
 #: A plan of up to this many (source, length) rows is broadcast, a larger one is joined.
 BROADCAST_ROWS = 200_000
 
 
 def sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Adds ``__source__`` (never null), ``__size__`` and ``__h__``, the row's seeded hash."""
+    """Adds ``__source__`` (never null), ``__size__``, ``__h__``, the row's seeded hash, and ``__r__``, another for each of equal rows."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = F.col(source_col).cast("string")
     return docs.select(
@@ -47,6 +50,7 @@ def sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: st
         F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("__source__"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("__size__"),
         F.xxhash64(F.lit(seed), F.col(id_col), text).alias("__h__"),
+        F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).alias("__r__"),
     )
 
 
@@ -112,9 +116,31 @@ def fit_lengths(sizes: np.ndarray, counts: np.ndarray, target: float, max_repeat
     return repeats, extra
 
 
+def _edges(cells: DataFrame, wanted: DataFrame, key: list[str], order: str) -> DataFrame:
+    """``(key, edge, rest, weight)``: where the ``extra`` first of a key's ``n`` rows end, in the order of a hash.
+
+    ``cells`` has the key, the hash and how many rows have it; ``wanted`` has the key, n
+    and extra.  ``rest`` of the ``weight`` rows at the edge belong to the first.  Sums
+    over buckets of hashes find the bucket of the edge, and only that one is ranked.
+    """
+    some = wanted.select(*key, "extra", F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))
+    bucket = F.least(F.floor((F.col(order).cast("double") / 2.0**64 + 0.5) * F.col("buckets")), F.col("buckets") - 1)
+    dealt = cells.join(some, key).select(*key, "extra", order, "weight", bucket.alias("bucket"))
+    earlier = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    quota = dealt.groupBy(*key, "bucket", "extra").agg(F.sum("weight").alias("here")).withColumn("quota", F.col("extra") - F.coalesce(F.sum("here").over(earlier), F.lit(0)))
+    quota = stash(quota.where("quota > 0 AND quota <= here").select(*key, "bucket", "quota"), "quota")
+    upto = F.sum("weight").over(Window.partitionBy(*key, "bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = dealt.join(quota, [*key, "bucket"]).withColumn("upto", upto)
+    return ranked.where("upto >= quota AND upto - weight < quota").select(*key, F.col(order).alias("edge"), (F.col("quota") - F.col("upto") + F.col("weight")).alias("rest"), "weight")
+
+
 def mixing_plan(rows: DataFrame, weights: tuple[float, ...], max_repeats: int) -> DataFrame:
-    """``(__source__, __size__, source_size, target, repeats, up_to)``: rows with a hash up to ``up_to`` are taken once more."""
-    lengths = stash(rows.groupBy("__source__", "__size__").agg(F.count("*").alias("n")), "lengths")
+    """``(__source__, __size__, source_size, target, repeats, up_to, within)``: which rows are taken once more.
+
+    They are those with a hash below ``up_to``, and of those at it the ones whose second hash is no more than ``within``.
+    """
+    key = ["__source__", "__size__"]
+    lengths = stash(rows.groupBy(*key).agg(F.count("*").alias("n")), "lengths")
     totals = lengths.groupBy("__source__").agg(F.sum(F.col("__size__") * F.col("n")).alias("total"))
     targets = source_targets(totals, weights, max_repeats)
 
@@ -125,28 +151,28 @@ def mixing_plan(rows: DataFrame, weights: tuple[float, ...], max_repeats: int) -
 
     fitted = lengths.join(targets, "__source__").groupBy("__source__").applyInPandas(fit, "__source__ string, __size__ long, n long, source_size long, target double, repeats long, extra long")
     plan = stash(fitted, "plan")
-    # The hash up to which `extra` of the n rows of a length lie: whole buckets first, then ranks in one bucket.
-    some = plan.where("extra > 0 AND extra < n").select("__source__", "__size__", "extra", F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))
-    bucket = F.least(F.floor((F.col("__h__").cast("double") / 2.0**64 + 0.5) * F.col("buckets")), F.col("buckets") - 1)
-    dealt = rows.join(some, ["__source__", "__size__"]).select("__source__", "__size__", "extra", "__h__", bucket.alias("bucket"))
-    place = ["__source__", "__size__", "bucket"]
-    earlier = Window.partitionBy("__source__", "__size__").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    quota = dealt.groupBy(*place, "extra").agg(F.count("*").alias("here")).withColumn("quota", F.col("extra") - F.coalesce(F.sum("here").over(earlier), F.lit(0)))
-    quota = quota.where("quota > 0 AND quota <= here").select(*place, "quota")
-    ranked = dealt.join(quota, place).withColumn("rank", F.row_number().over(Window.partitionBy(*place).orderBy("__h__")))
-    edges = ranked.where("rank = quota").groupBy("__source__", "__size__").agg(F.max("__h__").alias("edge"))
+    cells = rows.groupBy(*key, "__h__").agg(F.count("*").alias("weight"))
+    edges = stash(_edges(cells, plan.where("extra > 0 AND extra < n"), key, "__h__"), "edges")
+    # Repeated rows at the edge: as many of them as the plan still wants, in the order of the second hash.
+    ties = edges.where("rest < weight").select(*key, F.col("edge").alias("__h__"), F.col("rest").alias("extra"), F.col("weight").alias("n"))
+    tied = rows.join(ties.select(*key, "__h__"), [*key, "__h__"]).select(*key, "__r__", F.lit(1).alias("weight"))
+    within = _edges(tied, ties.drop("__h__"), key, "__r__").select(*key, F.col("edge").alias("within"))
     up_to = F.when(F.col("extra") <= 0, F.lit(None)).when(F.col("extra") >= F.col("n"), F.lit(2**63 - 1)).otherwise(F.col("edge"))
-    return plan.join(edges, ["__source__", "__size__"], "left").select("__source__", "__size__", "source_size", "target", "repeats", up_to.cast("long").alias("up_to"))
+    full = plan.join(edges.select(*key, "edge"), key, "left").join(within, key, "left")
+    return full.select(*key, "source_size", "target", "repeats", up_to.cast("long").alias("up_to"), "within")
 
 
 def _planned(docs: DataFrame, weights, max_repeats, seed, id_col, text_col, source_col, whole: bool) -> DataFrame:
+    """Rows with their copies; whole rows are written with their sizes, so that repeated ones keep their numbers."""
     rows = sized(docs, seed, id_col, text_col, source_col)
-    slim = stash(rows.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), "__source__", "__size__", "__h__"), "sizes")
-    plan = stash(mixing_plan(slim, weights, max_repeats), "mix")
+    slim = F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), "__source__", "__size__", "__h__", "__r__"
+    rows = stash(rows if whole else rows.select(*slim), "sizes")
+    plan = stash(mixing_plan(rows.select("__source__", "__size__", "__h__", "__r__"), weights, max_repeats), "mix")
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    copies = F.col("repeats") + F.coalesce((F.col("__h__") <= F.col("up_to")).cast("int"), F.lit(0))
-    return (rows if whole else slim).join(plan, ["__source__", "__size__"]).withColumn("__copies__", copies)
+    below = (F.col("__h__") < F.col("up_to")) | ((F.col("__h__") == F.col("up_to")) & F.coalesce(F.col("__r__") <= F.col("within"), F.lit(True)))
+    copies = F.col("repeats") + F.coalesce(below.cast("int"), F.lit(0))
+    return rows.join(plan, ["__source__", "__size__"]).withColumn("__copies__", copies)
 
 
 def mix_report(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

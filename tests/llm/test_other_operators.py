@@ -152,6 +152,21 @@ def test_mix_meets_targets(spark):
     assert mixing.mix_report(table.limit(0)).count() == 0 and mixing.mix(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [1000, 7])
+def test_mix_takes_some_of_repeated_rows(spark, monkeypatch, bucket):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    rows = [(1, "one two three four", "a")] * 1000 + [(2, "five six", "b")] * 700 + [(k, "w " * (k % 5), "c") for k in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    sizes = {"a": 4000, "b": 1400, "c": 1800}
+    got = mixing.mix_report(table).collect()
+    for s, want in targets(sizes).items():
+        assert abs(sum(r.taken for r in got if r.source == s) - want) <= 4
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_report(table.coalesce(1)).collect()))
+    mixed = mixing.mix(table)
+    assert sorted(map(tuple, mixed.groupBy("source").count().collect())) == sorted((s, sum(r.copies for r in got if r.source == s)) for s in sizes)
+
+
 def test_knapsack_is_optimal():
     rng = random.Random(1)
     for _ in range(60):
