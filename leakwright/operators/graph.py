@@ -28,18 +28,25 @@ def contract(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+#: Edges that one task reduces to stars at once.
+EDGES_A_TASK = 1_000_000
+
+
 def _contracted(edges: DataFrame) -> DataFrame:
-    """The edges of each partition as stars.  What fits one partition is settled by this alone."""
-    if edges.schema["u"].dataType.simpleString() != "bigint":
-        return edges
+    """Edges as stars within each share of EDGES_A_TASK, as a written table.  What fits one share is settled by this alone."""
+    whole = stash(edges, "edges")
+    fields = whole.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column("u").to_numpy(zero_copy_only=False), b.column("v").to_numpy(zero_copy_only=False)) for b in batches]
+        held = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v")] for b in batches]
         if held:
-            u, v = contract(*(np.concatenate(side) for side in zip(*held)))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            kind = [pa.string() if x.dtype == object else pa.from_numpy_dtype(x.dtype) for x in held[0]]
+            stars = contract(*(np.concatenate(side) for side in zip(*held)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(stars, kind)], names=["u", "v"])
 
-    return edges.mapInArrow(run, "u long, v long")
+    stars = stash(whole.coalesce(max(1, -(-whole.count() // EDGES_A_TASK))).mapInArrow(run, fields), "stars")
+    discard(whole)
+    return stars
 
 
 def _star_round(edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -67,7 +74,7 @@ def _settled(edges: DataFrame) -> bool:
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges``; the component is its smallest node.
 
-    Every partition first reduces its own edges to stars; then large-star and
+    Shares of the edges are first reduced to stars, each by one task; then large-star and
     small-star steps alternate until only stars are left, in a number of rounds that
     grows with the logarithm of the longest chain.  Each round is written to the
     shared folder, which cuts the lineage.  Edges with a null end and loops link
@@ -77,12 +84,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     a, b = F.col(src), F.col(dst)
     known = edges.select(a.alias("a"), b.alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     loops = known.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    now = stash(_contracted(known.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), "edges")
+    now = _contracted(known.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
         if _settled(now):
             break
         stepped, made = _star_round(now)
-        after = stash(_contracted(stepped), "edges")
+        after = _contracted(stepped)
         for table in (now, *made):
             discard(table)
         now = after
