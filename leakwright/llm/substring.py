@@ -8,9 +8,10 @@ modulo a period v, so for any two positions i and j there is a shift below v aft
 which both stand on D.  Two equal windows therefore share an anchor of
 ``window - v + 1`` words that stands at a cover position in both texts.  Anchors
 found in two documents mark the places where long matches can lie; only there
-every whole window is hashed, with 96 bits, and matched to the smallest document
-that has it.  That second step is the extension of anchors to long matches, and it
-is exact: it neither samples nor pairs the members of a group.
+every whole window is hashed, by two independent families of 61 bits, and matched to
+the smallest document that has it.  That second step is the extension of anchors to
+long matches; it neither samples nor pairs the members of a group.  Windows are matched
+in ``PASSES`` passes by their hash, so that only a share of them is shuffled at a time.
 
 Defined cases: null text has no words; empty and short texts keep all words; null
 ids neither remove words nor lose them; rows with equal ids never remove each
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakwright.llm.textcore import FIRST, SECOND, Words, signed, text_slices
-from leakwright.sources.shared_tables import discard, stash
+from leakwright.sources.shared_tables import discard, release, stash
+
+#: Passes in which windows are matched.
+PASSES = 2
 
 #: Perfect difference sets, period to members.
 DIFFERENCE_SETS = {
@@ -60,7 +65,7 @@ def _batch(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 
 _ANCHOR = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
-_WINDOW = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64())])
+_WINDOW = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.large_string())])
 
@@ -131,7 +136,7 @@ def _emit_windows(window: int):
                 yield _batch(
                     {
                         "h1": signed(FIRST.windows(hashes, begins, window)),
-                        "h2": (SECOND.windows(other, begins, window) >> np.uint64(32)).astype(np.uint32).view(np.int32),
+                        "h2": signed(SECOND.windows(other, begins, window)),
                         "doc_id": ids[at + of],
                         "place": _place(data, offsets)[of] + begins - words.first[of],
                     },
@@ -190,16 +195,21 @@ def _shared_anchors(docs: DataFrame, window: int) -> DataFrame:
 def _candidate_windows(docs: DataFrame, shared: DataFrame, window: int) -> DataFrame:
     per_doc = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
     near = docs.join(per_doc, "doc_id").select("doc_id", "text", "shared")
-    return stash(near.mapInArrow(_emit_windows(window), "h1 long, h2 int, doc_id long, place long"), "windows")
+    return stash(near.mapInArrow(_emit_windows(window), "h1 long, h2 long, doc_id long, place long"), "windows")
 
 
 def _repeated_places(windows: DataFrame) -> DataFrame:
     """``(doc_id, place)`` of windows that a document of smaller id has too."""
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low")
-    first = stash(first, "first")
-    found = stash(windows.join(first, ["h1", "h2"]).where("doc_id > low").select("doc_id", "place"), "repeated")
-    discard(first)
-    return found
+    found = []
+    for k in range(PASSES):
+        own = windows.where(F.pmod("h2", F.lit(PASSES)) == k)
+        first = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low")
+        first = stash(first, "first")
+        release(windows.sparkSession)
+        found.append(stash(own.join(first, ["h1", "h2"]).where("doc_id > low").select("doc_id", "place"), "repeated"))
+        discard(first)
+        release(windows.sparkSession)
+    return reduce(DataFrame.unionByName, found)
 
 
 def drop_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -210,9 +220,11 @@ def drop_repeated_passages(docs: DataFrame, window: int = 50, id_col: str = "doc
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shared = _shared_anchors(docs, window)
+    release(docs.sparkSession)
     windows = _candidate_windows(docs, shared, window)
-    repeated = _repeated_places(windows)
     discard(shared)
+    release(docs.sparkSession)
+    repeated = _repeated_places(windows)
     discard(windows)
     per_doc = repeated.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
     out = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept_text string")
