@@ -4,16 +4,17 @@ The pages of a site are counted, and for each of its lines the pages that contai
 it.  A line whose share of its site's pages exceeds ``max_ratio`` is boilerplate and
 is dropped from every page of that site.
 
-Only 128-bit hashes of lines are shuffled, counted per site before the shuffle.  A
-site of P pages with L distinct lines a page has at most L / ``max_ratio`` lines above
-the ratio, so the boilerplate of a site is a short list whatever the size of the
-site; texts are filtered where they lie.
+Lines are laid out once, as rows with two 64-bit hashes; only hashes are shuffled, counted
+per site before the shuffle.  Each row meets the boilerplate of its site in a hash join,
+and the places of the lines that go are gathered per text, so texts are cut where they
+lie and no list is searched for each line.
 
 Defined cases: lines are what LF separates; a line is compared without the white
 space around it, and blank lines are never dropped; null text has no lines and stays
 null; null is a site of its own; a line found on fewer than ``min_pages`` pages of a
-site is never boilerplate; equal rows are pages of their own; an empty table gives an
-empty result.
+site is never boilerplate; equal rows are pages of their own and get equal results; an
+empty table gives an empty result; columns of the same names as those used inside are
+kept apart.
 """
 
 from __future__ import annotations
@@ -23,8 +24,11 @@ from pyspark.sql import functions as F
 
 from leakwright.sources.shared_tables import stash
 
-#: The boilerplate of this many sites is broadcast at most, if it has no more than so many lines; beyond, it is joined.
-BROADCAST_SITES, BROADCAST_LINES = 100_000, 500_000
+#: So many boilerplate lines, and texts that lose lines, are broadcast at most; more are joined.
+BROADCAST_LINES, BROADCAST_TEXTS = 500_000, 100_000
+#: Tags of HTML that begin or end a line.
+BLOCK_TAGS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|meta|nav|ol|p|script|section|style|table|td|th|title|tr|ul)(?:[ /][^>]*)?>"
+_BLANK = r"[ \t\x0B\f\r]"
 
 
 def host_of(url: Column) -> Column:
@@ -32,40 +36,49 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[^:/?#]*://([^/?#]*)", 1))
 
 
-def _lines(text: Column) -> Column:
-    return F.split(text, "\n")
+def html_lines(html: Column) -> Column:
+    """Text of a page with a line feed in place of each block tag; other tags stay in their lines."""
+    return F.regexp_replace(html, BLOCK_TAGS, "\n")
 
 
-def _mark(line: Column) -> Column:
-    """128 bits of a line, as the pair of two seeded hashes; null for a blank line."""
-    bare = F.trim(F.translate(line, "\t\x0b\f\r", "    "))
-    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(1), bare).alias("b")))
+def _bare(text: Column) -> Column:
+    """The text with each of its lines free of the white space around it."""
+    return F.regexp_replace(F.regexp_replace(text, f"{_BLANK}*\n{_BLANK}*", "\n"), f"^{_BLANK}+|{_BLANK}+$", "")
 
 
 def _site(site: Column) -> Column:
     return F.when(site.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), site.cast("string")))
 
 
-def boilerplate(pages: DataFrame, site: Column, text: Column, max_ratio: float, min_pages: int) -> DataFrame:
-    """``(site, marks)``: of each site that has any, the marks of its boilerplate lines."""
-    marked = pages.select(_site(site).alias("site"), F.array_distinct(F.filter(F.transform(_lines(F.coalesce(text, F.lit(""))), _mark), lambda m: m.isNotNull())).alias("marks"))
-    totals = marked.groupBy("site").agg(F.count("*").alias("pages"))
-    counts = marked.select("site", F.explode("marks").alias("mark")).groupBy("site", "mark").agg(F.count("*").alias("n"))
-    common = counts.where(F.col("n") >= min_pages).join(totals, "site").where(F.col("n") > F.col("pages") * F.lit(max_ratio))
-    return common.groupBy("site").agg(F.collect_list("mark").alias("marks"))
+def _marks() -> list[Column]:
+    return [F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b")]
+
+
+def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
+    """``(site, a, b)``: the hashes of the boilerplate lines of each site of ``(site, text)``, as a written table."""
+    lines = pages.select("site", F.explode(F.array_distinct(F.split(_bare(F.col("text")), "\n"))).alias("line")).where("line <> ''")
+    counts = lines.select("site", *_marks()).groupBy("site", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    totals = stash(pages.groupBy("site").agg(F.count("*").alias("pages")), "totals")
+    return stash(counts.join(totals, "site").where(F.col("n") > F.col("pages") * F.lit(max_ratio)).select("site", "a", "b"), "boilerplate")
+
+
+def _sized(small: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(small) if small.count() <= most else small
 
 
 def drop_boilerplate(pages: DataFrame, site: Column | str = "source", text_col: str = "text", max_ratio: float = 0.05, min_pages: int = 3) -> DataFrame:
     """``pages`` with ``text`` free of boilerplate, and the counts ``n_lines`` and ``n_dropped`` added."""
-    site = F.col(site) if isinstance(site, str) else site
-    found = stash(boilerplate(pages, site, F.col(text_col), max_ratio, min_pages), "boilerplate")
-    size = found.agg(F.count("*").alias("sites"), F.coalesce(F.sum(F.size("marks")), F.lit(0)).alias("lines")).first()
-    if size["sites"] <= BROADCAST_SITES and size["lines"] <= BROADCAST_LINES:
-        found = F.broadcast(found)
-    found = found.select(F.col("site").alias("__site__"), F.col("marks").alias("__marks__"))
-    lines = _lines(F.col(text_col))
-    kept = F.filter(lines, lambda line: F.coalesce(~F.array_contains(F.col("__marks__"), _mark(line)), F.lit(True)))
-    joined = pages.join(found, _site(site) == F.col("__site__"), "left").withColumn("__kept__", F.when(F.col("__marks__").isNull(), lines).otherwise(kept))
-    before, after = F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size("__kept__"), F.lit(0))
-    rest = [F.array_join("__kept__", "\n").alias(text_col) if c == text_col else F.col(c) for c in pages.columns]
-    return joined.select(*rest, F.greatest(before, F.lit(0)).cast("long").alias("n_lines"), F.greatest(before - after, F.lit(0)).cast("long").alias("n_dropped"))
+    site = _site(F.col(site) if isinstance(site, str) else site)
+    text = F.col(text_col)
+    slim = pages.select(site.alias("site"), text.alias("text"))
+    found = boilerplate(slim, max_ratio, min_pages)
+    # Texts go by two hashes of site and text: equal ones lose equal lines.
+    name = lambda site, text: [F.xxhash64(site, text).alias("__k1__"), F.xxhash64(F.lit(1), site, text).alias("__k2__")]
+    lines = slim.select("site", *name(F.col("site"), F.col("text")), F.posexplode(F.split(_bare(F.col("text")), "\n")).alias("place", "line")).where("line <> ''")
+    hits = lines.select("site", "__k1__", "__k2__", "place", *_marks()).join(_sized(found, BROADCAST_LINES), ["site", "a", "b"], "left_semi")
+    gone = stash(hits.groupBy("__k1__", "__k2__").agg(F.collect_set("place").alias("__gone__")), "gone")
+    joined = pages.withColumns({"__k1__": name(site, text)[0], "__k2__": name(site, text)[1]}).join(_sized(gone, BROADCAST_TEXTS), ["__k1__", "__k2__"], "left")
+    whole = F.split(text, "\n")
+    kept = F.when(F.col("__gone__").isNull(), text).otherwise(F.array_join(F.filter(whole, lambda line, k: ~F.array_contains(F.col("__gone__"), k)), "\n"))
+    rest = [kept.alias(text_col) if c == text_col else F.col(c) for c in pages.columns]
+    return joined.select(*rest, F.when(text.isNull(), 0).otherwise(F.size(whole)).cast("long").alias("n_lines"), F.when(F.col("__gone__").isNull(), 0).otherwise(F.size("__gone__")).cast("long").alias("n_dropped"))

@@ -14,7 +14,12 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
   row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM n"""
 
 TURN = "'<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10)"
-PREFERENCE = f"""WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+PREFERENCE = f"""WITH own AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+last AS (SELECT conv_id, max(struct_pack(turn := turn, text := text)) AS last FROM own WHERE role = 'assistant' GROUP BY conv_id),
+asked AS (SELECT a.conv_id, a.last.turn AS last_turn, b.last.text AS other FROM last a JOIN last b ON b.conv_id = a.conv_id + 1 - 2 * (a.conv_id % 2)),
+both_sides AS (SELECT conv_id AS pair_id, 0 AS side, conv_id, turn, role, text FROM own
+  UNION ALL SELECT o.conv_id, 1, -1 - o.conv_id, turn, role, CASE WHEN role = 'assistant' AND turn = last_turn THEN other ELSE text END FROM own o JOIN asked ON asked.conv_id = o.conv_id),
+t AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM both_sides),
 a AS (SELECT * FROM t WHERE side = 0), b AS (SELECT * FROM t WHERE side = 1),
 m AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.pos, b.pos) AS pos, a.pos IS NOT NULL AND b.pos IS NOT NULL AND a.role IS NOT DISTINCT FROM b.role AND a.text IS NOT DISTINCT FROM b.text AS same FROM a FULL JOIN b ON a.pair_id = b.pair_id AND a.pos = b.pos),
 p AS (SELECT pair_id, coalesce(min(pos) FILTER (NOT same) - 1, count(*)) AS k FROM m GROUP BY pair_id),
@@ -26,13 +31,14 @@ r AS (SELECT t.pair_id, max(k) AS prefix_turns, max(conv_id) FILTER (side = 0) A
 SELECT pair_id, chosen_id, rejected_id, prefix_turns, sha256(prompt) AS prompt_sha256, CASE WHEN chosen_id IS NOT NULL THEN sha256(coalesce(c, '')) END AS chosen_sha256, CASE WHEN rejected_id IS NOT NULL THEN sha256(coalesce(j, '')) END AS rejected_sha256,
   CASE WHEN chosen_id IS NOT NULL THEN coalesce(ct, 0)::BIGINT END AS chosen_trained, CASE WHEN rejected_id IS NOT NULL THEN coalesce(jt, 0)::BIGINT END AS rejected_trained FROM r"""
 
-LINES = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT rid, source, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
-c AS (SELECT source, {BARE} AS k, count(DISTINCT rid) AS n FROM l WHERE {BARE} <> '' GROUP BY ALL),
-p AS (SELECT source, count(*)::DOUBLE AS pages FROM d GROUP BY source),
-bad AS (SELECT c.source, k FROM c JOIN p ON p.source IS NOT DISTINCT FROM c.source WHERE n >= 3 AND n > pages * 0.05::DOUBLE),
-kept AS (SELECT rid, string_agg(line, chr(10) ORDER BY i) AS s, count(*) AS k FROM l WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM l.source AND bad.k = {BARE}) GROUP BY rid)
-SELECT doc_id, len(ls) AS n_lines, len(ls) - coalesce(k, 0) AS n_dropped, sha256(coalesce(s, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.rid = d.rid"""
+BLOCK_TAGS = "</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|meta|nav|ol|p|script|section|style|table|td|th|title|tr|ul)(?:[ /][^>]*)?>"
+LINES = f"""WITH d AS (SELECT row_number() OVER () AS rid, page_id, lower(regexp_extract(url, '^[^:/?#]*://([^/?#]*)', 1)) AS host, string_split(regexp_replace(html, '{BLOCK_TAGS}', chr(10), 'gi'), chr(10)) AS ls FROM pages),
+l AS (SELECT rid, host, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+c AS (SELECT host, {BARE} AS k, count(DISTINCT rid) AS n FROM l WHERE {BARE} <> '' GROUP BY ALL),
+p AS (SELECT host, count(*)::DOUBLE AS pages FROM d GROUP BY host),
+bad AS (SELECT c.host, k FROM c JOIN p ON p.host IS NOT DISTINCT FROM c.host WHERE n >= 3 AND n > pages * 0.2::DOUBLE),
+kept AS (SELECT rid, string_agg(line, chr(10) ORDER BY i) AS s, count(*) AS k FROM l WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.host IS NOT DISTINCT FROM l.host AND bad.k = {BARE}) GROUP BY rid)
+SELECT page_id, host, coalesce(len(ls), 0) AS n_lines, coalesce(len(ls), 0) - coalesce(k, 0) AS n_dropped, CASE WHEN ls IS NOT NULL THEN sha256(coalesce(s, '')) END AS kept_sha256 FROM d LEFT JOIN kept ON kept.rid = d.rid"""
 
 PASSAGES = f"""WITH d AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
 s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50),

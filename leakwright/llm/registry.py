@@ -11,10 +11,10 @@ from leakwright.llm.chosen_path import near_duplicates
 from leakwright.llm.dac import read_token_table, write_token_table
 from leakwright.llm.decontaminate import find_leaks
 from leakwright.llm.exact_dedup import exact_duplicates
-from leakwright.llm.line_dedup import drop_boilerplate
+from leakwright.llm.line_dedup import drop_boilerplate, host_of, html_lines
 from leakwright.llm.mixing import mix_report
 from leakwright.llm.oracles import SQL
-from leakwright.llm.preference import paired_by_id, preference_records
+from leakwright.llm.preference import last_turn_from, preference_records
 from leakwright.llm.quality import quality_scores
 from leakwright.llm.substring import drop_repeated_passages
 from leakwright.llm.textcore import bound_batches
@@ -71,9 +71,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the prompt and completions of every pair of conversations, and the characters trained on."""
+    """Digests of the prompt and completions of every conversation, chosen as it is and rejected with the last answer of its neighbour."""
     turns = _table(spark, sf_dir, "conversations")
-    records = preference_records(turns, paired_by_id(turns))
+    known = turns.select("conv_id").where("conv_id IS NOT NULL").distinct()
+    other = last_turn_from(turns, known.select("conv_id", (F.col("conv_id") + 1 - 2 * F.pmod("conv_id", F.lit(2))).alias("partner")))
+    sides = [known.select(F.col("conv_id").alias("pair_id"), F.lit(side).alias("side"), own.alias("conv_id")) for side, own in (("chosen", F.col("conv_id")), ("rejected", -1 - F.col("conv_id")))]
+    records = preference_records(turns.select("conv_id", "turn", "role", "text").unionByName(other), sides[0].unionByName(sides[1]))
     digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
     trained = lambda c: F.aggregate(f"{c}_spans", F.lit(0), lambda n, s: n + s["end"] - s["begin"]).cast("long").alias(f"{c}_trained")
     return records.select("pair_id", "chosen_id", "rejected_id", "prefix_turns", digest("prompt"), digest("chosen"), digest("rejected"), trained("chosen"), trained("rejected"))
@@ -87,9 +90,10 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every document, and those dropped as boilerplate of its source."""
-    kept = drop_boilerplate(_table(spark, sf_dir, "documents"), site="source", max_ratio=0.05, min_pages=3)
-    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    """Lines of every page, and those dropped as boilerplate of its host."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text"))
+    kept = drop_boilerplate(pages, site="host", max_ratio=0.2, min_pages=3)
+    return kept.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,6 +251,18 @@ def test_preferences(spark):
     assert preference.preference_records(rows.limit(0), preference.paired_by_id(rows.limit(0))).count() == 0
 
 
+def test_preferences_of_repeated_pairs_and_last_turns(spark):
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c if t == 3 else 'same'} {t}") for c in range(4) for t in range(4)] + [(5, 0, "user", "alone")]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    pairs = spark.createDataFrame([(9, "chosen", 2), (9, "chosen", 0), (9, "rejected", 1), (9, "rejected", 1)], "pair_id long, side string, conv_id long")
+    one = preference.preference_records(rows, pairs).collect()
+    assert [(r.chosen_id, r.rejected_id, r.prefix_turns) for r in one] == [(0, 1, 3)]
+    assert [one[0].chosen[s.begin : s.end] for s in one[0].chosen_spans] == ["0 3<|im_end|>\n"]
+    partners = spark.createDataFrame([(0, 1), (2, 5), (5, 0)], "conv_id long, partner long")
+    got = sorted(map(tuple, preference.last_turn_from(rows, partners).collect()))
+    assert got == sorted((-1, t, r, "1 3" if t == 3 else x) for c, t, r, x in turns if c == 0)
+
+
 # ------------------------------------------------------------------ token files
 
 

@@ -13,10 +13,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from leakwright.llm import chosen_path
+from leakwright.llm import chosen_path, line_dedup
 from leakwright.llm.chosen_path import drop_near_duplicates, forest_for, near_duplicates, near_pairs, set_links
 from leakwright.llm.exact_dedup import exact_duplicates
-from leakwright.llm.line_dedup import drop_boilerplate, host_of
+from leakwright.llm.line_dedup import drop_boilerplate, host_of, html_lines
 from leakwright.llm.substring import DIFFERENCE_SETS, cover_for, drop_repeated_passages
 from leakwright.llm.textcore import FIRST, Words, text_slices
 
@@ -238,7 +238,10 @@ def test_exact_copies_with_repeated_and_null_ids(spark):
     assert exact_duplicates(docs(spark, [])).count() == 0
 
 
-def test_lines_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_lines_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", broadcast)
+    monkeypatch.setattr(line_dedup, "BROADCAST_TEXTS", broadcast)
     rng = random.Random(3)
     rows = []
     for i in range(90):
@@ -266,6 +269,11 @@ def test_hosts(spark):
     assert [r[0] for r in rows.select(host_of(F.col("u"))).collect()] == ["a.b", "", "h", None]
 
 
+def test_html_lines(spark):
+    rows = spark.createDataFrame([("<P class='x'>a <b>b</b><br/>c</p><pre>d</pre><LI>e",), (None,), ("",)], "h string")
+    assert [r[0] for r in rows.select(html_lines(F.col("h"))).collect()] == ["\na <b>b</b>\nc\n<pre>d</pre>\ne", None, ""]
+
+
 def test_native_operators_have_no_python(spark):
     for plan in (exact_duplicates(docs(spark, ["a", "b"])), drop_boilerplate(docs(spark, ["a"]).withColumn("source", F.lit("s")))):
         assert not re.search("Python|Pandas|Arrow", plan._jdf.queryExecution().toString())
