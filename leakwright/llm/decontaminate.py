@@ -2,26 +2,28 @@
 
 Words are runs of letters, digits and non-ASCII bytes of the lower-cased text, so
 punctuation and case do not hide a passage.  Every run of ``min_match`` words of a
-document whose Karp-Rabin hash is also a run of a benchmark item is a seed; seeds
-on one diagonal join to maximal matches.  For each item that shares seeds with a
-document, tiles are laid greedily: always the longest match whose words are all
-unmarked in both texts, down to ``min_match`` words; what is left of a match that
-overlaps a tile competes again at its remaining length.  The share of an item's
-words under tiles is its coverage, which does not care in which order its passages
-stand in the document.
+document whose Karp-Rabin hash is also a run of a benchmark item is a seed.  Seeds are
+joined by distinct hash, and name the documents and items that can have enough in
+common: an item of which seeds cover too little is left out.  For the others tiles
+are laid greedily: running Karp-Rabin hashes find the longest match whose words are all
+unmarked in both texts, it is marked, and so on down to ``min_match`` words.  Of equally
+long ones the first in the document goes first, then the first in the item.  The share
+of an item's words under tiles is its coverage, which does not care in which order its
+passages stand in the document.  Time and memory for a document and an item grow with
+their lengths, also where both repeat one phrase.
 
 Documents are judged one by one, where they lie; no text is shuffled.  The
 benchmark is a query set: it is sent to the executors in blocks of a checked size,
 ``block_bytes``, with one pass over the documents a block.
 
-Defined cases: null text has no words; items with fewer than ``min_match`` words
-are too short to tell a leak and match nothing; equal items and equal rows are each
-reported; an empty benchmark matches nothing.
+Defined cases: null text has no words; an item with fewer than ``min_match`` words is
+covered where it stands whole; one without words matches nothing; equal items and
+equal rows are each reported; an empty benchmark matches nothing; an empty table gives
+an empty result; further columns are kept by ``drop_leaks``.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,85 +32,141 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakwright.llm.textcore import FIRST, Words, text_slices
+from leakwright.sources.shared_tables import stash
 
 _BREAKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
+#: Document seeds and items that are paired at once.
+PAIRS_AT_ONCE = 1 << 20
+
+
+def _runs_of(free: np.ndarray, k: int) -> np.ndarray:
+    """Where k free words in a row begin."""
+    if len(free) < k:
+        return np.zeros(0, dtype=np.int64)
+    taken = np.concatenate([[0], np.cumsum(~free)])
+    return np.flatnonzero(taken[k:] == taken[:-k])
+
+
+def _common(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text: np.ndarray, n: int) -> tuple[int, int] | None:
+    """Places in item and text of the first common run of n free words: first in the text, then in the item."""
+    i, j = _runs_of(free_item, n), _runs_of(free_text, n)
+    if not len(i) or not len(j):
+        return None
+    own, there = FIRST.windows(item, i, n), FIRST.windows(text, j, n)
+    for at in np.flatnonzero(np.isin(there, own)).tolist():
+        for k in np.flatnonzero(own == there[at]).tolist():
+            if (item[i[k] : i[k] + n] == text[j[at] : j[at] + n]).all():
+                return int(i[k]), int(j[at])
+    return None
+
+
+def tile(item: np.ndarray, text: np.ndarray, k: int) -> list[int]:
+    """Lengths of the tiles laid on two sequences of word hashes."""
+    free_item, free_text = np.ones(len(item), dtype=bool), np.ones(len(text), dtype=bool)
+    tiles, most = [], min(len(item), len(text))
+    while most >= k:
+        # A common run of n words holds one of n - 1: the longest is found by halving.
+        low, high, found = k - 1, most, None
+        while low < high:
+            n = (low + high + 1) // 2
+            if at := _common(item, text, free_item, free_text, n):
+                low, found = n, at
+            else:
+                high = n - 1
+        if found is None:
+            break
+        i, j = found
+        free_item[i : i + low] = free_text[j : j + low] = False
+        tiles.append(low)
+        most = low
+    return tiles
+
+
 class Benchmark:
-    """Seeds of a block of items: for every seed hash the items and places that have it."""
+    """The items of a block and, for every distinct seed, the items that have it and how often."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], min_match: int):
         self.min_match = min_match
         self.names = [i for i, _ in items]
-        column = pa.array([(t or "").lower() for _, t in items], pa.large_string())
-        hashes, sizes, seeds, owners, places = [], [], [], [], []
-        for at, _, data, offsets in text_slices(column):
+        self.words: list[np.ndarray] = []
+        seeds, owners, self.short = [], [], {}
+        for at, _, data, offsets in text_slices(pa.array([(t or "").lower() for _, t in items], pa.large_string())):
             words = Words(data, offsets, breaks=_BREAKS)
             own = words.hashes()
             starts, text = words.runs(min_match)
             seeds.append(FIRST.windows(own, starts, min_match))
             owners.append(at + text)
-            places.append(starts - words.first[text])
-            sizes.append(words.counts)
-            hashes += [own[f : f + n] for f, n in zip(words.first, words.counts)]
-        self.words = hashes
-        seeds, owners, places = (np.concatenate(x) if x else np.zeros(0, d) for x, d in ((seeds, np.uint64), (owners, np.int64), (places, np.int64)))
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.owners, self.places = seeds[order], owners[order], places[order]
+            self.words += [own[f : f + n] for f, n in zip(words.first, words.counts)]
+        for item, own in enumerate(self.words):
+            if 0 < len(own) < min_match:
+                key = int(FIRST.windows(own, np.zeros(1, dtype=np.int64), len(own))[0])
+                self.short.setdefault(len(own), {}).setdefault(key, []).append(item)
+        both = np.zeros(sum(map(len, seeds)), dtype=[("seed", np.uint64), ("item", np.int64)])
+        if len(both):
+            both["seed"], both["item"] = np.concatenate(seeds), np.concatenate(owners)
+        both, self.often = np.unique(both, return_counts=True)
+        self.seeds, self.owners = both["seed"], both["item"]
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[self.seeds >> np.uint64(44)] = True
 
-    def matches(self, words: Words) -> Iterator[tuple[int, int, float, int, int]]:
-        """``(text, item, coverage, tiles, longest tile)`` of each text and item that share a seed."""
-        own = words.hashes()
-        starts, text = words.runs(self.min_match)
-        found = FIRST.windows(own, starts, self.min_match)
+    def candidates(self, words: Words, own: np.ndarray, coverage: float) -> Iterator[tuple[int, int]]:
+        """``(text, item)`` whose common seeds can cover the share asked for."""
+        k = self.min_match
+        starts, text = words.runs(k)
+        found = FIRST.windows(own, starts, k)
         near = self.maybe[found >> np.uint64(44)]
-        starts, text, found = starts[near], text[near], found[near]
-        low, high = np.searchsorted(self.seeds, found), np.searchsorted(self.seeds, found, side="right")
-        n = high - low
-        each = np.repeat(np.arange(len(n)), n)
-        entry = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        keys = np.stack([text[each], self.owners[entry], self.places[entry], (starts - words.first[text])[each]])
-        keys = keys[:, np.lexsort((keys[3], keys[2], keys[3] - keys[2], keys[1], keys[0]))]
-        cuts = np.flatnonzero(np.any(keys[:2, 1:] != keys[:2, :-1], axis=0)) + 1
-        for part in np.split(keys, cuts, axis=1) if keys.shape[1] else []:
-            t, item = int(part[0, 0]), int(part[1, 0])
+        seen = np.zeros(int(near.sum()), dtype=[("text", np.int64), ("seed", np.uint64)])
+        seen["text"], seen["seed"] = text[near], found[near]
+        seen = np.unique(seen)
+        low, high = np.searchsorted(self.seeds, seen["seed"]), np.searchsorted(self.seeds, seen["seed"], side="right")
+        some = high > low
+        seen, low, n = seen[some], low[some], (high - low)[some]
+        upto = np.cumsum(n)
+        lengths = np.array([len(x) for x in self.words])
+        held: dict[tuple[int, int], int] = {}
+        at = 0
+        while at < len(n):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+            each = np.repeat(np.arange(at, end), n[at:end])
+            entry = low[each] + np.arange(len(each)) - np.repeat(np.cumsum(n[at:end]) - n[at:end], n[at:end])
+            pairs, code = np.unique(np.stack([seen["text"][each], self.owners[entry]]), axis=1, return_inverse=True)
+            for (t, item), c in zip(pairs.T.tolist(), np.bincount(code.ravel(), weights=self.often[entry]).tolist()):
+                held[t, item] = held.get((t, item), 0) + int(c)
+            at = end
+        for (t, item), c in sorted(held.items()):
+            if min(c * k, lengths[item]) >= coverage * lengths[item]:
+                yield t, item
+
+    def matches(self, words: Words, coverage: float = 0.0) -> Iterator[tuple[int, int, float, int, int]]:
+        """``(text, item, coverage, tiles, longest tile)`` of each text and item with a tile and a coverage of so much."""
+        own = words.hashes()
+        for t, item in self.candidates(words, own, coverage):
             there = own[words.first[t] : words.first[t] + words.counts[t]]
-            tiles = self.tile(self.words[item], there, part[2], part[3])
-            if tiles:
-                yield t, item, sum(tiles) / len(self.words[item]), len(tiles), max(tiles)
-
-    def tile(self, item: np.ndarray, text: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[int]:
-        """Lengths of the tiles laid; i and j are places of common seeds, sorted by diagonal."""
-        k = self.min_match
-        joins = (np.diff(i) == 1) & (np.diff(j) == 1)
-        begins = np.flatnonzero(np.concatenate([[True], ~joins]))
-        lengths = np.diff(np.append(begins, len(i))) + k - 1
-        heap = [(-int(n), int(j[b]), int(i[b])) for b, n in zip(begins, lengths) if (item[i[b] : i[b] + n] == text[j[b] : j[b] + n]).all()]
-        heapq.heapify(heap)
-        used_item, used_text = np.zeros(len(item), dtype=bool), np.zeros(len(text), dtype=bool)
-        tiles = []
-        while heap:
-            n, at, place = heapq.heappop(heap)
-            free = ~(used_item[place : place - n] | used_text[at : at - n])
-            if free.all():
-                used_item[place : place - n] = used_text[at : at - n] = True
-                tiles.append(-n)
-                continue
-            edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
-            for a, b in edges.reshape(-1, 2).tolist():
-                if b - a >= k:
-                    heapq.heappush(heap, (a - b, at + a, place + a))
-        return tiles
+            tiles = tile(self.words[item], there, self.min_match)
+            share = sum(tiles) / len(self.words[item])
+            if tiles and share >= coverage:
+                yield t, item, share, len(tiles), max(tiles)
+        for n, known in self.short.items():
+            starts, text = words.runs(n)
+            found = FIRST.windows(own, starts, n)
+            hits = np.flatnonzero(np.isin(found, np.array(list(known), dtype=np.uint64)))
+            for t, key in sorted(set(zip(text[hits].tolist(), found[hits].tolist()))):
+                for item in known[key]:
+                    yield t, item, 1.0, 1, n
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, block_bytes: int) -> Iterator[Benchmark]:
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.lower(F.col(text_col).cast("string")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes) or 1
+    if n > 1:  # dealt out by row: equal items are spread over the blocks
+        items = stash(items.withColumn("deal", F.xxhash64(F.monotonically_increasing_id())), "items")
+    else:
+        items = items.withColumn("deal", F.lit(0))
     for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
+        rows = items.where(F.pmod("deal", F.lit(n)) == b).collect()
         yield Benchmark([(r["item_id"], r["text"]) for r in rows], min_match)
 
 
@@ -123,7 +181,7 @@ def _find(shared, coverage: float):
         for batch in batches:
             ids = batch.column("doc_id")
             for at, _, data, offsets in text_slices(batch.column("text")):
-                hits = [(ids[at + t].as_py(), block.names[i], c, n, m) for t, i, c, n, m in block.matches(Words(data, offsets, breaks=_BREAKS)) if c >= coverage]
+                hits = [(ids[at + t].as_py(), block.names[i], c, n, m) for t, i, c, n, m in block.matches(Words(data, offsets, breaks=_BREAKS), coverage)]
                 if hits:
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*hits), schema)], schema=schema)
 
@@ -136,9 +194,8 @@ def _drop(shared, coverage: float):
         for batch in batches:
             keep = np.ones(batch.num_rows, dtype=bool)
             for at, _, data, offsets in text_slices(batch.column(batch.num_columns - 1)):
-                for t, _, c, _, _ in block.matches(Words(data, offsets, breaks=_BREAKS)):
-                    if c >= coverage:
-                        keep[at + t] = False
+                for t, *_ in block.matches(Words(data, offsets, breaks=_BREAKS), coverage):
+                    keep[at + t] = False
             yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(keep))
 
     return run

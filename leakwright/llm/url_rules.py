@@ -4,15 +4,20 @@ A fixed rule names a host, which stands for its subdomains too, and the beginnin
 path; of the rules that fit an url the longest decides.  The urls that fixed rules
 decide are the labels.  Spark's FP-growth mines combinations of url tokens that go
 with a verdict; rules below ``min_support`` or ``min_confidence`` are pruned, and so is
-a rule whose shorter form is as sure.  All others are kept, unless ``max_rules`` asks
-for the surest only.  They match
-by an inverted index: each rule stands under the rarest token of its combination, so
+a rule whose shorter form is as sure.  Tokens that occur in the very same labelled urls
+are one item to the miner, found in an url that has any of them: that is what the rules
+of single tokens would find, and an url of many segments that is repeated does not
+make a rule of every subset.  All other rules are kept, unless ``max_rules`` asks for
+the surest only.  They match by an inverted index: each rule stands under the rarest token of its combination, so
 an url looks up its own tokens only.  The surest rule that fits decides, then the
 longer, the more frequent, and the first by name; no fit gives ``default``.
 
+Known limit: the miner lists all frequent combinations, whose number grows with the
+tokens that are frequent together in differing sets of urls; ``min_support`` bounds it.
+
 Defined cases: an url that is null or lacks ``://`` has empty host and path, no
 tokens and the default verdict; without labelled urls there are no mined rules; equal
-rows are judged alike; an empty table gives an empty result; further columns are ignored.
+rows are judged alike and count once each as labels; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -69,6 +74,20 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(parts)
 
 
+def token_classes(labelled: DataFrame, min_support: float) -> dict[str, str]:
+    """For each token of at least ``min_support`` of the rows the first by name of those that occur in the same rows.
+
+    A row has few tokens, so no more than its tokens / ``min_support`` are so frequent.
+    Sets of rows are told apart by their size and two 64-bit sums of row hashes.
+    """
+    rows = labelled.select("tokens", F.monotonically_increasing_id().alias("row"))
+    least = F.lit(min_support) * F.lit(rows.count())
+    seen = rows.select(F.explode("tokens").alias("token"), F.xxhash64("row").alias("a"), F.xxhash64(F.lit(1), "row").alias("b"))
+    tokens = seen.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")).where(F.col("n") >= least)
+    names = tokens.groupBy("n", "a", "b").agg(F.min("token").alias("name"))
+    return {r["token"]: r["name"] for r in tokens.join(names, ["n", "a", "b"]).select("token", "name").collect()}
+
+
 def mine(labelled: DataFrame, min_support: float, min_confidence: float, max_rules: int | None = None) -> list[dict]:
     """Rules from ``(tokens, verdict)`` rows, surest first; each has antecedent, verdict, confidence and support."""
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(_VERDICT), "verdict"))).alias("items"))
@@ -123,15 +142,23 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     rows = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"))
     name, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
     rows = stash(rows.select("page_id", "host", "path", name.alias("rule"), verdict.alias("verdict"), url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens")), "urls")
-    mined = mine(rows.where("rule IS NOT NULL").select("tokens", "verdict"), min_support, min_confidence, max_rules)
-    shared = pages.sparkSession.sparkContext.broadcast((inverted_index(mined), [(r["verdict"], " & ".join(r["antecedent"]), r["confidence"]) for r in mined]))
+    labelled = rows.where("rule IS NOT NULL").select("tokens", "verdict")
+    names = token_classes(labelled, min_support)
+    named = pages.sparkSession.sparkContext.broadcast(names)
+
+    @F.pandas_udf("array<string>")
+    def as_items(tokens: pd.Series) -> pd.Series:
+        return pd.Series([sorted({named.value[x] for x in t if x in named.value}) for t in tokens])
+
+    mined = mine(stash(labelled.select(as_items("tokens").alias("tokens"), "verdict"), "baskets"), min_support, min_confidence, max_rules)
+    shared = pages.sparkSession.sparkContext.broadcast((names, inverted_index(mined), [(r["verdict"], " & ".join(r["antecedent"]), r["confidence"]) for r in mined]))
 
     @F.pandas_udf("verdict string, because string, confidence double")
     def judge(tokens: pd.Series) -> pd.DataFrame:
-        index, outcomes = shared.value
-        found = [best_rule(list(t), index) if t is not None else None for t in tokens]
+        known, index, outcomes = shared.value
+        found = [best_rule([known[x] for x in t if x in known], index) if t is not None else None for t in tokens]
         return pd.DataFrame([outcomes[k] if k is not None else (default, None, None) for k in found], columns=["verdict", "because", "confidence"])
 
-    judged = rows.withColumn("mined", judge("tokens"))
     free = F.col("rule").isNull()
+    judged = rows.withColumn("mined", judge(F.when(free, F.col("tokens"))))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", "mined.verdict").alias("verdict"), F.when(free, F.col("mined.because")).alias("because"), F.when(free, F.col("mined.confidence")).alias("confidence"))

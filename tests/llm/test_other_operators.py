@@ -1,5 +1,6 @@
 """Quality, urls, mixing, decontamination, preferences, token files and the pipeline."""
 
+import itertools
 import os
 import random
 import re
@@ -109,6 +110,40 @@ def test_mined_rules_against_brute_force(spark):
         assert url_rules.best_rule(tokens, index) == (min(fits) if fits else None)
 
 
+def best_by_brute_force(tokens, labelled, support, confidence):
+    """The surest rule of all combinations of the tokens."""
+    best = None
+    for n in range(1, len(tokens) + 1):
+        for part in itertools.combinations(sorted(tokens), n):
+            have = [v for t, v in labelled if set(part) <= set(t)]
+            for v in ("allow", "block"):
+                if have and have.count(v) >= support * len(labelled) and have.count(v) / len(have) >= confidence:
+                    best = max(best or (0, ""), (have.count(v) / len(have), v))
+    return best
+
+
+def test_mining_misses_no_rule(spark):
+    rng = random.Random(7)
+    labelled = [([t for t in "abcd" if rng.random() < 0.5] + (["p", "q", "r"] if k % 5 == 0 else []), rng.choice(["allow", "block", "block"])) for k in range(90)]
+    rows = spark.createDataFrame(labelled, "tokens array<string>, verdict string").coalesce(1)
+    names = url_rules.token_classes(rows, 0.05)
+    assert names == {t: "p" if t in "pqr" else t for t in "abcdpqr"}
+    mined = url_rules.mine(spark.createDataFrame([(sorted({names[t] for t in ts}), v) for ts, v in labelled], "tokens array<string>, verdict string"), 0.05, 0.6)
+    index = url_rules.inverted_index(mined)
+    for tokens in ([t for t in "abcdq" if rng.random() < 0.6] for _ in range(60)):
+        rank = url_rules.best_rule([names[t] for t in tokens], index)
+        want = best_by_brute_force(tokens, labelled, 0.05, 0.6)
+        assert (want is None) == (rank is None) and (want is None or abs(mined[rank]["confidence"] - want[0]) < 1e-9)
+
+
+def test_long_repeated_urls(spark):
+    long = "http://example.com/en/" + "/".join(f"part{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    urls = [long] * 20 + [f"http://a{k % 7}.com/x{k % 5}/y" for k in range(1000)] + ["ftp://host/partaz"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r for r in url_rules.filter_urls(rows, URL_RULES).collect()}
+    assert len(got) == len(urls) and got[0].verdict == "block" and got[1020].verdict == "block" and got[1020].because
+
+
 # ------------------------------------------------------------------ mixing
 
 
@@ -214,15 +249,25 @@ def test_tiling_against_brute_force():
         assert [(g[2], g[3], g[4]) for g in got] == ([(sum(want) / len(item), len(want), max(want))] if want else [])
 
 
+def test_tiling_of_repetitive_texts():
+    for item, text in ((["x"] * 1000, ["x"] * 20_000), (["x", "y"] * 500, ["y", "x", "x"] * 7000)):
+        block = decontaminate.Benchmark([(1, " ".join(item))] * 2, 5)
+        data = np.frombuffer(" ".join(text).encode(), np.uint8)
+        got = list(block.matches(Words(data, np.array([0, len(data)]), breaks=decontaminate._BREAKS), 0.5))
+        assert [g[1:] for g in got] == ([(0, 1.0, 1, 1000), (1, 1.0, 1, 1000)] if item[1] == "x" else [])
+    small = ["x"] * 60, ["x"] * 47 + ["y"] + ["x"] * 30
+    assert decontaminate.tile(*(np.array([hash(w) % 97 for w in side], dtype=np.uint64) for side in small), 5) == greedy_tiles(*small, 5)
+
+
 def test_leaks_reordered_and_in_blocks(spark):
     item = " ".join(f"word{i}" for i in range(20))
     halves = item.split()
-    texts = ["Clean text only.", f"Before, {item.upper()}! after", "x ".join(["", " ".join(halves[10:]) + " y ", " ".join(halves[:10])]), None, "", " ".join(halves[:8])]
+    texts = ["Clean text only.", f"Before, {item.upper()}! after", "x ".join(["", " ".join(halves[10:]) + " y ", " ".join(halves[:10])]), None, "", " ".join(halves[:8]), "It is TOO, short."]
     rows = spark.createDataFrame([(i, t, 0.0) for i, t in enumerate(texts)], "doc_id long, text string, coverage double")
     bench = spark.createDataFrame([(7, item), (8, "too short"), (9, None), (10, "unrelated " * 9)], "item_id long, text string")
     for size in (1 << 20, 40):
         found = decontaminate.find_leaks(rows, bench, block_bytes=size).collect()
-        assert sorted((r.doc_id, r.item_id, r.coverage) for r in found) == [(1, 7, 1.0), (2, 7, 1.0)]
+        assert sorted((r.doc_id, r.item_id, r.coverage) for r in found) == [(1, 7, 1.0), (2, 7, 1.0), (6, 8, 1.0)]
         kept = decontaminate.drop_leaks(rows, bench, block_bytes=size)
         assert kept.columns == rows.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5]
     assert decontaminate.find_leaks(rows, bench.limit(0)).count() == 0
