@@ -43,8 +43,8 @@ def grouped_split(meta: DataFrame, id_col: str, group: str, label: str, test_siz
     name = F.coalesce(F.concat(F.lit("g:"), F.col(group).cast("string")), F.concat(F.lit("row:"), F.col(id_col).cast("string")))
     rows = meta.withColumn("__group__", name)
     per = rows.groupBy("__group__", F.col(label).alias("__label__")).agg(F.count("*").alias("n"))
-    # Of labels that are equally frequent the first by name; a null label only where there is no other.
-    groups = per.groupBy("__group__").agg(F.max_by("__label__", F.struct("n", F.coalesce(-F.xxhash64("__label__"), F.lit(-(2**63) + 1)))).alias("__label__"), F.sum("n").alias("n"))
+    # Of labels that are equally frequent the first by name, null last.
+    groups = per.groupBy("__group__").agg(F.min_by("__label__", F.struct(-F.col("n"), F.col("__label__").isNull(), F.col("__label__"))).alias("__label__"), F.sum("n").alias("n"))
     groups = groups.withColumn("__key__", order_key(seed, "__group__"))
     placed = running_before(groups, ["__label__"], "__key__", "__group__", F.col("n"))
     totals = F.broadcast(groups.groupBy(F.col("__label__").alias("__of__")).agg(F.sum("n").alias("total")))  # a row a class

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leakwright.sources.shared_tables import stash
+
 
 def curve_rollup(points: DataFrame, rate: str, value: str) -> DataFrame:
     """``(rate, mean, std, count)``; the sample deviation of one value is null."""
@@ -47,14 +50,22 @@ def gap_moments(gaps: DataFrame, by: list[str] | None = None, gap: str = "gap")
     return rows.withColumn("ci_low", F.col("mean") - 1.96 * error).withColumn("ci_high", F.col("mean") + 1.96 * error).withColumn("cohens_d", F.col("mean") / whole).withColumn("t", F.col("mean") / F.nullif(error, F.lit(0.0)))
 
 
-def signed_ranks(gaps: DataFrame, gap: str = "gap") -> DataFrame:
-    """One row: n of gaps that are not zero, W+, W-, their minimum, and the tie term of the rank variance."""
+def signed_ranks(gaps: DataFrame, gap: str = "gap", by: list[str] | None = None) -> DataFrame:
+    """One row, or one for each group of ``by``: n of gaps that are not zero, W+, W-, their minimum, and the tie term of the rank variance.
+
+    Sizes are range-partitioned; a rank is what lies in earlier partitions and before it in its own.
+    """
+    keys = by or []
     rows = gaps.where((F.col(gap) != 0) & F.col(gap).isNotNull()).withColumn("size", F.abs(F.col(gap)))
-    sizes = rows.groupBy("size").agg(F.count("*").alias("ties"), F.count_if(F.col(gap) > 0).alias("up"), F.count_if(F.col(gap) < 0).alias("down"))
-    earlier = F.coalesce(F.sum("ties").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = sizes.withColumn("rank", earlier + (F.col("ties") + 1) / 2)
+    sizes = rows.groupBy(*keys, "size").agg(F.count("*").alias("ties"), F.count_if(F.col(gap) > 0).alias("up"), F.count_if(F.col(gap) < 0).alias("down"))
+    dealt = stash(sizes.repartitionByRange(*keys, "size").withColumn("part", F.spark_partition_id()), "sizes")
+    before = lambda keys, order: F.coalesce(F.sum("ties").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = dealt.groupBy(*keys, "part").agg(F.sum("ties").alias("ties")).withColumn("base", before(keys, "part"))  # a row a partition and group
+    own = [F.col(c).eqNullSafe(F.col(f"__{c}__")) for c in (*keys, "part")]
+    met = dealt.join(bases.select(*(F.col(c).alias(f"__{c}__") for c in (*keys, "part")), "base"), reduce(Column.__and__, own))
+    ranked = met.withColumn("rank", F.col("base") + before([*keys, "part"], "size") + (F.col("ties") + 1) / 2)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    sums = ranked.agg(F.coalesce(F.sum("ties"), F.lit(0)).cast("long").alias("n"), zero(F.sum(F.col("rank") * F.col("up"))).alias("w_plus"), zero(F.sum(F.col("rank") * F.col("down"))).alias("w_minus"), zero(F.sum((F.pow("ties", F.lit(3)) - F.col("ties")).cast("double"))).alias("tie_term"))
+    sums = ranked.groupBy(*keys).agg(F.coalesce(F.sum("ties"), F.lit(0)).cast("long").alias("n"), zero(F.sum(F.col("rank") * F.col("up"))).alias("w_plus"), zero(F.sum(F.col("rank") * F.col("down"))).alias("w_minus"), zero(F.sum((F.pow("ties", F.lit(3)) - F.col("ties")).cast("double"))).alias("tie_term"))
     return sums.withColumn("w", F.least("w_plus", "w_minus"))
 
 
@@ -100,16 +111,25 @@ def wilcoxon_p(n: int, w: float, tie_term: float) -> float:
     return math.erfc(abs(w - mean) / math.sqrt(var) / math.sqrt(2)) if var > 0 else float("nan")
 
 
-def paired_test(gaps: DataFrame, gap: str = "gap") -> DataFrame:
-    """One row: moments, t and p, signed ranks and p.  With one gap only n and mean; p of gaps without spread is null."""
-    both = gap_moments(gaps, gap=gap).join(F.broadcast(signed_ranks(gaps, gap).select(F.col("n").alias("n_ranked"), "w", "tie_term")))
+def paired_test(gaps: DataFrame, gap: str = "gap", by: list[str] | None = None) -> DataFrame:
+    """One row: moments, t and p, signed ranks and p.  With one gap only n and mean; p of gaps without spread is null.
+
+    With ``by`` a row for each group and, as null, one overall.
+    """
+    keys = by or []
+    ranks = signed_ranks(gaps, gap)
+    if keys:
+        ranks = signed_ranks(gaps.dropna(subset=keys), gap, keys).unionByName(ranks, allowMissingColumns=True)
+    ranks = ranks.select(*(F.col(c).alias(f"__{c}__") for c in keys), F.col("n").alias("n_ranked"), "w", "tie_term")
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}__")) for c in keys], F.lit(True))
+    both = gap_moments(gaps.dropna(subset=keys) if keys else gaps, keys, gap).join(ranks, on, "left").withColumns({"n_ranked": F.coalesce("n_ranked", F.lit(0)), "w": F.coalesce("w", F.lit(0.0)), "tie_term": F.coalesce("tie_term", F.lit(0.0))})
 
     @F.pandas_udf("p_t double, p_wilcoxon double")
     def p_values(n: pd.Series, t: pd.Series, m: pd.Series, w: pd.Series, ties: pd.Series) -> pd.DataFrame:
         rows = [(student_p(b, a - 1) if a > 1 and not pd.isna(b) else None, wilcoxon_p(int(c), d, e) if a > 1 and c > 0 else None) for a, b, c, d, e in zip(n, t, m, w, ties)]
         return pd.DataFrame(rows, columns=["p_t", "p_wilcoxon"]).astype("float64")
 
-    return both.withColumn("p", p_values("n", "t", "n_ranked", "w", "tie_term")).select("n", "mean", "std", "ci_low", "ci_high", "cohens_d", "t", "w", F.col("p.p_t").alias("p_t"), F.col("p.p_wilcoxon").alias("p_wilcoxon"))
+    return both.withColumn("p", p_values("n", "t", "n_ranked", "w", "tie_term")).select(*keys, "n", "mean", "std", "ci_low", "ci_high", "cohens_d", "t", "w", F.col("p.p_t").alias("p_t"), F.col("p.p_wilcoxon").alias("p_wilcoxon"))
 
 
 def replication_summary(runs: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakwright.functions.ordering import hash_number
 from leakwright.operators import calibrate, history, metrics, pairs, profile, resolve, sampling, split, stats
 from leakwright.session import table
-from leakwright.sources.shared_tables import stash
+from leakwright.sources import files
+from leakwright.sources.shared_tables import new_path, stash
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -111,9 +112,9 @@ def integrity_anti_joins(spark, d):
 
 def exact_pairs(spark, d):
     """Each copy of a text with the first document that has it: a chain of links, not all pairs."""
-    rows = meta(spark, d)
-    first = F.min("doc_id").over(Window.partitionBy("grp"))
-    return rows.withColumn("id_a", first).where("doc_id > id_a").select("id_a", F.col("doc_id").alias("id_b"), F.lit("exact").alias("method"))
+    rows = meta(spark, d).select("doc_id", "grp")
+    firsts = stash(rows.groupBy("grp").agg(F.min("doc_id").alias("id_a"), F.max("doc_id").alias("last")).where("id_a < last").select("grp", "id_a"), "firsts")
+    return rows.join(firsts, "grp").where("doc_id > id_a").select("id_a", F.col("doc_id").alias("id_b"), F.lit("exact").alias("method"))
 
 
 def cosine_found(spark, d):
@@ -126,10 +127,13 @@ _NEAR = """vecs AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddin
 near AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(a.v, b.v) AS sim FROM vecs a JOIN vecs b ON a.vec_id <> b.vec_id
   QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.vec_id) <= 5),
 close AS (SELECT least(src, dst) AS id_a, greatest(src, dst) AS id_b, max(sim) AS sim FROM near WHERE sim >= 0.3 GROUP BY ALL)"""
+_ALL_EXACT = "exact AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, 'exact' AS method FROM meta a JOIN meta b ON a.grp = b.grp AND a.doc_id < b.doc_id)"
 _FOUND = f"""{_META}, {_EXACT}, {_NEAR}, found AS (SELECT id_a, id_b, method, NULL::DOUBLE AS cosine FROM exact UNION ALL SELECT id_a, id_b, 'embedding', round(sim, 5) FROM close),
 noted AS (SELECT f.*, a.source AS group_a, a.lang AS label_a, b.source AS group_b, b.lang AS label_b, coalesce(a.source = b.source, false) AS same_group, coalesce(a.lang = b.lang, false) AS same_label
   FROM found f LEFT JOIN meta a ON a.doc_id = id_a LEFT JOIN meta b ON b.doc_id = id_b)"""
 
+_ALL_FOUND = _FOUND.replace(_EXACT, _ALL_EXACT)
+
 
 def noted(spark, d) -> DataFrame:
     found = exact_pairs(spark, d).unionByName(cosine_found(spark, d), allowMissingColumns=True)
@@ -162,7 +166,7 @@ def cosine_threshold_sweep(spark, d):
 
 
 @query("""WITH prints AS (SELECT doc_id, ('0x' || substr(md5(text), 1, 8))::BIGINT & ('0x' || substr(md5(lang), 1, 8))::BIGINT & ('0x' || substr(md5(source), 1, 8))::BIGINT AS w FROM documents)
-SELECT a.doc_id AS id_a, b.doc_id AS id_b, bit_count(xor(a.w, b.w))::BIGINT AS hamming FROM prints a JOIN prints b ON a.doc_id < b.doc_id WHERE a.w > 0 AND b.w > 0 AND bit_count(xor(a.w, b.w)) <= 1""")
+SELECT a.doc_id AS id_a, b.doc_id AS id_b, bit_count(xor(a.w, b.w))::BIGINT AS hamming FROM prints a JOIN prints b ON a.doc_id < b.doc_id WHERE bit_count(xor(a.w, b.w)) <= 1""")
 def hamming_pairs(spark, d):
     word = hash_number(F.col("text")).bitwiseAND(hash_number(F.col("lang"))).bitwiseAND(hash_number(F.col("source")))
     prints = table(spark, d, "documents").select("doc_id", F.array(word).alias("words"))
@@ -193,7 +197,7 @@ def pair_method_crosstab(spark, d):
     return resolve.method_crosstab(noted(spark, d))
 
 
-@query(f"""WITH {_FOUND} SELECT count(*) AS pairs, count(*) FILTER (same_group) AS declared, count(*) FILTER (NOT same_group) AS undeclared, count(*) FILTER (NOT same_group AND NOT same_label) AS undeclared_label_mismatch,
+@query(f"""WITH {_ALL_FOUND} SELECT count(*) AS pairs, count(*) FILTER (same_group) AS declared, count(*) FILTER (NOT same_group) AS undeclared, count(*) FILTER (NOT same_group AND NOT same_label) AS undeclared_label_mismatch,
 (SELECT count(DISTINCT i) FROM (SELECT unnest([id_a, id_b]) AS i FROM noted WHERE NOT same_group)) AS items_in_undeclared FROM noted""")
 def audit_summary(spark, d):
     """All pairs of copies, counted from sizes, and the pairs of vectors."""
@@ -213,7 +217,7 @@ def merge_findings(spark, d):
     return resolve.merge_findings(old, new, ["exact", "embedding"])
 
 
-_COMPONENTS = f"""{_FOUND}, edges AS (SELECT id_a AS x, id_b AS y FROM noted WHERE NOT same_group UNION SELECT id_b, id_a FROM noted WHERE NOT same_group),
+_COMPONENTS = f"""{_ALL_FOUND}, edges AS (SELECT id_a AS x, id_b AS y FROM noted WHERE NOT same_group UNION SELECT id_b, id_a FROM noted WHERE NOT same_group),
 walk AS (SELECT x AS node, x AS seen FROM edges UNION SELECT node, y FROM walk JOIN edges ON x = seen), comps AS (SELECT node, min(seen) AS component FROM walk GROUP BY node)"""
 
 
@@ -269,6 +273,19 @@ def grouped_split(spark, d):
     return grouped(spark, d)
 
 
+_MIXED = _GROUPED.replace(_META, "meta AS (SELECT doc_id, doc_id // 7 AS grp, lang FROM documents)").replace(
+    "gl AS (SELECT grp, min(lang) AS lang, count(*) AS n FROM meta GROUP BY grp)",
+    "cells AS (SELECT grp, lang, count(*) AS k FROM meta GROUP BY ALL), gl AS (SELECT grp, lang, sum(k) OVER (PARTITION BY grp) AS n FROM cells QUALIFY row_number() OVER (PARTITION BY grp ORDER BY k DESC, lang NULLS LAST) = 1)",
+)
+
+
+@query(f"WITH {_MIXED} SELECT doc_id, grp, lang, split FROM grouped")
+def grouped_split_mixed(spark, d):
+    """Groups of several labels: the most frequent one counts, of equally frequent ones the first by name."""
+    rows = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 7).alias("grp"), "lang")
+    return split.grouped_split(rows, "doc_id", "grp", "lang")
+
+
 @query(_contamination_sql(_SPLIT, "naive"))
 def contamination_naive(spark, d):
     return split.contamination(naive(spark, d), "grp")
@@ -488,9 +505,59 @@ def pending_runs(spark, d):
     return stats.pending_runs(users.join(F.broadcast(kinds)), done, ["user_id", "event_type"])
 
 
+@query()
+def paired_test_by_backbone(spark, d):
+    """Moments and both p-values for every backbone and overall."""
+    rows = gaps(spark, d).withColumn("backbone", F.col("user_id") % 3)
+    return rounded(stats.paired_test(rows, by=["backbone"]), "mean", "std", "ci_low", "ci_high", "cohens_d", "t", "p_t", "p_wilcoxon")
+
+
+# ------------------------------------------------------------------ files
+
+
+@query("SELECT c_custkey, c_mktsegment, c_nationkey FROM customer")
+def csv_round_trip(spark, d):
+    """Customers written as delimited files with a header, and read back by sniffing."""
+    path = new_path(spark, "csv")
+    files.write_csv(table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), path)
+    rows = files.read_delimited(spark, path, ("c_custkey", "c_mktsegment", "c_nationkey"))
+    return rows.select(F.col("c_custkey").cast("long"), "c_mktsegment", F.col("c_nationkey").cast("int"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def json_round_trip(spark, d):
+    path = new_path(spark, "json")
+    files.write_json(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), path)
+    return files.read_json(spark, path, "n_nationkey int, n_name string, n_regionkey int")
+
+
+@query("SELECT event_type, count(*) AS runs, max(event_id) AS last FROM events GROUP BY event_type")
+def run_log(spark, d):
+    """Events appended to a log in two jobs, and counted there."""
+    path, rows = new_path(spark, "log"), table(spark, d, "events").select("event_id", "event_type")
+    for odd in (0, 1):
+        files.append_runs(rows.where(F.pmod("event_id", F.lit(2)) == odd), path)
+    return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("runs"), F.max("event_id").alias("last"))
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents WHERE doc_id IS NOT NULL")
+def id_cache(spark, d):
+    """What was computed for ids once is read again for the same ids."""
+    path, rows = new_path(spark, "cache"), table(spark, d, "documents").where("doc_id IS NOT NULL")
+    measure = lambda r: r.select("doc_id", F.length("text").cast("long").alias("n"))
+    files.cached(rows, path, "doc_id", measure)
+    return files.cached(rows, path, "doc_id", lambda r: measure(r).where("false"))
+
+
+@query("SELECT l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, value LIMIT 20")
+def value_counts(spark, d):
+    """The 20 most frequent values, most frequent first."""
+    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(20)
+
+
 # ------------------------------------------------------------------ history
 
-_HISTORY = "hist AS (SELECT user_id % 5 AS run, event_id AS epoch, round(value, 1) AS v FROM events WHERE user_id < 40)"
+_HISTORY = "hist AS (SELECT user_id % 5 AS run, event_id AS epoch, round(value, 1) AS v FROM events)"
 _SCAN = f"""{_HISTORY}, a AS (SELECT *, max(v) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, row_number() OVER (PARTITION BY run ORDER BY epoch) AS k, max(v) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS best_so_far FROM hist),
 b AS (SELECT *, coalesce(v > before, true) AS improved FROM a), c AS (SELECT *, k - max(CASE WHEN improved THEN k END) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS epochs_since_best FROM b),
 scan AS (SELECT *, coalesce(max((epochs_since_best >= 4)::INT) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS ran FROM c)"""

@@ -52,11 +52,11 @@ def image_folders(spark: SparkSession, folder: str, known: tuple[str, ...] = IMA
 
 def index_files(spark: SparkSession, folders: list[str], suffix: str = ".jpg") -> DataFrame:
     """``(image_id, path)`` by file stem; of one stem in several folders the last folder wins.  No file is opened."""
-    found = None
+    found = spark.createDataFrame([], "image_id string, path string, rank int")
     for rank, folder in enumerate(folders):
         files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
         rows = files.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("image_id"), "path", F.lit(rank).alias("rank"))
-        found = rows if found is None else found.unionByName(rows)
+        found = found.unionByName(rows)
     return found.groupBy("image_id").agg(F.max_by("path", F.struct("rank", "path")).alias("path"))
 
 
@@ -84,6 +84,19 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that ``write_json`` wrote, or anyone; a missing file is an AnalysisException, columns that it lacks are null."""
+    return spark.read.schema(schema).json(path)
+
+
+def read_clusters(spark: SparkSession, path: str) -> DataFrame | None:
+    """``(node, component)`` of a CSV table of clusters; none where there is no such table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.csv(path, header=True, inferSchema=True).select("node", "component")
+
+
 def append_runs(runs: DataFrame, path: str) -> None:
     """Adds rows to a run log; a retried job adds whole files only."""
     runs.write.mode("append").parquet(path)
