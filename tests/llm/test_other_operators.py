@@ -110,6 +110,20 @@ def test_mined_rules_against_brute_force(spark):
         assert url_rules.best_rule(tokens, index) == (min(fits) if fits else None)
 
 
+def test_long_sure_url_rules_are_mined(spark):
+    baskets = [(list(t), "block" if {*"abcd"} <= {*t} else "allow") for n in range(1, 6) for t in itertools.combinations("abcde", n)]
+    mined = url_rules.mine(spark.createDataFrame(baskets, "tokens array<string>, verdict string"), 0.01, 0.3, 1)
+    assert [(r["antecedent"], r["verdict"]) for r in mined] == [([*"abcd"], "block")]
+    every = url_rules.mine(spark.createDataFrame(baskets, "tokens array<string>, verdict string"), 0.01, 0.3)
+    sure = {}
+    for n in range(1, 6):
+        for t in itertools.combinations("abcde", n):
+            fits = [v for b, v in baskets if {*t} <= {*b}]
+            sure |= {(t, v): fits.count(v) / len(fits) for v in ("allow", "block") if fits.count(v) / len(fits) >= 0.3}
+    kept = {(t, v) for (t, v), c in sure.items() if not any(w == v and {*s} < {*t} and x >= c for (s, w), x in sure.items())}
+    assert {(tuple(r["antecedent"]), r["verdict"]) for r in every} == kept
+
+
 def best_by_brute_force(tokens, labelled, support, confidence):
     """The surest rule of all combinations of the tokens."""
     best = None
