@@ -12,7 +12,8 @@ unrelated documents are small.  Several levels are laid out and counted at a tim
 
 Equal sets are one class first, whatever their number.  Inside its nodes each
 document is compared with its *home*, the member that meets most others: one
-comparison a document connects nearly all of a group of near copies.  Then the small
+comparison a document, by their minwise tokens and, if these may reach the threshold, by
+their full sets, connects nearly all of a group of near copies.  Then the small
 nodes that still hold several components are compared exhaustively: all pairs across
 components by their minwise tokens, and those that may reach the threshold (4.5
 standard deviations below it) by their full sets.  A large node of one component has
@@ -212,11 +213,51 @@ def _confirm(ratio: tuple[int, int]):
     return run
 
 
-def _links(sets: DataFrame, pairs: DataFrame, ratio: tuple[int, int]) -> DataFrame:
-    """Of pairs ``(a, b)`` those whose full sets are similar enough, as a written table."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("left")), "a")
-    met = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("right")), "b").select("a", "b", "left", "right")
-    return stash(met.mapInArrow(_confirm(ratio), "src long, dst long").distinct(), "links")
+def _maybe(least: float):
+    """Of rows of two sketches the pairs that share at least ``least`` of their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("left", "right"))
+                good = pa.array((one == two).mean(1) >= least)
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in "ab"], names=["a", "b"])
+
+    return run
+
+
+class _Sets:
+    """Full sets of documents, made anew from their texts for the ids asked for."""
+
+    def __init__(self, docs: DataFrame, k: int, lower: bool, unique: bool):
+        self.docs, self.k, self.lower, self.unique = docs, k, lower, unique
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """``(id, items)`` for the ids of one column, as a written table; rows of one id and set are one."""
+        asked = stash(ids.toDF("doc_id").distinct(), "asked")
+        asked = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
+        sets = self.docs.join(asked, "doc_id", "left_semi").mapInArrow(_sets(self.k, self.lower), "id long, items array<long>")
+        return stash(sets if self.unique else sets.distinct(), "sets")
+
+
+def _links(sets: _Sets, pairs: DataFrame, marked: DataFrame, ratio: tuple[int, int], width: int) -> DataFrame:
+    """Of pairs ``(a, b)`` those whose full sets are similar enough, as a written table; sketches tell first which may be."""
+    sketch = lambda side, name: marked.select(F.col("rep").alias(side), F.col("sketch").alias(name))
+    drawn = pairs.join(sketch("a", "left"), "a").join(sketch("b", "right"), "b").select("a", "b", "left", "right")
+    likely = stash(drawn.mapInArrow(_maybe(least_share(ratio, width)), "a long, b long").distinct(), "pairs")
+    whole = sets.of(likely.select("a").union(likely.select("b")))
+    left = likely.join(whole.select(F.col("id").alias("a"), F.col("items").alias("left")), "a")
+    met = left.join(whole.select(F.col("id").alias("b"), F.col("items").alias("right")), "b").select("a", "b", "left", "right")
+    links = stash(met.mapInArrow(_confirm(ratio), "src long, dst long").distinct(), "links")
+    discard(likely)
+    discard(whole)
+    return links
+
+
+def least_share(ratio: tuple[int, int], width: int) -> float:
+    """The share of equal tokens that sets at the threshold reach but for one pair in 300,000: 4.5 standard deviations below it."""
+    share = ratio[0] / ratio[1]
+    return share - 4.5 * math.sqrt(share * (1 - share) / width)
 
 
 def near_pairs(sketches: np.ndarray, comps: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -309,18 +350,18 @@ def _confirm_clumps(ratio: tuple[int, int]):
     return run
 
 
-def _node_links(members: DataFrame, comps: DataFrame, marked: DataFrame, sets: DataFrame, ratio: tuple[int, int], width: int) -> DataFrame:
+def _node_links(members: DataFrame, comps: DataFrame, marked: DataFrame, sets: _Sets, ratio: tuple[int, int], width: int) -> DataFrame:
     """Links across components among the members ``(rep, node)`` of small nodes, as a written table."""
     placed = _placed(members, comps)
     mixed = stash(placed.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("node"), "mixed")
-    share = ratio[0] / ratio[1]
-    least = share - 4.5 * math.sqrt(share * (1 - share) / width)
     drawn = placed.join(mixed, "node").join(marked.select("rep", "sketch"), "rep").groupBy("node").agg(F.collect_list(F.struct("rep", "comp", "sketch")).alias("members"))
-    clumps = stash(drawn.select("members").mapInArrow(_clumps(least), "clump binary, rep long, comp long").distinct(), "clumps")
-    whole = clumps.join(sets, clumps["rep"] == sets["id"]).groupBy("clump").agg(F.collect_list(F.struct("rep", "comp", "items")).alias("members"))
+    clumps = stash(drawn.select("members").mapInArrow(_clumps(least_share(ratio, width)), "clump binary, rep long, comp long").distinct(), "clumps")
+    full = sets.of(clumps.select("rep"))
+    whole = clumps.join(full, clumps["rep"] == full["id"]).groupBy("clump").agg(F.collect_list(F.struct("rep", "comp", "items")).alias("members"))
     links = stash(whole.select("members").mapInArrow(_confirm_clumps(ratio), "src long, dst long").distinct(), "links")
     discard(mixed)
     discard(clumps)
+    discard(full)
     return links
 
 
@@ -365,14 +406,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, ratio: tuple[int, int] = (80, 1
     firsts = full.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"], "left_semi").dropDuplicates(["digest", "doc_id"])
     marked = stash(firsts.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("comp"), "tokens", "sketch", F.lit(None).cast("array<int>").alias("alive")), "marked")
     members = _grow(marked.drop("sketch"), forest, forest.first, forest.last, fresh=True)
-    wanted = stash(members.select(F.col("rep").alias("doc_id")).distinct(), "met")
-    few = wanted.count() <= BROADCAST_IDS
     release(docs.sparkSession)
-    sets = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(_sets(k, lower), "id long, items array<long>")
-    sets = stash(sets.distinct(), "sets")
+    sets = _Sets(docs, k, lower, full.groupBy("doc_id").count().where("count > 1").isEmpty())
 
     homes = _homes(members)
-    links = _links(sets, homes.select(F.col("rep").alias("a"), F.col("home").alias("b")), ratio)
+    links = _links(sets, homes.select(F.col("rep").alias("a"), F.col("home").alias("b")), marked, ratio, forest.width)
     comps = stash(connected_components(links), "components")
     release(docs.sparkSession)
     comps = _joined(comps, _node_links(members.where("NOT large").select("rep", "node"), comps, marked, sets, ratio, forest.width))
@@ -393,7 +431,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, ratio: tuple[int, int] = (80, 1
     named = stash(signed_docs.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("rep")).unionByName(twice), "named")
     several = named.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("src"), F.max("rep").alias("top")).where("src < top").select("doc_id", "src")
     comps = _joined(comps, named.join(several, "doc_id").select("src", F.col("rep").alias("dst")))
-    for table in (signed_docs, classes, marked, members, wanted, sets, homes, links):
+    for table in (signed_docs, classes, marked, members, homes, links):
         discard(table)
     out = named.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
