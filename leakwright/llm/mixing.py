@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from leakwright.sources.shared_tables import stash
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words of a source's rest that are left to the dynamic program, and rows of a length ranked together.
+#: Words of a source's rest that are left to the dynamic program, and rows of a length that are ranked rather than told apart by one more byte.
 DP_WORDS = 1 << 16
-BUCKET_ROWS = 1000
+RANKED_ROWS = 256
 #: A plan of up to this many (source, length) rows is broadcast, a larger one is joined.
 BROADCAST_ROWS = 200_000
 
@@ -117,21 +117,28 @@ def fit_lengths(sizes: np.ndarray, counts: np.ndarray, target: float, max_repeat
 
 
 def _edges(cells: DataFrame, wanted: DataFrame, key: list[str], order: str) -> DataFrame:
-    """``(key, edge, rest, weight)``: where the ``extra`` first of a key's ``n`` rows end, in the order of a hash.
+    """``(key, edge, rest, weight)``: where the ``extra`` first of a key's rows end, in the order of a hash.
 
-    ``cells`` has the key, the hash and how many rows have it; ``wanted`` has the key, n
-    and extra.  ``rest`` of the ``weight`` rows at the edge belong to the first.  Sums
-    over buckets of hashes find the bucket of the edge, and only that one is ranked.
+    ``cells`` has the key, the hash and how many rows have it; ``wanted`` has the key and
+    extra.  ``rest`` of the ``weight`` rows at the edge belong to the first.  The edge is
+    approached by the hash's bytes, highest first: sums by byte, at most 256 a key, tell
+    in which the edge lies, and only the rows of that byte go on, until they are few
+    enough to be ranked.  So no task holds the rows of a key, however many they are.
     """
-    some = wanted.select(*key, "extra", F.ceil(F.col("n") / BUCKET_ROWS).alias("buckets"))
-    bucket = F.least(F.floor((F.col(order).cast("double") / 2.0**64 + 0.5) * F.col("buckets")), F.col("buckets") - 1)
-    dealt = cells.join(some, key).select(*key, "extra", order, "weight", bucket.alias("bucket"))
-    earlier = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    quota = dealt.groupBy(*key, "bucket", "extra").agg(F.sum("weight").alias("here")).withColumn("quota", F.col("extra") - F.coalesce(F.sum("here").over(earlier), F.lit(0)))
-    quota = stash(quota.where("quota > 0 AND quota <= here").select(*key, "bucket", "quota"), "quota")
-    upto = F.sum("weight").over(Window.partitionBy(*key, "bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = dealt.join(quota, [*key, "bucket"]).withColumn("upto", upto)
-    return ranked.where("upto >= quota AND upto - weight < quota").select(*key, F.col(order).alias("edge"), (F.col("quota") - F.col("upto") + F.col("weight")).alias("rest"), "weight")
+    dealt = cells.join(wanted.select(*key, "extra"), key)
+    earlier = Window.partitionBy(*key).orderBy("byte").rowsBetween(Window.unboundedPreceding, -1)
+    for low in range(56, -1, -8):
+        byte = F.shiftright(order, low) + 128 if low == 56 else F.shiftrightunsigned(order, low).bitwiseAND(F.lit(255))
+        dealt = dealt.withColumn("byte", byte.cast("int"))
+        sums = dealt.groupBy(*key, "byte", "extra").agg(F.sum("weight").alias("here"), F.count("*").alias("held"))
+        sums = sums.withColumn("quota", F.col("extra") - F.coalesce(F.sum("here").over(earlier), F.lit(0)))
+        found = stash(sums.where("quota > 0 AND quota <= here").select(*key, "byte", "quota", "held"), "quota")
+        dealt = dealt.drop("extra").join(found.select(*key, "byte", F.col("quota").alias("extra")), [*key, "byte"]).drop("byte")
+        if (found.agg(F.max("held")).first()[0] or 0) <= RANKED_ROWS:
+            break
+    upto = F.sum("weight").over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = dealt.withColumn("upto", upto)
+    return ranked.where("upto >= extra AND upto - weight < extra").select(*key, F.col(order).alias("edge"), (F.col("extra") - F.col("upto") + F.col("weight")).alias("rest"), "weight")
 
 
 def mixing_plan(rows: DataFrame, weights: tuple[float, ...], max_repeats: int) -> DataFrame:

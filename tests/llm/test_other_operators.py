@@ -201,9 +201,9 @@ def test_mix_meets_targets(spark):
     assert mixing.mix_report(table.limit(0)).count() == 0 and mixing.mix(table.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bucket", [1000, 7])
-def test_mix_takes_some_of_repeated_rows(spark, monkeypatch, bucket):
-    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket)
+@pytest.mark.parametrize("ranked", [1000, 7, 1])
+def test_mix_takes_some_of_repeated_rows(spark, monkeypatch, ranked):
+    monkeypatch.setattr(mixing, "RANKED_ROWS", ranked)
     monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
     rows = [(1, "one two three four", "a")] * 1000 + [(2, "five six", "b")] * 700 + [(k, "w " * (k % 5), "c") for k in range(900)]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
@@ -216,6 +216,18 @@ def test_mix_takes_some_of_repeated_rows(spark, monkeypatch, bucket):
     assert sorted(map(tuple, mixed.groupBy("source").count().collect())) == sorted((s, sum(r.copies for r in got if r.source == s)) for s in sizes)
 
 
+@pytest.mark.parametrize("ranked", [1000, 3, 0])
+def test_edges_are_those_of_the_whole_order(spark, monkeypatch, ranked):
+    monkeypatch.setattr(mixing, "RANKED_ROWS", ranked)
+    rng = random.Random(5)
+    hashes = {k: sorted(rng.choice([rng.randrange(-(2**63), 2**63), rng.randrange(-5, 5), 2**63 - 1, -(2**63)]) for _ in range(300)) for k in range(4)}
+    extra = {0: 1, 1: 150, 2: 299, 3: 40}
+    cells = [(k, h, hs.count(h)) for k, hs in hashes.items() for h in set(hs)]
+    got = mixing._edges(spark.createDataFrame(cells, "k int, h long, weight long").repartition(5), spark.createDataFrame(list(extra.items()), "k int, extra long"), ["k"], "h")
+    want = [(k, hs[extra[k] - 1], extra[k] - sum(x < hs[extra[k] - 1] for x in hs), hs.count(hs[extra[k] - 1])) for k, hs in hashes.items()]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_knapsack_is_optimal():
     rng = random.Random(1)
     for _ in range(60):
