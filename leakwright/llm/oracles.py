@@ -59,10 +59,39 @@ walk AS (SELECT x AS node, x AS seen FROM e UNION SELECT node, y FROM walk JOIN
 k AS (SELECT node, min(seen) AS c FROM walk GROUP BY node)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id, d.doc_id = coalesce(c, d.doc_id) AS kept FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON node = d.doc_id"""
 
+DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d), t AS (SELECT rid, lang, source, unnest(ts) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY ALL), kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang), s AS (SELECT c.* FROM c JOIN kept USING (lang, term)),
+m AS (SELECT lang, source, sum(n) AS m FROM s GROUP BY ALL), lt AS (SELECT lang, term, sum(n) AS n FROM s GROUP BY ALL), lm AS (SELECT lang, sum(n) AS m FROM lt GROUP BY lang),
+p AS (SELECT g.lang, g.source, k.term, coalesce(s.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(s.n, 0) + 5)) // (coalesce(m.m, 0) + 5 * v.v)::HUGEINT AS p
+  FROM g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN m ON m.lang = g.lang AND m.source = g.source LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term),
+q AS (SELECT lt.lang, lt.term, 1 + (1000000000::HUGEINT * (lt.n + 5)) // (lm.m + 5 * v.v)::HUGEINT AS q FROM lt JOIN lm ON lm.lang = lt.lang JOIN v ON v.lang = lt.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT p.lang, p.source, p.term AS item, (p.p - q.q)::BIGINT AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q)
+SELECT lang, source, 'pair' AS part, item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pairs
+UNION ALL SELECT lang, source, 'term', item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM terms QUALIFY rank <= 50"""
+
+CRC = "xor(list_reduce(list_concat([4294967295], [ascii(x) for x in string_split({}::VARCHAR, '')]), lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda z, k: xor(z >> 1, 3988292384 * (z & 1)))), 4294967295)"
+RUNS = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {CRC.format("doc_id")} AS h, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+e AS (SELECT *, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS hit, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d), e2 AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM e),
+x AS (SELECT rid, n, unnest(range(n)) AS i, unnest(CASE WHEN hit THEN [w[(CASE WHEN j < a THEN j ELSE a + (j - a) % p END) + 1] for j in range(n)] ELSE w END) AS word FROM e2),
+five AS (SELECT rid, i, n, hash(word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) AS k, lead(word, 4) OVER o IS NOT NULL AS whole FROM x WINDOW o AS (PARTITION BY rid ORDER BY i)),
+far AS (SELECT a.rid, a.i, b.i - a.i AS q, row_number() OVER (PARTITION BY a.rid, b.i - a.i ORDER BY a.i) AS r FROM five a JOIN five b ON a.rid = b.rid AND a.k = b.k AND a.i < b.i AND a.whole AND b.whole AND (b.i - a.i) * 4 <= a.n),
+isle AS (SELECT rid, q, min(i) AS s, max(i) + 5 + q - min(i) AS l FROM far GROUP BY rid, q, i - r), long AS (SELECT * FROM isle WHERE l >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM long y WHERE NOT EXISTS (SELECT 1 FROM long z WHERE z.rid = y.rid AND z.q < y.q AND z.s <= y.s AND z.s + z.l >= y.s + y.l)),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + l)) AS i FROM runs), left_over AS (SELECT x.rid, string_agg(word, ' ' ORDER BY x.i) AS t FROM x LEFT JOIN gone ON gone.rid = x.rid AND gone.i = x.i WHERE gone.i IS NULL GROUP BY x.rid),
+best AS (SELECT rid, s, l, q FROM runs QUALIFY row_number() OVER (PARTITION BY rid ORDER BY l::DOUBLE / q DESC, s, q) = 1), listed AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY rid)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, 1000 * l // q AS exponent_milli, sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(left_over.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN best ON best.rid = d.rid LEFT JOIN listed ON listed.rid = d.rid LEFT JOIN left_over ON left_over.rid = d.rid"""
+
 SQL = {
     "op4_exact_dedup": EXACT,
     "op6_preference_formatting": PREFERENCE,
     "op8_line_dedup": LINES,
     "op9_substring_dedup": PASSAGES,
     "op10_chosen_path": NEAR,
+    "op11_source_divergence": DIVERGENCE,
+    "op13_periodic_runs": RUNS,
 }

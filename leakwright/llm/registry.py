@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from leakwright.llm.chosen_path import near_duplicates
 from leakwright.llm.dac import read_token_table, write_token_table
 from leakwright.llm.decontaminate import find_leaks
+from leakwright.llm.divergence import source_divergence
 from leakwright.llm.exact_dedup import exact_duplicates
 from leakwright.llm.line_dedup import drop_boilerplate, host_of, html_lines
 from leakwright.llm.mixing import mix_report
 from leakwright.llm.oracles import SQL
+from leakwright.llm.periodic import planted_tail, run_report
 from leakwright.llm.preference import last_turn_from, preference_records
 from leakwright.llm.quality import quality_scores
 from leakwright.llm.substring import drop_repeated_passages
@@ -106,9 +108,21 @@ def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, ratio=(80, 100))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every source is from the others of its language, and by which terms."""
+    return source_divergence(_table(spark, sf_dir, "documents"), min_df=30, top=50)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four periods or more in every text, some of which have a tail made periodic, and the text without repeats."""
+    return run_report(_table(spark, sf_dir, "documents"), min_exponent=4, min_length=6, plant=planted_tail)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_chosen_path": op10_chosen_path,
+        "op11_source_divergence": op11_source_divergence,
+        "op13_periodic_runs": op13_periodic_runs,
         "op1_quality_classifier": op1_quality_classifier,
         "op2_url_filters": op2_url_filters,
         "op3_mixing_weights": op3_mixing_weights,

@@ -155,7 +155,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = _SEPARATOR):
         self.data = _LOWER[data] if lower else data
-        self.offsets = offsets
+        self.offsets, self.breaks = offsets, breaks
         solid = np.ones(len(data) + 1, dtype=bool)
         solid[:-1] = ~breaks[data]
         solid[-1] = False
@@ -175,6 +175,13 @@ class Words:
     def hashes(self, family: Family = FIRST) -> np.ndarray:
         return family.words(self.data, self.starts, self.ends)
 
+    def distinct(self) -> tuple[np.ndarray, pa.LargeBinaryArray]:
+        """A number for each word, and the distinct words by number: exact, without hashes."""
+        body = np.ascontiguousarray(self.data[~self.breaks[self.data]])
+        edges = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(edges), pa.py_buffer(body)]).dictionary_encode()
+        return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
     def runs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Start word and text number of every run of ``k`` words inside one text."""
         n = np.maximum(self.counts - k + 1, 0)
