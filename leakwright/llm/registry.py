@@ -18,6 +18,7 @@ from leakwright.llm.oracles import SQL
 from leakwright.llm.periodic import planted_tail, run_report
 from leakwright.llm.preference import last_turn_from, preference_records
 from leakwright.llm.quality import quality_scores
+from leakwright.llm.secret_scan import scan_report
 from leakwright.llm.substring import drop_repeated_passages
 from leakwright.llm.textcore import bound_batches
 from leakwright.llm.url_rules import filter_urls
@@ -113,6 +114,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_table(spark, sf_dir, "documents"), min_df=30, top=50)
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text: those of the fixed patterns, and those that the field adds."""
+    return scan_report(_table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of four periods or more in every text, some of which have a tail made periodic, and the text without repeats."""
     return run_report(_table(spark, sf_dir, "documents"), min_exponent=4, min_length=6, plant=planted_tail)
@@ -122,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_chosen_path": op10_chosen_path,
         "op11_source_divergence": op11_source_divergence,
+        "op12_secret_scan": op12_secret_scan,
         "op13_periodic_runs": op13_periodic_runs,
         "op1_quality_classifier": op1_quality_classifier,
         "op2_url_filters": op2_url_filters,

@@ -1,0 +1,307 @@
+"""Brute force against source divergence, secret scans and periodic runs, with their edge cases."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from leakwright.llm import divergence, secret_scan
+from leakwright.llm.divergence import source_divergence
+from leakwright.llm.periodic import Positions, collapse_runs, list_runs, periodic_runs, planted_tail, run_report, stretches
+from leakwright.llm.secret_scan import base_spans, learn, marginals, random_value, redact, scan_report, scan_texts, viterbi
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+UPPER = {c: c + 32 for c in range(65, 91)}
+
+# ------------------------------------------------------------------ periodic runs
+
+
+def brute_runs(w, least=6, times=4):
+    out = []
+    for q in range(1, len(w) // times + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j > i:
+                x = w[i : j + q]
+                if len(x) >= max(least, times * q) and not any(x[r:] == x[:-r] for r in range(1, q)):
+                    out.append((i, len(x), q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def tail_made_periodic(doc_id, words):
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    return words
+
+
+def brute_report(doc_id, text):
+    w = tail_made_periodic(doc_id, WORD.findall(text or "")) if doc_id is not None else WORD.findall(text or "")
+    runs, gone = brute_runs(w), set()
+    for s, n, q in runs:
+        gone.update(range(s + q, s + n))
+    best = None
+    for s, n, q in runs:
+        if best is None or n * best[2] > best[1] * q:
+            best = (s, n, q)
+    told = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
+    left = " ".join(x for i, x in enumerate(w) if i not in gone)
+    return (doc_id, len(runs), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None, hashlib.sha256(told.encode()).hexdigest(), hashlib.sha256(left.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("times,least", [(4, 6), (2, 2), (3, 5)])
+def test_runs_equal_brute_force(times, least):
+    rng = random.Random(times)
+    for _ in range(400):
+        n = rng.randint(0, 50)
+        w = [rng.randrange(rng.choice([1, 2, 3])) for _ in range(n)]
+        if n > 8 and rng.random() < 0.5:
+            a, p = rng.randrange(n), rng.randint(1, 6)
+            w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+        assert periodic_runs(w, times, least) == brute_runs(w, least, times), w
+        found = [(a + s, k, q) for a, b in stretches(np.array(w, dtype=np.int64), np.zeros(n, dtype=np.int64), times, least) for s, k, q in periodic_runs(w[a:b], times, least)]
+        assert sorted(found, key=lambda r: (r[0], r[2])) == brute_runs(w, least, times)
+
+
+def test_long_runs_and_position_blocks():
+    assert periodic_runs([0] * 5000) == [(0, 5000, 1)]
+    assert periodic_runs([i % 700 for i in range(5000)]) == [(0, 5000, 700)]
+    values = random.Random(3).sample(range(10**6), 3000)
+    held, plain = Positions(values[0]), [values[0]]
+    for x in values[1:]:
+        before, after = held.put(x)
+        assert before == max((y for y in plain if y < x), default=None) and after == min((y for y in plain if y > x), default=None)
+        plain.append(x)
+    assert list(held) == sorted(values)
+
+
+def periodic_docs():
+    rng = random.Random(8)
+    texts = []
+    for _ in range(150):
+        w = [rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.choice([0, 1, 5, 40, 90]))]
+        if rng.random() < 0.4:
+            w += [rng.choice("xyzé") for _ in range(rng.randint(1, 4))] * rng.randint(3, 9)
+        texts.append(rng.choice([" ", "\n", " \t"]).join(w))
+    return [(i, t) for i, t in enumerate([*texts, "", "  \n", None, "é é é é é é", "a a a a a", "A a A a A a A a", "a a a"])] + [(3, texts[3]), (3, texts[4]), (None, "b b b b b b b")]
+
+
+def test_run_report_equals_brute_force(spark):
+    rows = periodic_docs()
+    frame = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], "doc_id long, text string, start int, unit string, length int").repartition(3)
+    got = run_report(frame, plant=planted_tail)
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(repr(brute_report(*r)) for r in rows)
+    assert run_report(frame.where("false")).collect() == []
+
+
+def test_runs_are_listed_and_collapsed(spark):
+    frame = spark.createDataFrame([(1, "so it goes it goes it goes it goes on", 5, "u"), (1, None, 6, "v"), (2, "no  run\there", None, None), (None, "x x x x x x x", 1, "w")], "doc_id long, text string, period int, unit string")
+    assert sorted(map(tuple, list_runs(frame).collect()), key=repr) == sorted([(1, 1, 8, 2, "it goes"), (None, 0, 7, 1, "x")], key=repr)
+    kept = collapse_runs(frame)
+    assert kept.columns == frame.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, "so it goes on", 5, "u"), (1, None, 6, "v"), (2, "no  run\there", None, None), (None, "x", 1, "w")], key=repr)
+    assert collapse_runs(frame.where("false")).collect() == []
+
+
+# ------------------------------------------------------------------ source divergence
+
+
+def brute_divergence(rows, least, top):
+    docs, seen, count = defaultdict(Counter), defaultdict(set), defaultdict(Counter)
+    groups = {(lang or "", source or "") for lang, source, _ in rows}
+    for lang, source, text in rows:
+        terms = [t.translate(UPPER) for t in TERM.findall(text or "")]
+        count[lang or "", source or ""].update(terms)
+        docs[lang or ""].update(set(terms))
+    out = []
+    for lang, source in groups:
+        kept = [t for t, n in docs[lang].items() if n >= least]
+        v = len(kept)
+
+        def shares(counts):
+            whole = sum(counts[t] for t in kept) + 5 * v
+            return {t: 1 + 10**9 * (counts[t] + 5) // whole for t in kept}
+
+        own = shares(count[lang, source])
+        total = Counter()
+        for a, b in groups:
+            if a == lang:
+                total.update(count[a, b])
+        q = shares(total)
+        pairs = [(b, sum(abs(own[t] - p) for t, p in shares(count[lang, b]).items())) for a, b in groups if a == lang and b != source]
+        terms = [(t, own[t] - q[t]) for t in kept if count[lang, source][t] > 0 and own[t] > q[t]]
+        for part, found, most in (("pair", pairs, None), ("term", terms, top)):
+            found.sort(key=lambda x: (-x[1], x[0].encode()))
+            out += [(lang, source, part, item, value, k + 1) for k, (item, value) in enumerate(found[:most])]
+    return out
+
+
+def mixed_docs(n=400):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abCDéß", k=rng.randint(1, 3))) for _ in range(120)]
+    rows = []
+    for _ in range(n):
+        source = rng.choice(["s1", "s1", "s1", "s2", "S2", None, "é"])
+        text = rng.choice([" ", "-", "_", "4", "\n"]).join(rng.choices(words[: rng.choice([20, 120])], k=rng.choice([0, 3, 40])))
+        rows.append((rng.choice(["en", "en", "de", None, ""]), source, text))
+    return [*rows, ("fr", "s1", "one two"), ("fr", "s2", None), ("fr", None, ""), ("it", "only", "words " * 50), ("en", "empty", None), ("en", "empty", "12 -- 3")]
+
+
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_divergence_equals_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(divergence, "BROADCAST_GROUPS", limit)
+    monkeypatch.setattr(divergence, "GATHERED_ROWS", 50)
+    rows = mixed_docs()
+    frame = spark.createDataFrame([(*r, 1, "x", 3) for r in rows], "lang string, source string, text string, term int, item string, n int").repartition(3)
+    got = source_divergence(frame, min_df=12, top=7)
+    assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
+    assert Counter(map(tuple, got.collect())) == Counter(brute_divergence(rows, 12, 7))
+
+
+def test_divergence_of_nothing_and_without_kept_terms(spark):
+    frame = spark.createDataFrame(mixed_docs(20), "lang string, source string, text string")
+    assert source_divergence(frame.where("false")).collect() == []
+    assert Counter(map(tuple, source_divergence(frame, min_df=10**6).collect())) == Counter(brute_divergence(mixed_docs(20), 10**6, 50))
+
+
+def test_sketch_never_says_less_and_drops_most(spark):
+    rows = [("en", "s", f"common rare{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'x' * (i // 26)}") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "lang string, source string, text string").repartition(5)
+    sketch = divergence.document_frequency_sketch(frame, 30, divergence.MIN_WIDTH)
+    assert sketch.max() == 30
+    found = {r["term"] for r in frame.mapInArrow(divergence._survivors(spark.sparkContext.broadcast(sketch), 30), "lang string, source string, term string, n long, docs long").collect()}
+    exact = Counter(t for _, _, x in rows for t in set(TERM.findall(x)))
+    assert {t for t, n in exact.items() if n >= 30} <= found and len(found) < len(exact) / 2
+
+
+def test_shares_are_exact_beyond_64_bits(spark):
+    n, whole, v = 7 * 10**17 + 3, 9 * 10**17 + 11, 12345
+    frame = spark.createDataFrame([(n, whole, v)], "n long, m long, v long")
+    assert frame.select(divergence.share(F.col("n"), F.col("m"), F.col("v"))).first()[0] == 1 + 10**9 * (n + 5) // (whole + 5 * v)
+
+
+# ------------------------------------------------------------------ secrets
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+
+
+def brute_spans(text):
+    out = [(m.start(2), 0, m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(secret_scan.KINDS[k], a, b) for a, k, b in sorted(out)]
+
+
+def secret_docs():
+    rng, values = random.Random(6), np.random.default_rng(6)
+    words = "the of and token password secret key für école size=12 a:b https://x.example/y?z=1 mail@example.com 0123456789 deadbeef ſecret apikey".split()
+    texts = []
+    for k in range(300):
+        w = rng.choices(words, k=rng.choice([3, 30, 120]))
+        if k % 3 == 0:
+            w.insert(rng.randrange(len(w)), rng.choice(["TOKEN = '{}'", 'Api_Key":"{}"', "password={}", "passwd : {}", "secret=abc", "{}"]).format(random_value(values)))
+        texts.append(" ".join(w))
+    return [*texts, "", None, "token=token=abcdef", "password=12345 secret=123456", "AKIAAKIA" + "B" * 15, "AKIA" + "Z" * 15, "é" * 9 + "token: " + "ab" * 14, "f" * 23, "f" * 24, "apikey=" + "0" * 4000]
+
+
+def test_base_spans_equal_the_patterns():
+    for text in secret_docs():
+        text = text or ""
+        raw = text.encode()
+        point = lambda b: len(raw[:b].decode())
+        assert [(k, point(a), point(b)) for k, a, b in base_spans(raw)] == brute_spans(text)
+    found = [s for s, _, _ in scan_texts(pa.array(secret_docs(), pa.string()), None)]
+    assert found == [brute_spans(t or "") for t in secret_docs()]
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(1)
+    for _ in range(150):
+        n = int(rng.integers(1, 120))
+        emit, first, trans, start = rng.normal(size=(n, 3)), rng.random(n) < 0.1, rng.normal(size=(3, 3)), rng.normal(size=3)
+        first[0] = True
+        best = None
+        for t in range(n):
+            step = np.zeros((3, 3)) + start if first[t] else trans
+            best = (start if t == 0 else (best[:, None] + step).max(0)) + emit[t]
+        tags = viterbi(emit, first, trans, start, block=int(rng.choice([2, 5, 64])))
+        value = sum(emit[t, g] + (start[g] if first[t] else trans[tags[t - 1], g]) for t, g in enumerate(tags))
+        assert value == pytest.approx(best.max())
+    assert len(viterbi(np.zeros((0, 3)), np.zeros(0, bool), np.zeros((3, 3)), np.zeros(3))) == 0
+
+
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(2)
+    emit, trans, start = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
+    sizes = (4, 2)
+    each, pairs = marginals(emit, np.arange(4) < np.array(sizes)[:, None], trans, start)
+    want = np.zeros((3, 3))
+    for b, n in enumerate(sizes):
+        whole, one, two = 0.0, np.zeros((n, 3)), np.zeros((3, 3))
+        for tags in itertools.product(range(3), repeat=n):
+            p = np.exp(start[tags[0]] + sum(emit[b, t, g] for t, g in enumerate(tags)) + sum(trans[x, y] for x, y in zip(tags, tags[1:])))
+            whole += p
+            one[np.arange(n), tags] += p
+            for x, y in zip(tags, tags[1:]):
+                two[x, y] += p
+        assert np.allclose(each[b, :n], one / whole)
+        want += two / whole
+    assert np.allclose(pairs, want)
+
+
+def test_field_finds_forms_that_no_pattern_has_and_leaves_prose_alone():
+    rng, values = random.Random(4), np.random.default_rng(4)
+    vocabulary = ["".join(rng.choices("aeioulnrstdmc", k=rng.randint(2, 9))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    field = learn((f"{prose(60)} token = \"{random.Random(k).randbytes(20).hex()}\" {prose(60)}" if k % 4 == 0 else prose(120)).encode() for k in range(400))
+    hit = false = 0
+    for _ in range(100):
+        value = random_value(values)
+        text = f"{prose(40)} the credential is {value} {prose(40)}"
+        raw = text.encode()
+        found = [(a, b) for _, a, b in field.spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))]
+        at = raw.find(value.encode())
+        hit += any(a <= at and b >= at + len(value) for a, b in found)
+        false += sum(b <= at or a >= at + len(value) for a, b in found)
+    assert hit >= 90 and false <= 2
+
+
+def test_scan_report_keeps_the_base_and_adds_to_it(spark):
+    rows = [(i, t, 1, "x") for i, t in enumerate(secret_docs())] + [(None, "token=abcdef", 2, None), (1, "password: hunter22", 3, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_hex int, spans string").repartition(3)
+    got = scan_report(frame)
+    assert got.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    want = []
+    for i, t, *_ in rows:
+        base = brute_spans(t or "")
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        want.append((i, *(sum(k == s[0] for s in base) for k in ("assign", "access", "hex")), hashlib.sha256(told.encode()).hexdigest(), told))
+    found = [tuple(r) for r in got.collect()]
+    assert Counter(r[:5] for r in found) == Counter(r[:5] for r in want)
+    assert Counter((r[0], ",".join(s for s in r[5].split(",") if not s.startswith("field"))) for r in found) == Counter((r[0], r[5]) for r in want)
+    again = [tuple(r) for r in scan_report(frame.repartition(2)).collect()]
+    assert Counter(again) == Counter(found)
+    assert scan_report(frame.where("false")).collect() == []
+
+
+def test_redact_keeps_columns_and_clean_texts(spark):
+    rows = [(1, "an école token = \"0123456789abcdef0123456789abcdef\" end", "a"), (1, "clean text", "b"), (2, None, None), (None, "", "c")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, place string")
+    got = redact(frame)
+    assert got.columns == frame.columns
+    assert Counter(map(tuple, got.collect())) == Counter([(1, 'an école token = "[secret]" end', "a"), *rows[1:]])
