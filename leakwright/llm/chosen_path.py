@@ -40,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leakwright.functions.naming import unused
 from leakwright.llm.textcore import FIRST, Words, mix, signed, stream, text_slices
 from leakwright.operators.graph import connected_components, contract
 from leakwright.sources.shared_tables import discard, release, stash
@@ -448,15 +449,18 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, ratio: tuple[int, int] = (
     """The rows of ``docs``, all columns, one of each component: that of the smallest id, null ids last.
 
     Every row is judged by itself, whatever its id: of repeated rows one stays, null ids
-    are deduplicated too, and a different text under the same id is not a copy.  The
-    rows that go are broadcast if they are no more than ``broadcast_ids``, and joined
-    otherwise.
+    are deduplicated too, and a different text under the same id is not a copy.  Null,
+    empty and blank texts all stay.  The rows that go are broadcast if they are no more
+    than ``broadcast_ids``, and joined otherwise.  An empty table stays empty; columns of
+    any name keep their values.
     """
-    rows = stash(docs.withColumn("__row__", F.monotonically_increasing_id()), "rows")
-    near = stash(near_duplicates(rows, k, ratio, "__row__", text_col).select(F.col("doc_id").alias("__row__"), "component_id"), "near")
-    together = near.join(near.where("component_id <> __row__").select("component_id").distinct(), "component_id", "left_semi")
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row__"))
-    ranked = together.join(rows.select("__row__", id_col), "__row__")
-    stays = stash(ranked.groupBy("component_id").agg(F.min(order)["__row__"].alias("stays")), "stays")
-    gone = stash(together.join(stays, "component_id").where("__row__ <> stays").select("__row__"), "dropped")
-    return rows.join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, "__row__", "left_anti").select(*docs.columns)
+    row = unused(docs.columns, "row_number")[0]
+    rows = stash(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    numbered = rows.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    near = stash(near_duplicates(numbered, k, ratio, "row", "text").select(F.col("doc_id").alias("row"), "component_id"), "near")
+    together = near.join(near.where("component_id <> row").select("component_id").distinct(), "component_id", "left_semi")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
+    ranked = together.join(numbered.select("row", "id"), "row")
+    stays = stash(ranked.groupBy("component_id").agg(F.min(order)["row"].alias("stays")), "stays")
+    gone = stash(together.join(stays, "component_id").where("row <> stays").select(F.col("row").alias(row)), "dropped")
+    return rows.join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, row, "left_anti").drop(row)

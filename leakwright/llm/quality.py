@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leakwright.functions.naming import unused
 from leakwright.llm.textcore import Words, text_slices
 
 PASSAGE_WORDS = 64
@@ -188,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def add_score(docs: DataFrame, model: AttentionModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with the model's score of every whole text in a new last column."""
+    """``docs`` with the model's score of every whole text in a new last column, whose name ``docs`` must not have."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +199,7 @@ def add_score(docs: DataFrame, model: AttentionModel, text_col: str = "text", sc
             score = pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], score], names=[*batch.schema.names[:last], score_col])
 
-    judged = docs.select("*", F.col(text_col).cast("string").alias("__judged__"))
+    judged = docs.select("*", F.col(text_col).cast("string").alias(unused(docs.columns, "judged")[0]))
     return judged.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
@@ -211,6 +212,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, **bounds: int) -> DataFrame:
-    """The rows of ``docs``, all columns, that score ``threshold`` or more."""
+    """The rows of ``docs``, all columns, that score ``threshold`` or more.
+
+    Nulls in any column, empty and very long texts, repeated rows and ids are judged like
+    all others, by the text alone; an empty table stays empty; columns of any name keep their values.
+    """
     model = train(docs, labels, id_col, text_col, label_col, **bounds)
-    return add_score(docs, model, text_col, "__score__").where(F.col("__score__") >= threshold).select(*docs.columns)
+    score = unused(docs.columns, "score")[0]
+    return add_score(docs, model, text_col, score).where(F.col(score) >= threshold).drop(score)
