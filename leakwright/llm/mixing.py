@@ -12,14 +12,15 @@ are counted, each length gets its share of the rest, what rounding leaves is car
 to the next shorter length, and a bounded-knapsack dynamic program over reachable
 sums closes the last budget, ``DP_WORDS`` and what was carried, with documents not yet
 taken.  Which documents of a length are taken once more is decided by a seeded hash of
-the row: those up to a threshold.  Rows of one hash, which are repeated rows, are told
-apart by a number given when the sizes are written, and a second threshold.  So a
-decision needs only the row and its length's entry in the plan.
+the row: those up to a threshold.  Rows of one hash, which have one id and text, are told
+apart by a second hash, of their other columns first and then of a number given when the
+sizes are written, and a second threshold.  So a decision needs only the row and its
+length's entry in the plan, and a rerun takes the same rows.
 
 Defined cases: null and blank texts have size 0 and no words taken; null is a source
 of its own; a source without words has target 0; of equal rows as many are taken once
 more as the plan says, and which is all the same; an empty table gives an empty
-result; further columns are kept by ``mix`` and ignored by the report.
+result; further columns are kept by ``mix``, whatever their names, and ignored by the report.
 """
 
 from __future__ import annotations
@@ -42,15 +43,19 @@ BROADCAST_ROWS = 200_000
 
 
 def sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Adds ``__source__`` (never null), ``__size__``, ``__h__``, the row's seeded hash, and ``__r__``, another for each of equal rows."""
+    """``row``, all of a row of ``docs``, and ``doc_id``, ``source``, ``__source__`` (never null), ``__size__``, ``__h__``, the row's seeded hash, and ``__r__``, another for each of equal rows."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = F.col(source_col).cast("string")
+    others = F.to_json(F.struct(source.alias("source"), *(F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col, source_col))))
+    told, dealt = F.xxhash64(F.lit(seed), others), F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
     return docs.select(
-        "*",
+        F.struct("*").alias("row"),
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
         F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("__source__"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("__size__"),
         F.xxhash64(F.lit(seed), F.col(id_col), text).alias("__h__"),
-        F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).alias("__r__"),
+        F.shiftleft(told, 40).bitwiseOR(F.shiftrightunsigned(dealt, 24)).alias("__r__"),
     )
 
 
@@ -172,8 +177,7 @@ def mixing_plan(rows: DataFrame, weights: tuple[float, ...], max_repeats: int) -
 def _planned(docs: DataFrame, weights, max_repeats, seed, id_col, text_col, source_col, whole: bool) -> DataFrame:
     """Rows with their copies; whole rows are written with their sizes, so that repeated ones keep their numbers."""
     rows = sized(docs, seed, id_col, text_col, source_col)
-    slim = F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), "__source__", "__size__", "__h__", "__r__"
-    rows = stash(rows if whole else rows.select(*slim), "sizes")
+    rows = stash(rows if whole else rows.drop("row"), "sizes")
     plan = stash(mixing_plan(rows.select("__source__", "__size__", "__h__", "__r__"), weights, max_repeats), "mix")
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
@@ -191,4 +195,5 @@ def mix_report(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repe
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), max_repeats: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each row of ``docs``, all its columns, as often as the mix takes it."""
     planned = _planned(docs, weights, max_repeats, seed, id_col, text_col, source_col, whole=True)
-    return planned.where("__copies__ > 0").withColumn("__copy__", F.explode(F.sequence(F.lit(1), F.col("__copies__").cast("int")))).select(*docs.columns)
+    taken = planned.where("__copies__ > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("__copies__").cast("int"))).alias("copy"))
+    return taken.select("row.*")
