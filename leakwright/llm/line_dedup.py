@@ -6,15 +6,16 @@ is dropped from every page of that site.
 
 Lines are laid out once, as rows with two 64-bit hashes; only hashes are shuffled, counted
 per site before the shuffle.  Each row meets the boilerplate of its site in a hash join,
-and the places of the lines that go are gathered per text, so texts are cut where they
-lie and no list is searched for each line.
+and the places of the lines that go are gathered per text, sorted.  From them a mark for
+every line is laid out, place by place, and lines and marks are walked together: texts
+are cut where they lie, in time that grows with their lines.
 
 Defined cases: lines are what LF separates; a line is compared without the white
 space around it, and blank lines are never dropped; null text has no lines and stays
 null; null is a site of its own; a line found on fewer than ``min_pages`` pages of a
 site is never boilerplate; equal rows are pages of their own and get equal results; an
-empty table gives an empty result; columns of the same names as those used inside are
-kept apart.
+empty table gives an empty result; columns of any name keep their values: where ``pages``
+has an ``n_lines`` or ``n_dropped`` itself, the count is named with a ``_`` after it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leakwright.functions.naming import unused
 from leakwright.sources.shared_tables import stash
 
 #: So many boilerplate lines, and texts that lose lines, are broadcast at most; more are joined.
@@ -62,6 +64,14 @@ def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame
     return stash(counts.join(totals, "site").where(F.col("n") > F.col("pages") * F.lit(max_ratio)).select("site", "a", "b"), "boilerplate")
 
 
+def without_places(lines: Column, gone: Column) -> Column:
+    """An array without the places, ascending from 0, of a second array; each of them is read once."""
+    size = F.size(lines)
+    before = F.concat(F.array(F.lit(-1)), gone)
+    marks = F.flatten(F.zip_with(before, F.concat(gone, F.array(size)), lambda a, b: F.concat(F.array_repeat(F.lit(True), b - a - 1), F.array(F.lit(False)))))
+    return F.filter(F.zip_with(lines, marks, lambda line, stays: F.when(stays, line)), lambda line: line.isNotNull())
+
+
 def _sized(small: DataFrame, most: int) -> DataFrame:
     return F.broadcast(small) if small.count() <= most else small
 
@@ -73,12 +83,14 @@ def drop_boilerplate(pages: DataFrame, site: Column | str = "source", text_col:
     slim = pages.select(site.alias("site"), text.alias("text"))
     found = boilerplate(slim, max_ratio, min_pages)
     # Texts go by two hashes of site and text: equal ones lose equal lines.
-    name = lambda site, text: [F.xxhash64(site, text).alias("__k1__"), F.xxhash64(F.lit(1), site, text).alias("__k2__")]
-    lines = slim.select("site", *name(F.col("site"), F.col("text")), F.posexplode(F.split(_bare(F.col("text")), "\n")).alias("place", "line")).where("line <> ''")
-    hits = lines.select("site", "__k1__", "__k2__", "place", *_marks()).join(_sized(found, BROADCAST_LINES), ["site", "a", "b"], "left_semi")
-    gone = stash(hits.groupBy("__k1__", "__k2__").agg(F.collect_set("place").alias("__gone__")), "gone")
-    joined = pages.withColumns({"__k1__": name(site, text)[0], "__k2__": name(site, text)[1]}).join(_sized(gone, BROADCAST_TEXTS), ["__k1__", "__k2__"], "left")
-    whole = F.split(text, "\n")
-    kept = F.when(F.col("__gone__").isNull(), text).otherwise(F.array_join(F.filter(whole, lambda line, k: ~F.array_contains(F.col("__gone__"), k)), "\n"))
-    rest = [kept.alias(text_col) if c == text_col else F.col(c) for c in pages.columns]
-    return joined.select(*rest, F.when(text.isNull(), 0).otherwise(F.size(whole)).cast("long").alias("n_lines"), F.when(F.col("__gone__").isNull(), 0).otherwise(F.size("__gone__")).cast("long").alias("n_dropped"))
+    name = [F.xxhash64("site", "text").alias("k1"), F.xxhash64(F.lit(1), "site", "text").alias("k2")]
+    lines = slim.select("site", *name, F.posexplode(F.split(_bare(F.col("text")), "\n")).alias("place", "line")).where("line <> ''")
+    hits = lines.select("site", "k1", "k2", "place", *_marks()).join(_sized(found, BROADCAST_LINES), ["site", "a", "b"], "left_semi")
+    gone = stash(hits.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("place")).alias("gone")), "gone")
+    rows = pages.select(F.struct("*").alias("row"), site.alias("site"), text.alias("text")).select("row", "text", *name)
+    joined = rows.join(_sized(gone, BROADCAST_TEXTS), ["k1", "k2"], "left")
+    whole = F.split("text", "\n")
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(without_places(whole, F.col("gone")), "\n"))
+    n_lines, n_dropped = unused(pages.columns, "n_lines", "n_dropped")
+    rest = [kept.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in pages.columns]
+    return joined.select(*rest, F.when(F.col("text").isNull(), 0).otherwise(F.size(whole)).cast("long").alias(n_lines), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias(n_dropped))
