@@ -137,12 +137,17 @@ class Family:
             out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8, key=self.key).digest(), "little")
         return out
 
+    def prefixes(self, words: np.ndarray) -> np.ndarray:
+        """Sums from which ``at`` gives the hash of any run of the words."""
+        return _sums61(mul61(reduce61(words), self.words_base.to(len(words) + 1)[0][:-1]))
+
+    def at(self, prefix: np.ndarray, starts: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+        value = mul61(reduce61(prefix[starts + sizes] + (_P - prefix[starts])), self.words_base.to(len(prefix))[1][starts])
+        return mix(value + np.asarray(sizes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
     def spans(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
         """Hashes of ``words[s : s + n]`` for every s in ``starts`` and n in ``sizes``."""
-        up, down = self.words_base.to(len(words) + 1)
-        prefix = _sums61(mul61(reduce61(words), up[:-1]))
-        value = mul61(reduce61(prefix[starts + sizes] + (_P - prefix[starts])), down[starts])
-        return mix(value + np.asarray(sizes).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return self.at(self.prefixes(words), starts, sizes)
 
     windows = spans
 
