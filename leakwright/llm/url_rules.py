@@ -9,7 +9,8 @@ are one item to the miner, found in an url that has any of them: that is what th
 of single tokens would find, and an url of many segments that is repeated does not
 make a rule of every subset.  All other rules are kept, unless ``max_rules`` asks for
 the surest only.  They match by an inverted index: each rule stands under the rarest token of its combination, so
-an url looks up its own tokens only.  The surest rule that fits decides, then the
+an url looks up its own tokens only.  Up to ``BROADCAST_RULES`` the index is sent to the
+executors; more rules stay a table, which the urls' tokens are joined with.  The surest rule that fits decides, then the
 longer, the more frequent, and the first by name; no fit gives ``default``.
 
 Known limit: the miner lists all frequent combinations, whose number grows with the
@@ -35,6 +36,8 @@ from leakwright.sources.shared_tables import discard, stash
 #: (verdict, host, beginning of the path)
 Rule = tuple[str, str, str]
 _VERDICT = "=verdict:"
+#: Mined rules that are sent to the executors at most; more are joined as a table.
+BROADCAST_RULES = 20_000
 
 
 def _rest(url: Column) -> Column:
@@ -88,17 +91,28 @@ def token_classes(labelled: DataFrame, min_support: float) -> dict[str, str]:
     return {r["token"]: r["name"] for r in tokens.join(names, ["n", "a", "b"]).select("token", "name").collect()}
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, max_rules: int | None = None) -> list[dict]:
-    """Rules from ``(tokens, verdict)`` rows, surest first; each has antecedent, verdict, confidence and support."""
+def mined_table(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame | None:
+    """Rules from ``(tokens, verdict)`` rows as a written table of antecedent, verdict, confidence and support; none without rows."""
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(_VERDICT), "verdict"))).alias("items"))
     if baskets.isEmpty():
-        return []
+        return None
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where(F.element_at("consequent", 1).startswith(_VERDICT))
     found = found.select(F.sort_array("antecedent").alias("antecedent"), F.substring(F.element_at("consequent", 1), len(_VERDICT) + 1, 100).alias("verdict"), "confidence", "support")
     found = stash(found.withColumn("id", F.monotonically_increasing_id()), "rules")
-    rows = [r.asDict() for r in _irredundant(found).drop("id").collect()]
+    kept = stash(_irredundant(found).drop("id"), "kept-rules")
     discard(found)
+    return kept
+
+
+def mine(labelled: DataFrame, min_support: float, min_confidence: float, max_rules: int | None = None) -> list[dict]:
+    """The rules of ``mined_table``, surest first, where they are known to be few."""
+    found = mined_table(labelled, min_support, min_confidence)
+    return _listed(found, max_rules)
+
+
+def _listed(found: DataFrame | None, max_rules: int | None) -> list[dict]:
+    rows = [r.asDict() for r in found.collect()] if found is not None else []
     for r in rows:
         r["tokens"] = frozenset(r["antecedent"])
     return sorted(rows, key=_sureness)[:max_rules]
@@ -107,13 +121,33 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float, max_rul
 def _irredundant(rules: DataFrame) -> DataFrame:
     """Rules of which no shorter form with the same verdict is as sure; a rule meets shorter ones by their rarest token."""
     tokens = rules.select("id", F.size("antecedent").alias("n"), "antecedent", "verdict", "confidence", F.explode("antecedent").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
-    rarest = tokens.join(often, "token").groupBy("id").agg(F.min(F.struct("often", "token"))["token"].alias("token"))
-    short = rules.join(rarest, "id").select("token", "verdict", F.size("antecedent").alias("m"), F.col("antecedent").alias("part"), F.col("confidence").alias("sure"))
+    short = rules.join(_rarest(tokens), "id").select("token", "verdict", F.size("antecedent").alias("m"), F.col("antecedent").alias("part"), F.col("confidence").alias("sure"))
     met = tokens.join(short, ["token", "verdict"]).where((F.col("m") < F.col("n")) & (F.col("sure") >= F.col("confidence")))
     return rules.join(met.where(F.size(F.array_except("part", "antecedent")) == 0).select("id").distinct(), "id", "left_anti")
 
 
+def _rarest(tokens: DataFrame) -> DataFrame:
+    """``(id, token)``: of the tokens of each rule the one that the fewest rules have."""
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    return tokens.join(often, "token").groupBy("id").agg(F.min(F.struct("often", "token"))["token"].alias("token"))
+
+
+def join_rules(rows: DataFrame, rules: DataFrame, max_rules: int | None = None) -> DataFrame:
+    """``rows`` with ``best``, the surest rule whose tokens are all among ``items``, by the rule's rarest token; both are written tables.
+
+    ``rows`` has ``number``, its own for each row.
+    """
+    order = F.struct((-F.col("confidence")).alias("c"), (-F.size("antecedent")).alias("n"), (-F.col("support")).alias("s"), "antecedent", "verdict")
+    if max_rules is not None:
+        rules = rules.orderBy(order).limit(max_rules)
+    numbered = stash(rules.select(order.alias("best")).withColumn("id", F.monotonically_increasing_id()), "numbered")
+    rarest = _rarest(numbered.select("id", F.explode("best.antecedent").alias("token")))
+    indexed = stash(numbered.join(rarest, "id").select("token", "best"), "indexed")
+    met = rows.select("number", "items", F.explode("items").alias("token")).join(indexed, "token")
+    met = met.where(F.size(F.array_except("best.antecedent", "items")) == 0)
+    return rows.join(met.groupBy("number").agg(F.min("best").alias("best")), "number", "left")
+
+
 def _sureness(r: dict) -> tuple:
     return -r["confidence"], -len(r["antecedent"]), -r["support"], r["antecedent"], r["verdict"]
 
@@ -150,7 +184,13 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
     def as_items(tokens: pd.Series) -> pd.Series:
         return pd.Series([sorted({named.value[x] for x in t if x in named.value}) for t in tokens])
 
-    mined = mine(stash(labelled.select(as_items("tokens").alias("tokens"), "verdict"), "baskets"), min_support, min_confidence, max_rules)
+    free = F.col("rule").isNull()
+    table = mined_table(stash(labelled.select(as_items("tokens").alias("tokens"), "verdict"), "baskets"), min_support, min_confidence)
+    if table is not None and table.count() > BROADCAST_RULES:
+        asked = stash(rows.select("*", F.when(free, as_items("tokens")).alias("items"), F.monotonically_increasing_id().alias("number")), "asked")
+        met = join_rules(asked, table, max_rules)
+        return met.select("page_id", "host", "path", "rule", F.coalesce("verdict", "best.verdict", F.lit(default)).alias("verdict"), F.array_join("best.antecedent", " & ").alias("because"), (-F.col("best.c")).alias("confidence"))
+    mined = _listed(table, max_rules)
     shared = pages.sparkSession.sparkContext.broadcast((names, inverted_index(mined), [(r["verdict"], " & ".join(r["antecedent"]), r["confidence"]) for r in mined]))
 
     @F.pandas_udf("verdict string, because string, confidence double")
@@ -159,6 +199,5 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
         found = [best_rule([known[x] for x in t if x in known], index) if t is not None else None for t in tokens]
         return pd.DataFrame([outcomes[k] if k is not None else (default, None, None) for k in found], columns=["verdict", "because", "confidence"])
 
-    free = F.col("rule").isNull()
     judged = rows.withColumn("mined", judge(F.when(free, F.col("tokens"))))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("verdict", "mined.verdict").alias("verdict"), F.when(free, F.col("mined.because")).alias("because"), F.when(free, F.col("mined.confidence")).alias("confidence"))

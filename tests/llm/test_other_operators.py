@@ -110,6 +110,16 @@ def test_mined_rules_against_brute_force(spark):
         assert url_rules.best_rule(tokens, index) == (min(fits) if fits else None)
 
 
+def test_many_url_rules_are_joined_as_a_table(spark, monkeypatch):
+    rng = random.Random(21)
+    urls = [f"http{'s' * rng.randint(0, 1)}://{rng.choice(['a', 'b', 'www.example'])}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'es', 'fr'])}/{rng.choice('xyz')}?{rng.choice('pq')}=1" for _ in range(400)]
+    rows = spark.createDataFrame([*enumerate(urls), (1, urls[3]), (None, None), (7, "no scheme")], "page_id long, url string").repartition(3)
+    plain = [tuple(r) for r in url_rules.filter_urls(rows, URL_RULES, min_support=0.01, min_confidence=0.55).collect()]
+    monkeypatch.setattr(url_rules, "BROADCAST_RULES", 1)
+    joined = [tuple(r) for r in url_rules.filter_urls(rows, URL_RULES, min_support=0.01, min_confidence=0.55).collect()]
+    assert sorted(map(repr, plain)) == sorted(map(repr, joined)) and len({r[5] for r in plain}) > 3
+
+
 def test_long_sure_url_rules_are_mined(spark):
     baskets = [(list(t), "block" if {*"abcd"} <= {*t} else "allow") for n in range(1, 6) for t in itertools.combinations("abcde", n)]
     mined = url_rules.mine(spark.createDataFrame(baskets, "tokens array<string>, verdict string"), 0.01, 0.3, 1)
