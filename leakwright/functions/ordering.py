@@ -7,9 +7,14 @@ three hex digits: a class that holds most rows is never sorted in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leakwright.functions.naming import unused
+from leakwright.sources.shared_tables import stash
+
 
 def order_key(seed: int | str | Column, *ids: Column | str) -> Column:
     parts = [seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), *(i if isinstance(i, Column) else F.col(i) for i in ids)]
@@ -43,3 +48,20 @@ def largest_remainder(share: Column, total: Column, over: list[str], tie: str) -
     low = F.floor(share)
     rank = F.row_number().over(part.orderBy((share - low).desc(), F.col(tie)))
     return (low + (rank <= total - F.sum(low).over(part)).cast("long")).cast("long")
+
+
+def in_blocks(rows: DataFrame, by: list[str], order: str, block: str) -> DataFrame:
+    """``rows`` as a written table, dealt out by ranges of ``by`` and ``order``, with the number of the range in ``block``.
+
+    What runs along ``order`` within ``by`` is computed in two passes: each block by itself,
+    and the blocks' summaries, few rows, in the order of their numbers.  So no task holds
+    all rows of one ``by``, however many they are.
+    """
+    return stash(rows.repartitionByRange(*by, order).withColumn(block, F.spark_partition_id()), "blocks")
+
+
+def beside(rows: DataFrame, summaries: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
+    """``rows`` with the columns ``keep`` of the summary of their keys, where null is a key of its own."""
+    names = unused([*rows.columns, *keep], *(f"of_{k}" for k in keys))
+    side = summaries.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), *keep)
+    return rows.join(side, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])).drop(*names)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leakwright.functions.naming import unused
+from leakwright.functions.ordering import beside, in_blocks
+from leakwright.sources.shared_tables import stash
+
 
 def epoch_loss(batches: DataFrame, keys: list[str], loss: str, size: str) -> DataFrame:
     """The mean loss of each key, weighted by batch size."""
@@ -16,15 +22,33 @@ def early_stop_scan(history: DataFrame, run: list[str], epoch: str, value: str,
 
     The patience counter runs on across stages.  ``ran`` is false for epochs after the
     first at which the counter reached ``patience``.
+
+    A segmented prefix scan: histories are dealt out in ranges of run and epoch; each
+    range is scanned by itself, starting from what the ranges before it in the run
+    sum up to, first their greatest value and length, then their last improvement, then
+    the first stop.  A run of any length is spread over as many tasks as it has ranges.
+    A null value improves nothing but counts as an epoch that does, as the first one does.
     """
-    order = Window.partitionBy(*run).orderBy(epoch)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = history.withColumn("improved", F.coalesce(F.col(value) > F.max(value).over(before), F.lit(True)))
-    rows = rows.withColumn("best_so_far", F.max(value).over(upto)).withColumn("__n__", F.row_number().over(order))
-    rows = rows.withColumn("epochs_since_best", (F.col("__n__") - F.max(F.when(F.col("improved"), F.col("__n__"))).over(upto)).cast("long"))
-    stopped = F.coalesce(F.max((F.col("epochs_since_best") >= patience).cast("int")).over(before), F.lit(0)) == 1
-    return rows.withColumn("ran", ~stopped).drop("__n__")
+    block, n, first, ever, last, upto, stop = unused([*history.columns, "improved", "best_so_far", "epochs_since_best", "ran"], "block", "n", "first", "ever", "last", "upto", "stop")
+    keys = [*run, block]
+    rows = in_blocks(history, run, epoch, block)
+    earlier = Window.partitionBy(*run).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys).agg(F.max(value).alias(upto), F.count("*").alias(n))
+    starts = sums.select(*keys, F.max(upto).over(earlier).alias(ever), F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(first))
+    order = Window.partitionBy(*keys).orderBy(epoch)
+    before, now = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    scanned = beside(rows, starts, keys, [ever, first])
+    known = F.greatest(F.col(ever), F.max(value).over(before))
+    scanned = scanned.withColumn("improved", F.coalesce(F.col(value) > known, F.lit(True))).withColumn("best_so_far", F.greatest(F.col(ever), F.max(value).over(now)))
+    scanned = scanned.withColumn(n, F.col(first) + F.row_number().over(order))
+    scanned = stash(scanned.withColumn(last, F.max(F.when(F.col("improved"), F.col(n))).over(now)).drop(ever, first), "scanned")
+    ends = scanned.groupBy(*keys).agg(F.max(last).alias(upto))
+    ends = stash(ends.select(*keys, F.max(upto).over(earlier).alias(ever)), "ends")
+    since = (F.col(n) - F.coalesce(F.col(last), F.col(ever))).cast("long")
+    stops = beside(scanned, ends, keys, [ever]).where(since >= patience).groupBy(*run).agg(F.min(n).alias(stop))
+    full = ends.join(stops.select(*(F.col(r).alias(f"{stop}{i}") for i, r in enumerate(run)), stop), reduce(Column.__and__, [F.col(r).eqNullSafe(F.col(f"{stop}{i}")) for i, r in enumerate(run)], F.lit(True)), "left")
+    found = beside(scanned, full, keys, [ever, stop]).withColumn("epochs_since_best", since).withColumn("ran", F.coalesce(F.col(n) <= F.col(stop), F.lit(True)))
+    return found.select(*history.columns, "improved", "best_so_far", "epochs_since_best", "ran")
 
 
 def best_epoch(history: DataFrame, run: list[str], epoch: str, value: str, patience: int) -> DataFrame:

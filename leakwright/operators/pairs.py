@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leakwright.sources.shared_tables import stash
+
 
 def hamming(a: Column, b: Column) -> Column:
     """Differing bits of two arrays of 64-bit words."""
@@ -19,44 +21,67 @@ def _known(prints: DataFrame, id_col: str, words_col: str) -> DataFrame:
     return prints.where(F.col(id_col).isNotNull() & F.col(words_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(words_col).alias("words"))
 
 
-def _close_classes(classes: DataFrame, words: int, max_distance: int) -> DataFrame:
-    """``(wa, wb, hamming)`` of distinct prints at most ``max_distance`` bits apart, wa < wb."""
-    bits = 64 * words
-    bands = max_distance + 1
-    edges = [bits * b // bands for b in range(bands + 1)]
+#: Distinct prints from which on bands are wider and one of their bits is flipped.
+MANY_PRINTS = 1 << 24
 
-    def band(first: int, last: int) -> Column:
-        """Bits first..last of the words, as text."""
-        parts = []
-        for w in range(first // 64, (last - 1) // 64 + 1):
-            low, high = max(first - 64 * w, 0), min(last - 64 * w, 64)
-            mask = (1 << (high - low)) - 1
-            parts.append(F.shiftrightunsigned(F.element_at("words", w + 1), low).bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask)).cast("string"))
-        return F.concat_ws("_", *parts)
 
-    banded = classes.select("words", F.posexplode(F.array(*(band(a, b) for a, b in zip(edges, edges[1:])))).alias("band", "value"))
-    one, two = banded.select("band", "value", F.col("words").alias("wa")), banded.select("band", "value", F.col("words").alias("wb"))
-    return one.join(two, ["band", "value"]).where("wa < wb").select("wa", "wb").distinct().withColumn("hamming", hamming(F.col("wa"), F.col("wb"))).where(F.col("hamming") <= max_distance)
+def _bits(words: Column, first: int, last: int) -> Column:
+    """Bits first..last, at most 63 of them, of an array of 64-bit words as a number."""
+    out, at = None, first
+    while at < last:
+        w, low = divmod(at, 64)
+        n = min(last - at, 64 - low)
+        part = F.shiftrightunsigned(F.element_at(words, w + 1), low).bitwiseAND(F.lit((1 << n) - 1))
+        out = part if out is None else out.bitwiseOR(F.shiftleft(part, at - first))
+        at += n
+    return out
 
 
-def hamming_pairs(prints: DataFrame, id_col: str, words_col: str, words: int = 4, max_distance: int = 12) -> DataFrame:
+def _close_classes(classes: DataFrame, words: int, max_distance: int, flips: int | None = None) -> DataFrame:
+    """``(wa, wb, hamming)`` of distinct prints at most ``max_distance`` bits apart, wa < wb.
+
+    With ``flips`` 0 bits are dealt to max_distance + 1 bands, one of which is equal in
+    two such prints.  With 1 there are half as many, twice as wide: one of them differs in
+    one bit at most, so one side is laid out as it is and the other also with each bit
+    flipped.  Wide bands meet by chance much less often, which pays from
+    ``MANY_PRINTS`` on; the pairs are the same.  A pair is kept in the first band it meets in.
+    """
+    if flips is None:
+        flips = int(classes.count() >= MANY_PRINTS)
+    bits = 64 * words
+    bands = max(max_distance // (flips + 1) + 1, -(-bits // 63))
+    edges = [bits * b // bands for b in range(bands + 1)]
+    of = lambda side: [_bits(F.col(side), a, b) for a, b in zip(edges, edges[1:])]
+    flipped = lambda value, n: F.transform(F.sequence(F.lit(-1), F.lit(n - 1)), lambda k: F.when(k < 0, value).otherwise(value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
+    one = classes.select(F.col("words").alias("wa")).select("wa", F.posexplode(F.array(*of("wa"))).alias("band", "value"))
+    two = classes.select(F.col("words").alias("wb"))
+    if flips:
+        wide = max(b - a for a, b in zip(edges, edges[1:]))  # one bit more of a narrower band flips to what no band holds
+        two = two.select("wb", F.posexplode(F.array(*of("wb"))).alias("band", "value")).select("wb", "band", F.explode(flipped(F.col("value"), wide)).alias("value"))
+    else:
+        two = two.select("wb", F.posexplode(F.array(*of("wb"))).alias("band", "value"))
+    met = one.join(two, ["band", "value"]).where("wa < wb").withColumn("hamming", hamming(F.col("wa"), F.col("wb"))).where(F.col("hamming") <= max_distance)
+    first = F.coalesce(*(F.when(F.bit_count(x.bitwiseXOR(y)) <= flips, F.lit(k)) for k, (x, y) in enumerate(zip(of("wa"), of("wb")))))
+    return met.where(F.col("band") == first).select("wa", "wb", "hamming")
+
+
+def hamming_pairs(prints: DataFrame, id_col: str, words_col: str, words: int = 4, max_distance: int = 12, flips: int | None = None) -> DataFrame:
     """``(id_a, id_b, hamming)`` of all pairs at most ``max_distance`` bits apart, id_a < id_b.
 
-    Lossless banding: bits are dealt to max_distance + 1 bands, so of two such prints
-    one band at least is equal.  Pairs meet by band, in an equi-join.  Equal prints are
-    one class first, so copies do not meet in every band: classes are joined, and
+    Lossless banding, as ``_close_classes`` says: pairs meet by band, in an equi-join.
+    Equal prints are one class first, so copies do not meet in every band: classes are joined, and
     the members of two classes, or of one, are paired last.
     """
     known = _known(prints, id_col, words_col)
     classes = known.select("words").distinct()
-    close = _close_classes(classes, words, max_distance)
+    close = _close_classes(classes, words, max_distance, flips)
     same = classes.select(F.col("words").alias("wa"), F.col("words").alias("wb"), F.lit(0).alias("hamming"))
     left, right = known.select(F.col("id").alias("x"), F.col("words").alias("wa")), known.select(F.col("id").alias("y"), F.col("words").alias("wb"))
     met = close.unionByName(same).join(left, "wa").join(right, "wb").where("wa <> wb OR x < y")
     return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), F.col("hamming").cast("long").alias("hamming"))
 
 
-def hamming_classes(prints: DataFrame, id_col: str, words_col: str, words: int = 4, max_distance: int = 12) -> DataFrame:
+def hamming_classes(prints: DataFrame, id_col: str, words_col: str, words: int = 4, max_distance: int = 12, flips: int | None = None) -> DataFrame:
     """The pairs of ``hamming_pairs`` by classes of equal prints, each named by its least id: ``(id_a, id_b, hamming)``.
 
     Rows with hamming 0 are membership: class id_a holds item id_b.  The others are two
@@ -64,8 +89,8 @@ def hamming_classes(prints: DataFrame, id_col: str, words_col: str, words: int =
     the rows do not grow with the square of the copies.
     """
     known = _known(prints, id_col, words_col)
-    classes = known.groupBy("words").agg(F.min("id").alias("id"))
-    close = _close_classes(classes.select("words"), words, max_distance)
+    classes = stash(known.groupBy("words").agg(F.min("id").alias("id")), "prints")
+    close = _close_classes(classes.select("words"), words, max_distance, flips)
     of = lambda side, name: classes.select(F.col("words").alias(side), F.col("id").alias(name))
     met = close.join(of("wa", "x"), "wa").join(of("wb", "y"), "wb").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), F.col("hamming").cast("long").alias("hamming"))
     members = known.join(of("words", "id_a"), "words").where("id > id_a").select("id_a", F.col("id").alias("id_b"), F.lit(0).cast("long").alias("hamming"))
@@ -117,10 +142,13 @@ def cosine_pairs(vectors: DataFrame, id_col: str, vec_col: str, threshold: float
     return pairs.groupBy("id_a", "id_b").agg(F.round(F.max("sim"), 5).alias("cosine"))
 
 
-def threshold_sweep(vectors: DataFrame, id_col: str, vec_col: str, groups: DataFrame, group: str, thresholds: list[float], k: int = 5) -> DataFrame:
-    """For each threshold its pairs, how many are declared (of one group) and not, and the declared rate."""
+def threshold_sweep(vectors: DataFrame, id_col: str, vec_col: str, groups: DataFrame, group: str, thresholds: list[float], k: int = 5, near: DataFrame | None = None) -> DataFrame:
+    """For each threshold its pairs, how many are declared (of one group) and not, and the declared rate.
+
+    ``near`` is the neighbours ``(src, dst, sim)`` if they are known, as from an index.
+    """
     spark = vectors.sparkSession
-    near = cosine_neighbours(vectors, id_col, vec_col, k).where(F.col("sim") >= min(thresholds))
+    near = (cosine_neighbours(vectors, id_col, vec_col, k) if near is None else near).where(F.col("sim") >= min(thresholds))
     pairs = near.select(F.least("src", "dst").alias("id_a"), F.greatest("src", "dst").alias("id_b"), "sim").groupBy("id_a", "id_b").agg(F.max("sim").alias("sim"))
     of = lambda side: groups.select(F.col(id_col).alias(f"id_{side}"), F.col(group).alias(f"g_{side}"))
     flagged = pairs.join(of("a"), "id_a", "left").join(of("b"), "id_b", "left").withColumn("declared", F.coalesce(F.col("g_a") == F.col("g_b"), F.lit(False)))

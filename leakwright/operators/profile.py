@@ -39,7 +39,8 @@ def expected_contamination(meta: DataFrame, group: str, id_col: str, test_size:
 
 
 def group_size_histogram(meta: DataFrame, group: str, id_col: str) -> DataFrame:
-    return group_sizes(meta, group, id_col).groupBy("size").agg(F.count("*").alias("n_groups"))
+    """``(size, n_groups)``, smallest size first."""
+    return group_sizes(meta, group, id_col).groupBy("size").agg(F.count("*").alias("n_groups")).orderBy("size")
 
 
 def missing_from(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

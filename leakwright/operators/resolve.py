@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakwright.operators.graph import connected_components
+from leakwright.sources.shared_tables import stash
 
 
 def annotate_pairs(pairs: DataFrame, meta: DataFrame, id_col: str, group: str, label: str) -> DataFrame:
@@ -44,8 +45,10 @@ def cross_group_links(rows: DataFrame, key: str, id_col: str, group: str) -> Dat
     """
     known = rows.where(F.col(id_col).isNotNull()).select(F.col(key).alias("k"), F.col(id_col).alias("id"), F.col(group).alias("g"))
     firsts = known.groupBy("k").agg(F.min(F.struct("id", "g")).alias("first")).select(F.col("k").alias("fk"), F.col("first.id").alias("first"), F.col("first.g").alias("fg")).where("fg IS NOT NULL")
+    firsts = stash(firsts, "firsts")
     least = known.groupBy("k", "g").agg(F.min("id").alias("least"))
     others = least.join(firsts, F.col("k").eqNullSafe(F.col("fk"))).where(~F.col("g").eqNullSafe(F.col("fg"))).groupBy("fk", "first", "fg").agg(F.min("least").alias("other"))
+    others = stash(others, "others")  # so that a hot key's rows can be split in the join
     met = known.join(others, F.col("k").eqNullSafe(F.col("fk")) & (F.col("g") == F.col("fg"))).where("id <> first")
     return met.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakwright.functions.ordering import order_key, running_before
+from leakwright.functions.naming import unused
+from leakwright.functions.ordering import in_blocks, order_key, running_before
+from leakwright.sources.shared_tables import small_side
 
 
 def contaminate_sweep(test: DataFrame, donors: DataFrame, id_col: str, label: str, rates: list[float], draws: int = 1, seed: int = 42) -> DataFrame:
@@ -23,7 +25,7 @@ def contaminate_sweep(test: DataFrame, donors: DataFrame, id_col: str, label: st
     swap = F.least(F.bround(F.col("n") * F.greatest("rate", F.lit(0.0)), 0).cast("long"), F.coalesce("m", F.lit(0)))
     quotas = n_test.join(n_donor, F.col("__of__").eqNullSafe(F.col("__from__")), "left").join(F.broadcast(grid)).select("rate", "draw", "__of__", "n", swap.alias("swap"))
     every = Window.partitionBy("rate", "draw")
-    quotas = F.broadcast(quotas.withColumn("achieved", F.sum("swap").over(every) / F.sum("n").over(every)))  # a row for each label, rate and draw
+    quotas = small_side(quotas.withColumn("achieved", F.sum("swap").over(every) / F.sum("n").over(every)), "quotas")
     ids = F.broadcast(grid.select("draw").distinct())
 
     def ranked(rows: DataFrame) -> DataFrame:
@@ -60,8 +62,31 @@ def weighted_draws(rows: DataFrame, id_col: str, label: str, weights: DataFrame,
     mass = rows.groupBy(label).agg(F.count("*").alias("n")).join(weights, label).withColumn("mass", F.col("n") * F.col("weight"))
     order, every = Window.orderBy(label), Window.partitionBy()
     high = F.sum("mass").over(order) / F.sum("mass").over(every)
-    shares = mass.withColumn("high", high).withColumn("low", F.coalesce(F.lag(high).over(order), F.lit(0.0)))
+    shares = small_side(mass.withColumn("high", high).withColumn("low", F.coalesce(F.lag(high).over(order), F.lit(0.0))), "shares")
     uniform = lambda salt: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), F.col("id").cast("string"))), 1, 12), 16, 10).cast("double") / float(16**12)
     draws = rows.sparkSession.range(n).select(F.col("id").alias("draw"), uniform("class").alias("u"), uniform("row").alias("v"))
-    picked = draws.join(F.broadcast(shares), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("draw", F.col(label).alias("__of__"), F.floor(F.col("v") * F.col("n")).alias("__rank__"))
+    picked = draws.join(shares, (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("draw", F.col(label).alias("__of__"), F.floor(F.col("v") * F.col("n")).alias("__rank__"))
     return picked.join(ranked, ["__of__", "__rank__"]).select("draw", "id", F.col("__of__").alias(label))
+
+
+def weighted_sample(rows: DataFrame, id_col: str, weight: Column | str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows without replacement, each drawn in proportion to its weight among those not drawn yet.
+
+    Efraimidis and Spirakis: of -ln(u) / weight, u from the md5 of seed and id, the n least
+    are the sample.  Rows are dealt out by ranges of that number; whole ranges are taken up
+    to the one in which the n-th lies, and there the rows are ranked.  So neither the driver
+    nor one task holds the sample, and what was drawn for parts of a table can be drawn
+    from again.  Rows without a weight above 0 are never drawn; adds nothing to the columns.
+    """
+    weight = F.col(weight) if isinstance(weight, str) else weight
+    key, part = unused(rows.columns, "key", "part")
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))), 1, 12), 16, 10).cast("double") + 1) / float(16**12 + 1)
+    dealt = in_blocks(rows.where(weight > 0).withColumn(key, -F.log(u) / weight), [], key, part)
+    sizes = dealt.groupBy(part).agg(F.count("*").alias("size"))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    rest = sizes.select(F.col(part).alias("of"), (n - F.coalesce(F.sum("size").over(earlier), F.lit(0))).alias("rest"), "size").where("rest > 0")
+    met = dealt.join(F.broadcast(rest), F.col(part) == F.col("of"))
+    whole = met.where("size <= rest").select(*rows.columns)
+    place = F.row_number().over(Window.partitionBy(part).orderBy(key, id_col))
+    edge = met.where("size > rest").withColumn("of", place).where(F.col("of") <= F.col("rest")).select(*rows.columns)
+    return whole.unionByName(edge)

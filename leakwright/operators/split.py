@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakwright.functions.ordering import largest_remainder, order_key, running_before
+from leakwright.sources.shared_tables import small_side, stash
 
 PARTITIONS = ("train", "val", "test")
 
@@ -22,7 +23,7 @@ def naive_split(meta: DataFrame, id_col: str, label: str, test_size: float = 0.1
     held = largest_remainder(F.col("n") * (test_size + val_size), F.round(total * (test_size + val_size)), ["__all__"], "name")
     counts = counts.withColumn("held", held)
     test = largest_remainder(F.col("held") * (test_size / (test_size + val_size)), F.round(F.sum("held").over(every) * (test_size / (test_size + val_size))), ["__all__"], "name")
-    quotas = F.broadcast(counts.withColumn("test", test).select("__label__", "held", "test"))  # a row a class
+    quotas = small_side(counts.withColumn("test", test).select("__label__", "held", "test"), "quotas")
     ranked = running_before(meta.withColumn("__key__", order_key(seed, id_col)), [label], "__key__", id_col)
     split = F.when(F.col("before") < F.col("test"), "test").when(F.col("before") < F.col("held"), "val").otherwise("train")
     return ranked.join(quotas, F.col(label).eqNullSafe(F.col("__label__"))).select(*meta.columns, split.alias("split"))
@@ -47,7 +48,7 @@ def grouped_split(meta: DataFrame, id_col: str, group: str, label: str, test_siz
     groups = per.groupBy("__group__").agg(F.min_by("__label__", F.struct(-F.col("n"), F.col("__label__").isNull(), F.col("__label__"))).alias("__label__"), F.sum("n").alias("n"))
     groups = groups.withColumn("__key__", order_key(seed, "__group__"))
     placed = running_before(groups, ["__label__"], "__key__", "__group__", F.col("n"))
-    totals = F.broadcast(groups.groupBy(F.col("__label__").alias("__of__")).agg(F.sum("n").alias("total")))  # a row a class
+    totals = small_side(groups.groupBy(F.col("__label__").alias("__of__")).agg(F.sum("n").alias("total")), "totals")
     share = (F.col("before") + F.col("n") / 2) / F.col("total")
     split = F.when(share <= test_size, "test").when(share <= held, "val").otherwise("train")
     dealt = placed.join(totals, F.col("__label__").eqNullSafe(F.col("__of__"))).select("__group__", split.alias("split"))
@@ -57,6 +58,7 @@ def grouped_split(meta: DataFrame, id_col: str, group: str, label: str, test_siz
 def contamination(frame: DataFrame, group: str) -> DataFrame:
     """One row: test rows, those whose group is also in train or val, and their share."""
     held_in = frame.where(F.col("split").isin("train", "val") & F.col(group).isNotNull()).select(F.col(group).alias("__in__")).distinct().withColumn("__hit__", F.lit(1))
+    held_in = stash(held_in, "held-in")  # a hot group's rows can be split in the join with a written table
     test = frame.where("split = 'test'").join(held_in, F.col(group) == F.col("__in__"), "left")
     one = test.agg(F.count("*").alias("test_rows"), F.count("__hit__").alias("contaminated_rows"))
     return one.withColumn("share", F.when(F.col("test_rows") > 0, F.round(F.col("contaminated_rows") / F.greatest("test_rows", F.lit(1)), 4)).otherwise(0.0))
@@ -64,8 +66,8 @@ def contamination(frame: DataFrame, group: str) -> DataFrame:
 
 def split_summary(frame: DataFrame, label: str) -> DataFrame:
     """``(split, label, rows, split_rows, share)``, with a row for every split and label that occur at all."""
-    counts = frame.groupBy("split", label).agg(F.count("*").alias("rows"))
-    grid = frame.select("split").distinct().join(F.broadcast(frame.select(label).distinct()))
+    counts = stash(frame.groupBy("split", label).agg(F.count("*").alias("rows")), "counts")
+    grid = counts.select("split").distinct().join(small_side(counts.select(label).distinct(), "labels"))
     full = grid.join(counts, ["split", label], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     whole = F.sum("rows").over(Window.partitionBy("split"))
     return full.select("split", label, "rows", whole.alias("split_rows"), F.round(F.col("rows") / whole, 3).alias("share"))

@@ -13,8 +13,8 @@ from leakwright.sources.shared_tables import stash
 
 
 def curve_rollup(points: DataFrame, rate: str, value: str) -> DataFrame:
-    """``(rate, mean, std, count)``; the sample deviation of one value is null."""
-    return points.groupBy(rate).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("count"))
+    """``(rate, mean, std, count)`` by ascending rate; the sample deviation of one value is null."""
+    return points.groupBy(rate).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("count")).orderBy(rate)
 
 
 def fit_slope(points: DataFrame, rate: str, value: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakwright.functions.ordering import hash_number
-from leakwright.operators import calibrate, history, metrics, pairs, profile, resolve, sampling, split, stats
+from leakwright.operators import calibrate, fingerprint, folds, history, metrics, pairs, profile, resolve, sampling, split, stats, vector_index
 from leakwright.session import table
 from leakwright.sources import files
 from leakwright.sources.shared_tables import new_path, stash
@@ -110,9 +110,9 @@ def integrity_anti_joins(spark, d):
 # ------------------------------------------------------------------ pairs
 
 
-def exact_pairs(spark, d):
+def exact_pairs(spark, d, rows=None):
     """Each copy of a text with the first document that has it: a chain of links, not all pairs."""
-    rows = meta(spark, d).select("doc_id", "grp")
+    rows = (meta(spark, d) if rows is None else rows).select("doc_id", "grp")
     firsts = stash(rows.groupBy("grp").agg(F.min("doc_id").alias("id_a"), F.max("doc_id").alias("last")).where("id_a < last").select("grp", "id_a"), "firsts")
     return rows.join(firsts, "grp").where("doc_id > id_a").select("id_a", F.col("doc_id").alias("id_b"), F.lit("exact").alias("method"))
 
@@ -135,16 +135,18 @@ noted AS (SELECT f.*, a.source AS group_a, a.lang AS label_a, b.source AS group_
 _ALL_FOUND = _FOUND.replace(_EXACT, _ALL_EXACT)
 
 
-def noted(spark, d) -> DataFrame:
-    found = exact_pairs(spark, d).unionByName(cosine_found(spark, d), allowMissingColumns=True)
-    return resolve.annotate_pairs(found, meta(spark, d), "doc_id", "source", "lang")
+def noted(spark, d, rows=None) -> DataFrame:
+    """Annotated pairs; the texts are read and digested once."""
+    rows = stash(meta(spark, d), "meta") if rows is None else rows
+    found = exact_pairs(spark, d, rows).unionByName(cosine_found(spark, d), allowMissingColumns=True)
+    return resolve.annotate_pairs(found, rows, "doc_id", "source", "lang")
 
 
-def noted_across(spark, d) -> DataFrame:
+def noted_across(spark, d, rows=None) -> DataFrame:
     """``noted``, with the links of copies that share the first one's source to a copy in another source."""
-    rows = meta(spark, d)
+    rows = stash(meta(spark, d), "meta") if rows is None else rows
     more = resolve.cross_group_links(rows, "grp", "doc_id", "source").withColumn("method", F.lit("exact"))
-    return noted(spark, d).unionByName(resolve.annotate_pairs(more, rows, "doc_id", "source", "lang"), allowMissingColumns=True)
+    return noted(spark, d, rows).unionByName(resolve.annotate_pairs(more, rows, "doc_id", "source", "lang"), allowMissingColumns=True)
 
 
 @query(f"WITH {_META}, {_EXACT} SELECT * FROM exact")
@@ -165,6 +167,29 @@ def cosine_threshold_sweep(spark, d):
     return pairs.threshold_sweep(vectors, "vec_id", "embedding", vectors, "label", COSINE_LEVELS)
 
 
+_TWINS = """base AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+vecs AS (SELECT id, v FROM base UNION ALL SELECT id + 2000000000, v FROM base
+  UNION ALL SELECT id + 1000000000, [v[j] + 0.04::DOUBLE * (2 * (('0x' || substr(md5(concat_ws(':', id, j)), 1, 8))::BIGINT)::DOUBLE / 4294967295.0::DOUBLE - 1) for j in range(1, len(v) + 1)] FROM base)"""
+
+
+def with_twins(spark, d) -> DataFrame:
+    """Every vector, its copy, and a twin with a little noise from hashes."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    noise = lambda x, j: x + F.lit(0.04) * (2 * hash_number(F.concat_ws(":", "id", (j + 1).cast("string"))).cast("double") / 4294967295.0 - 1)
+    twins = rows.withColumn("v", F.transform("v", noise)).withColumn("id", F.col("id") + 1_000_000_000)
+    return rows.unionByName(rows.select((F.col("id") + 2_000_000_000).alias("id"), "v")).unionByName(twins)
+
+
+@query(f"""WITH {_TWINS}, cls AS (SELECT v, min(id) AS rep FROM vecs GROUP BY v),
+near AS (SELECT a.rep AS src, b.rep AS dst, list_cosine_similarity(a.v, b.v) AS sim FROM cls a JOIN cls b ON a.rep <> b.rep WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+  QUALIFY row_number() OVER (PARTITION BY a.rep ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.rep) <= 5)
+SELECT least(src, dst) AS id_a, greatest(src, dst) AS id_b, round(max(sim), 5) AS cosine, false AS copy FROM near GROUP BY ALL
+UNION ALL SELECT rep, id, 1.0::DOUBLE, true FROM vecs JOIN cls USING (v) WHERE id > rep""")
+def cosine_index_pairs(spark, d):
+    """Near-equal vectors among all vectors, their copies and noisy twins, by a forest of random projections."""
+    return vector_index.indexed_pairs(with_twins(spark, d), "id", "v", threshold=0.9, k=5, recall=0.9999, leaf=256)
+
+
 @query("""WITH prints AS (SELECT doc_id, ('0x' || substr(md5(text), 1, 8))::BIGINT & ('0x' || substr(md5(lang), 1, 8))::BIGINT & ('0x' || substr(md5(source), 1, 8))::BIGINT AS w FROM documents)
 SELECT a.doc_id AS id_a, b.doc_id AS id_b, bit_count(xor(a.w, b.w))::BIGINT AS hamming FROM prints a JOIN prints b ON a.doc_id < b.doc_id WHERE bit_count(xor(a.w, b.w)) <= 1""")
 def hamming_pairs(spark, d):
@@ -181,7 +206,39 @@ def block_prints(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array(*map(word, range(4))).alias("words"))
 
 
-@query()
+def _prints_sql(prints: str) -> str:
+    """Classes of equal prints, and pairs of classes at most 12 bits apart; ``prints`` has doc_id and a0 to a7, 32 bits each."""
+    halves = [f"a{k}" for k in range(8)]
+    apart = " + ".join(f"bit_count(xor(x.{a}, y.{a}))::BIGINT" for a in halves)
+    return f"""{prints}, cls AS (SELECT {', '.join(halves)}, min(doc_id) AS rep FROM prints GROUP BY ALL), far AS (SELECT x.rep AS p, y.rep AS q, {apart} AS hamming FROM cls x JOIN cls y ON x.rep < y.rep)
+SELECT p AS id_a, q AS id_b, hamming FROM far WHERE hamming <= 12
+UNION ALL SELECT rep, doc_id, 0::BIGINT FROM prints JOIN cls USING ({', '.join(halves)}) WHERE doc_id > rep"""
+
+
+_BLOCK = "substr(md5(substr(text, (ceil(length(text) / 16.0::DOUBLE)::BIGINT * {k} + 1)::BIGINT, ceil(length(text) / 16.0::DOUBLE)::BIGINT)), 1, 4)"
+_BLOCK_PRINTS = "WITH prints AS (SELECT doc_id, " + ", ".join(f"('0x' || {_BLOCK.format(k=2 * k)} || {_BLOCK.format(k=2 * k + 1)})::BIGINT AS a{k}" for k in range(8)) + " FROM documents)"
+_VOTES = ", ".join(f"coalesce(sum((h{k} >> {s}) & 1), 0) AS b{k}_{s}" for k in range(8) for s in range(32))
+_SIMHASH = f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS word FROM documents),
+h AS (SELECT doc_id, {', '.join(f"('0x' || substr(md5({'word' if k < 4 else "'1:' || word"}), {8 * (k % 4) + 1}, 8))::BIGINT AS h{k}" for k in range(8))} FROM w),
+v AS (SELECT documents.doc_id, count(h0) AS n, {_VOTES} FROM documents LEFT JOIN h ON h.doc_id = documents.doc_id GROUP BY documents.doc_id),
+prints AS (SELECT doc_id, {', '.join('(' + ' + '.join(f'CASE WHEN 2 * b{k}_{s} > n THEN {1 << s} ELSE 0 END' for s in range(32)) + f')::BIGINT AS a{k}' for k in range(8))} FROM v)"""
+
+
+@query(f"{_SIMHASH} SELECT doc_id, concat({', '.join(f"lpad(lower(hex(a{k})), 8, '0')" for k in range(8))}) AS print FROM prints")
+def simhash_prints(spark, d):
+    """256 bits of every document by the votes of its words."""
+    prints = fingerprint.simhash(table(spark, d, "documents"), "doc_id", "text")
+    return prints.select(F.col("id").alias("doc_id"), fingerprint.hex_print(F.col("words")).alias("print"))
+
+
+@query(_prints_sql(_SIMHASH))
+def simhash_pairs(spark, d):
+    """Documents whose similarity-keeping prints are at most 12 of 256 bits apart, as pairs of classes and members; by wide bands and flipped bits."""
+    prints = stash(fingerprint.simhash(table(spark, d, "documents"), "doc_id", "text"), "prints")
+    return pairs.hamming_classes(prints, "id", "words", words=4, max_distance=12, flips=1)
+
+
+@query(_prints_sql(_BLOCK_PRINTS))
 def hamming_pairs_256(spark, d):
     """Documents at most 12 of 256 bits apart, as pairs of classes of equal prints and members of the classes."""
     return pairs.hamming_classes(block_prints(spark, d), "doc_id", "words", words=4, max_distance=12)
@@ -201,9 +258,10 @@ def pair_method_crosstab(spark, d):
 (SELECT count(DISTINCT i) FROM (SELECT unnest([id_a, id_b]) AS i FROM noted WHERE NOT same_group)) AS items_in_undeclared FROM noted""")
 def audit_summary(spark, d):
     """All pairs of copies, counted from sizes, and the pairs of vectors."""
-    links = stash(noted_across(spark, d), "links")
+    rows = stash(meta(spark, d), "meta")
+    links = stash(noted_across(spark, d, rows), "links")
     found = resolve.audit_totals(links.where("method = 'embedding'")).drop("items_in_undeclared")
-    counts = found.unionByName(resolve.key_pair_counts(meta(spark, d), "grp", "source", "lang"))
+    counts = found.unionByName(resolve.key_pair_counts(rows, "grp", "source", "lang"))
     items = resolve.audit_totals(links).select("items_in_undeclared")
     return counts.agg(*(F.sum(c).alias(c) for c in counts.columns)).join(F.broadcast(items))
 
@@ -286,6 +344,22 @@ def grouped_split_mixed(spark, d):
     return split.grouped_split(rows, "doc_id", "grp", "lang")
 
 
+@query("""WITH RECURSIVE m AS (SELECT doc_id, doc_id // 7 AS grp, lang FROM documents), u AS (SELECT 'g:' || grp AS unit, 'l:' || lang AS label, count(*) AS n FROM m GROUP BY ALL),
+t AS (SELECT label, 1000000000 // sum(n)::BIGINT AS w FROM u GROUP BY label), z AS (SELECT count(*) AS k, list(w ORDER BY label) AS w FROM t),
+g AS (SELECT unit, string_agg(label || '=' || n, ',' ORDER BY label) AS kind FROM u GROUP BY unit),
+r AS (SELECT unit, row_number() OVER (PARTITION BY kind ORDER BY md5('42:' || unit), unit) - 1 AS r, count(*) OVER (PARTITION BY kind) AS m FROM g),
+x AS (SELECT r.unit, list(coalesce(u.n, 0) ORDER BY t.label) AS x FROM r JOIN t ON true LEFT JOIN u ON u.unit = r.unit AND u.label = t.label WHERE r.r >= m - m % 5 GROUP BY r.unit),
+o AS (SELECT unit, x, row_number() OVER (ORDER BY k * list_sum([i * i for i in x]) - list_sum(x) * list_sum(x) DESC, md5('42:' || unit)) AS i FROM x, z),
+walk AS (SELECT 0::BIGINT AS i, [0::BIGINT for p in range(5 * k)] AS held, [0::BIGINT for p in range(5)] AS rows, NULL::VARCHAR AS unit, NULL::BIGINT AS f FROM z UNION ALL
+  SELECT i, [held[p] + CASE WHEN (p - 1) // k = f THEN x[(p - 1) % k + 1] ELSE 0 END for p in range(1, 5 * k + 1)], [rows[p] + CASE WHEN p - 1 = f THEN list_sum(x)::BIGINT ELSE 0 END for p in range(1, 6)], unit, f
+  FROM (SELECT o.i, held, rows, o.unit, o.x, k, list_sort([{'c': list_sum([w[l] * o.x[l] * held[q * k + l] for l in range(1, k + 1)]), 'r': rows[q + 1], 'f': q} for q in range(5)])[1].f AS f FROM walk JOIN o ON o.i = walk.i + 1, z))
+SELECT doc_id, grp, lang, coalesce(walk.f, r.r % 5)::INT AS fold FROM m JOIN r ON r.unit = 'g:' || m.grp LEFT JOIN walk ON walk.unit = r.unit""")
+def stratified_group_folds(spark, d):
+    """Five folds of whole groups of mixed labels, each label spread evenly."""
+    rows = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 7).alias("grp"), "lang")
+    return folds.stratified_group_folds(rows, "doc_id", "grp", "lang", k=5)
+
+
 @query(_contamination_sql(_SPLIT, "naive"))
 def contamination_naive(spark, d):
     return split.contamination(naive(spark, d), "grp")
@@ -355,12 +429,41 @@ def single_class_recall(spark, d):
     return rounded(metrics.class_recall(predictions(spark, d), "R"), "recall")
 
 
-@query()
+def _log_factorial_sql(k: str) -> str:
+    x = f"({k} + 16.0::DOUBLE)"
+    series = f"({x} + 0.5::DOUBLE) * ln({x}) - {x} + 0.9189385332046727::DOUBLE + 1 / (12 * {x}) - 1 / (360 * pow({x}, 3)) + 1 / (1260 * pow({x}, 5))"
+    return f"({series} - ({' + '.join(f'ln({k} + {i}.0::DOUBLE)' for i in range(1, 17))}))"
+
+
+def _bootstrap_sql(preds: str) -> str:
+    """Multinomial draws over the confusion cells, a binomial number at a time, and intervals of the metrics."""
+    lf = _log_factorial_sql
+    u = lambda half: f"('0x' || substr(md5('42:' || draw || ':' || i || ':' || q), {12 * half + 1}, 12))::BIGINT::DOUBLE / pow(16, 12)"
+    return f"""WITH RECURSIVE {preds}, cells AS (SELECT y_true, y_pred, count(*) AS n FROM preds WHERE y_true IS NOT NULL AND y_pred IS NOT NULL GROUP BY ALL),
+cl AS (SELECT y_true, y_pred, row_number() OVER (ORDER BY y_true, y_pred) - 1 AS i, n::DOUBLE / sum(n) OVER (ORDER BY y_true, y_pred ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS p FROM cells),
+dr AS (SELECT b AS draw, 0::BIGINT AS i, (SELECT sum(n) FROM cells)::BIGINT AS rest, NULL::VARCHAR AS y_true, NULL::VARCHAR AS y_pred, 0::BIGINT AS n FROM range(1000) t(b) UNION ALL
+  SELECT draw, i + 1, rest - x, y_true, y_pred, x FROM (SELECT *, CASE WHEN p > 0.5 THEN rest - y ELSE y END::BIGINT AS x FROM (SELECT *, CASE WHEN r <= 0 THEN 0.0::DOUBLE
+      WHEN n * r < 10 THEN least(n, list_reduce(list_concat([{{'m': exp(n * ln(1 - r)), 's': 0.0::DOUBLE, 'x': 0.0::DOUBLE, 'k': 0.0::DOUBLE}}], [{{'m': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'x': 0.0::DOUBLE, 'k': k::DOUBLE}} for k in range(64)]),
+        lambda z, e: {{'m': z.m * (n - e.k) / (e.k + 1) * r / (1 - r), 's': z.s + z.m, 'x': z.x + CASE WHEN z.s + z.m < tries[1].v0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 'k': e.k}}).x)
+      ELSE coalesce(list_filter(list_transform(tries, lambda t: CASE WHEN (t.edge >= 0.07 AND t.v <= 0.92::DOUBLE - 4.2::DOUBLE / b) OR (t.k >= 0 AND t.k <= n AND ln(t.v * (2.83::DOUBLE + 5.1::DOUBLE / b) * s / (a / (t.edge * t.edge) + b))
+        <= {lf("m")} + {lf("(n - m)")} - {lf("greatest(t.k, 0.0::DOUBLE)")} - {lf("greatest(n - t.k, 0.0::DOUBLE)")} + (t.k - m) * ln(r / (1 - r))) THEN t.k END), lambda k: k IS NOT NULL)[1], m) END AS y
+    FROM (SELECT *, [{{'v0': w.v0, 'v': w.v, 'edge': w.edge, 'k': floor((2 * a / w.edge + b) * (w.v0 - 0.5::DOUBLE) + n * r + 0.5::DOUBLE)}} for w in [{{'v0': {u(0)}, 'v': {u(1)}, 'edge': 0.5::DOUBLE - abs({u(0)} - 0.5::DOUBLE)}} for q in range(32)]] AS tries
+    FROM (SELECT *, -0.0873::DOUBLE + 0.0248::DOUBLE * b + 0.01::DOUBLE * r AS a FROM (SELECT *, 1.15::DOUBLE + 2.53::DOUBLE * s AS b, floor((n + 1) * r) AS m FROM (SELECT *, sqrt(n * r * (1 - r)) AS s
+    FROM (SELECT draw, dr.i, rest, cl.y_true, cl.y_pred, p, rest::DOUBLE AS n, CASE WHEN p > 0.5 THEN 1 - p ELSE p END AS r FROM dr JOIN cl ON cl.i = dr.i)))))))),
+s AS (SELECT draw, y_true AS label, true AS t, y_true = y_pred AS hit, n FROM dr WHERE i > 0 UNION ALL SELECT draw, y_pred, false, y_true = y_pred, n FROM dr WHERE i > 0),
+pl AS (SELECT draw, label, coalesce(sum(n) FILTER (t AND hit), 0)::DOUBLE AS tp, coalesce(sum(n) FILTER (NOT t AND NOT hit), 0)::DOUBLE AS fp, coalesce(sum(n) FILTER (t AND NOT hit), 0)::DOUBLE AS fn FROM s GROUP BY ALL),
+ea AS (SELECT draw, sum(tp) / sum(tp + fn) AS accuracy, avg(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END) AS balanced_accuracy, avg(CASE WHEN tp + fn + fp > 0 THEN 2 * tp / (2 * tp + fp + fn) END) AS macro_f1 FROM pl GROUP BY draw HAVING count(*) FILTER (tp + fn > 0) >= 2),
+lo AS (SELECT unnest(['accuracy', 'balanced_accuracy', 'macro_f1']) AS metric, unnest([accuracy, balanced_accuracy, macro_f1]) AS v FROM ea)
+SELECT metric, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high, count(*) AS iterations FROM lo GROUP BY metric"""
+
+
+@query(f"SELECT metric, round(low, 6) AS low, round(high, 6) AS high, iterations FROM ({_bootstrap_sql(_PREDS)})")
 def bootstrap_ci(spark, d):
-    return metrics.bootstrap_ci(predictions(spark, d), iterations=1000)
+    return rounded(metrics.bootstrap_ci(predictions(spark, d), iterations=1000), "low", "high")
 
 
-@query()
+@query(f"""SELECT a.metric, a.low <= b.high AND b.low <= a.high AS overlap FROM ({_bootstrap_sql(_PREDS.replace('FROM said)', 'FROM said WHERE id % 2 = 0)'))}) a
+JOIN ({_bootstrap_sql(_PREDS.replace('FROM said)', 'FROM said WHERE id % 2 = 1)'))}) b ON a.metric = b.metric""")
 def ci_overlap(spark, d):
     rows = predictions(spark, d)
     return metrics.intervals_overlap(metrics.bootstrap_ci(rows.where("id % 2 = 0")), metrics.bootstrap_ci(rows.where("id % 2 = 1")))
@@ -446,13 +549,24 @@ def total_inflation(spark, d):
     return rounded(stats.inflation(stats.curve_rollup(_curve_points(spark, d), "rate", "score"), "rate"), "baseline", "at_max", "inflation")
 
 
-@query()
+@query(f"""WITH {_WEIGHTS}, ranked AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id), doc_id) - 1 AS r FROM meta),
+mass AS (SELECT lang, count(*) AS n, count(*) * max(weight) AS m FROM meta JOIN weights ON label = lang GROUP BY lang),
+hi AS (SELECT lang, n, sum(m) OVER (ORDER BY lang) / sum(m) OVER () AS high FROM mass), sh AS (SELECT *, coalesce(lag(high) OVER (ORDER BY lang), 0) AS low FROM hi),
+u AS (SELECT i AS draw, ('0x' || substr(md5('42:class:' || i), 1, 12))::BIGINT::DOUBLE / pow(16, 12) AS u, ('0x' || substr(md5('42:row:' || i), 1, 12))::BIGINT::DOUBLE / pow(16, 12) AS v FROM range(5000) t(i))
+SELECT draw, doc_id AS id, ranked.lang FROM u JOIN sh ON u >= low AND u < high JOIN ranked ON ranked.lang = sh.lang AND r = floor(v * n)::BIGINT""")
 def weighted_draws(spark, d):
     rows = meta(spark, d)
     weights = metrics.class_weights(rows, "lang", LANGS).select(F.col("label").alias("lang"), "weight")
     return sampling.weighted_draws(rows, "doc_id", "lang", weights, 5000)
 
 
+@query("""SELECT doc_id, lang FROM documents WHERE n_chars > 0 ORDER BY -ln((('0x' || substr(md5('42:' || doc_id), 1, 12))::BIGINT::DOUBLE + 1) / (pow(16, 12) + 1)) / n_chars, doc_id LIMIT 300""")
+def weighted_sample(spark, d):
+    """300 documents without replacement, drawn in proportion to their length."""
+    rows = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    return sampling.weighted_sample(rows, "doc_id", "n_chars", 300).select("doc_id", "lang")
+
+
 # ------------------------------------------------------------------ replication
 
 _RUNS = "runs AS (SELECT user_id, event_type, avg(value) AS value, min(event_id) AS seq FROM events GROUP BY ALL)"
@@ -486,9 +600,29 @@ def wilcoxon_statistic(spark, d):
     return stats.signed_ranks(gaps(spark, d).select(F.round("gap", 1).alias("gap")))
 
 
-@query()
+def _paired_sql(groups: str, keys: str) -> str:
+    """Moments and both p-values: t by the continued fraction of the incomplete beta function, signed ranks by counting subsets of ranks or the normal tail."""
+    fraction = lambda p, q, z: f"""1 / list_reduce(list_concat([1.0::DOUBLE], [i::DOUBLE for i in range(401, 0, -1)]), lambda acc, i: 1 + CASE WHEN i % 2 = 0 THEN (i / 2) * ({q} - i / 2) * {z} / (({p} + i - 1) * ({p} + i)) ELSE -({p} + (i - 1) / 2) * ({p} + {q} + (i - 1) / 2) * {z} / (({p} + i - 1) * ({p} + i)) END / acc)"""
+    return f"""WITH {_GAPS}, {groups}, mo AS (SELECT backbone, count(gap) AS n, avg(gap) AS mean, stddev_samp(gap) AS std FROM gg GROUP BY backbone),
+k AS (SELECT backbone, gap, rank() OVER (PARTITION BY backbone ORDER BY abs(gap)) + (count(*) OVER (PARTITION BY backbone, abs(gap)) - 1) / 2 AS rk, count(*) OVER (PARTITION BY backbone, abs(gap)) AS t FROM gg WHERE gap <> 0),
+ra AS (SELECT backbone, count(*) AS nr, least(coalesce(sum(rk) FILTER (gap > 0), 0), coalesce(sum(rk) FILTER (gap < 0), 0))::DOUBLE AS w, sum(t * t - 1)::DOUBLE AS ties FROM k GROUP BY backbone),
+st AS (SELECT mo.*, mean / nullif(std / sqrt(n), 0) AS t, coalesce(nr, 0) AS nr, coalesce(w, 0) AS w, coalesce(ties, 0) AS ties FROM mo LEFT JOIN ra ON ra.backbone IS NOT DISTINCT FROM mo.backbone),
+be AS (SELECT *, (n - 1) / (n - 1 + t * t) AS x, (n - 1) / 2.0::DOUBLE AS a, abs(w - nr * (nr + 1) / 4) / sqrt(nr * (nr + 1) * (2 * nr + 1) / 24 - ties / 48) / sqrt(2.0::DOUBLE) AS z FROM st),
+fr AS (SELECT *, exp(lgamma(a + 0.5::DOUBLE) - lgamma(a) - lgamma(0.5::DOUBLE) + a * ln(x) + 0.5::DOUBLE * ln(1 - x)) AS f FROM be),
+p AS (SELECT *, CASE WHEN n > 1 THEN CASE WHEN x < (a + 1) / (a + 2.5::DOUBLE) THEN f * {fraction("a", "0.5::DOUBLE", "x")} / a ELSE 1 - f * {fraction("0.5::DOUBLE", "a", "(1 - x)")} / 0.5::DOUBLE END END AS p_t,
+  CASE WHEN n > 1 AND nr > 0 THEN CASE WHEN nr <= 50 AND ties = 0 THEN least(1.0::DOUBLE, 2 * list_sum(list_reduce(list_concat([[CASE WHEN s = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END for s in range(nr * (nr + 1) // 2 + 1)]], [[r::DOUBLE] for r in range(1, nr + 1)]),
+      lambda ways, r: [ways[s + 1] + CASE WHEN s >= r[1] THEN ways[s - r[1]::BIGINT + 1] ELSE 0.0::DOUBLE END for s in range(len(ways))])[1:w::BIGINT + 1]) / pow(2, nr))
+    WHEN z < 1.5 THEN 1 - 2 / sqrt(pi()) * exp(-z * z) * z * list_reduce(list_concat([1.0::DOUBLE], [i::DOUBLE for i in range(60, 0, -1)]), lambda acc, i: 1 + 2 * z * z / (2 * i + 1) * acc)
+    ELSE exp(-z * z) / sqrt(pi()) / list_reduce(list_concat([z], [i::DOUBLE for i in range(120, 0, -1)]), lambda acc, i: z + i / 2 / acc) END END AS p_wilcoxon FROM fr)
+SELECT {keys} n, round(mean, 6) AS mean, round(std, 6) AS std, round(mean - 1.96 * std / sqrt(n), 6) AS ci_low, round(mean + 1.96 * std / sqrt(n), 6) AS ci_high, round(mean / nullif(std, 0), 6) AS cohens_d, round(t, 6) AS t, w, round(p_t, 6) AS p_t, round(p_wilcoxon, 6) AS p_wilcoxon FROM p"""
+
+
+_TESTED = ("mean", "std", "ci_low", "ci_high", "cohens_d", "t", "p_t", "p_wilcoxon")
+
+
+@query(_paired_sql("gg AS (SELECT NULL::BIGINT AS backbone, gap FROM gaps)", ""))
 def paired_test(spark, d):
-    return stats.paired_test(gaps(spark, d))
+    return rounded(stats.paired_test(gaps(spark, d)), *_TESTED)
 
 
 @query(f"WITH {_RUNS} SELECT event_type, round(avg(value), 4) AS value_mean, round(stddev_samp(value), 4) AS value_std, count(value) AS value_count FROM runs GROUP BY event_type")
@@ -496,20 +630,20 @@ def replication_summary(spark, d):
     return stats.replication_summary(runs(spark, d), ["event_type"], ["value"])
 
 
-@query("""WITH grid AS (SELECT u AS user_id, e AS event_type FROM range(200) t(u), (SELECT unnest(['click', 'view']) AS e)) SELECT user_id, event_type FROM grid WHERE NOT EXISTS (SELECT 1 FROM events v WHERE v.user_id = grid.user_id AND v.event_type = grid.event_type)""")
+@query("""WITH grid AS (SELECT u AS user_id, e AS event_type FROM (SELECT u FROM range(200) t(u) UNION SELECT user_id FROM events WHERE user_id IS NOT NULL), (SELECT unnest(['click', 'view']) AS e)) SELECT user_id, event_type FROM grid WHERE NOT EXISTS (SELECT 1 FROM events v WHERE v.user_id = grid.user_id AND v.event_type = grid.event_type)""")
 def pending_runs(spark, d):
-    kinds = spark.createDataFrame([("click",), ("view",)], "event_type string")
     """Users 0 to 199 are planned, and all that the table names."""
+    kinds = spark.createDataFrame([("click",), ("view",)], "event_type string")
     done = runs(spark, d)
     users = spark.range(200).select(F.col("id").alias("user_id")).union(done.select("user_id").where("user_id IS NOT NULL")).distinct()
     return stats.pending_runs(users.join(F.broadcast(kinds)), done, ["user_id", "event_type"])
 
 
-@query()
+@query(_paired_sql("gg AS (SELECT user_id % 3 AS backbone, gap FROM gaps UNION ALL SELECT NULL, gap FROM gaps)", "backbone,"))
 def paired_test_by_backbone(spark, d):
     """Moments and both p-values for every backbone and overall."""
     rows = gaps(spark, d).withColumn("backbone", F.col("user_id") % 3)
-    return rounded(stats.paired_test(rows, by=["backbone"]), "mean", "std", "ci_low", "ci_high", "cohens_d", "t", "p_t", "p_wilcoxon")
+    return rounded(stats.paired_test(rows, by=["backbone"]), *_TESTED)
 
 
 # ------------------------------------------------------------------ files
@@ -524,6 +658,37 @@ def csv_round_trip(spark, d):
     return rows.select(F.col("c_custkey").cast("long"), "c_mktsegment", F.col("c_nationkey").cast("int"))
 
 
+@query("SELECT o_orderstatus, count(*) AS n, sum(o_custkey)::BIGINT AS customers FROM orders GROUP BY o_orderstatus")
+def file_index(spark, d):
+    """Orders written to two folders of files, found and indexed by stem there, and read back from the paths of the index."""
+    path, rows = new_path(spark, "parts"), table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    for k in (0, 1):
+        files.write_csv(rows.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(2)) == k), f"{path}/part_{k}")
+    index = files.index_files(spark, files.image_folders(spark, path, known=(), suffix=".csv"), suffix=".csv")
+    paths = [r["path"] for r in index.collect()]  # a path a file, as any reader lists them
+    found = spark.read.schema("o_orderkey long, o_custkey long, o_orderstatus string").csv(paths, header=True)
+    return found.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("customers"))
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def metadata_discovery(spark, d):
+    """Customers written under a name that only begins like a metadata file's, with another delimiter; found, sniffed and read."""
+    path = new_path(spark, "raw")
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    rows.write.option("header", True).option("sep", "|").csv(f"{path}/{files.METADATA_NAMES[0]}_2")
+    found = files.read_delimited(spark, files.find_metadata(spark, path), ("c_custkey", "c_name", "c_mktsegment"))
+    return found.select(F.col("c_custkey").cast("long"), "c_name", "c_mktsegment")
+
+
+@query(f"WITH {_SPLIT} SELECT doc_id, grp, lang, split FROM naive WHERE split = 'test'")
+def split_contract(spark, d):
+    """The test partition of a split that was written as a file, after a check of its columns and rows."""
+    path = new_path(spark, "split")
+    files.write_csv(naive(spark, d), path)
+    rows = spark.read.schema("doc_id long, grp string, lang string, split string").csv(path, header=True)
+    return split.select_partition(rows, ["doc_id", "grp", "lang", "split"], "test")
+
+
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def json_round_trip(spark, d):
     path = new_path(spark, "json")
@@ -533,10 +698,10 @@ def json_round_trip(spark, d):
 
 @query("SELECT event_type, count(*) AS runs, max(event_id) AS last FROM events GROUP BY event_type")
 def run_log(spark, d):
-    """Events appended to a log in two jobs, and counted there."""
+    """Events appended to a log in two jobs, one of which is repeated, and counted there."""
     path, rows = new_path(spark, "log"), table(spark, d, "events").select("event_id", "event_type")
-    for odd in (0, 1):
-        files.append_runs(rows.where(F.pmod("event_id", F.lit(2)) == odd), path)
+    for odd in (0, 1, 1):
+        files.append_runs(rows.where(F.pmod("event_id", F.lit(2)) == odd), path, f"job-{odd}")
     return spark.read.parquet(path).groupBy("event_type").agg(F.count("*").alias("runs"), F.max("event_id").alias("last"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,43 @@ class Roles:
             node = node[part]
         return node
 
+    def path(self, path: str, root: str) -> str:
+        """A configured path, below ``root`` unless it is absolute or names a file system; a KeyError where there is none."""
+        value = self.get(path)
+        if value is None:
+            raise KeyError(f"no path at {path}")
+        return value if value.startswith("/") or "://" in value else f"{root.rstrip('/')}/{value}"
+
+
+#: Where a configuration names the roles.
+ROLE_NAMES = {"id": "dataset.id", "group": "dataset.group", "label": "dataset.label", "classes": "dataset.classes", "seed": "seed"}
+
+
+def read_roles(spark: SparkSession, path: str, names: dict[str, str] = ROLE_NAMES) -> Roles:
+    """Roles and all other settings of a JSON or YAML file in any file system that Spark reads.
+
+    What the file does not name keeps its default; an empty file sets nothing; a missing one is
+    a FileNotFoundError.  YAML needs the yaml package.
+    """
+    from leakwright.sources.files import head_of
+
+    text = head_of(spark, path, 1 << 20)
+    if path.endswith(".json"):
+        raw = json.loads(text or "{}")
+    else:
+        try:
+            import yaml
+        except ImportError as missing:
+            raise RuntimeError(f"the yaml package is needed to read {path}") from missing
+        raw = yaml.safe_load(text) or {}
+    found = {k: Roles(extra=raw).get(v) for k, v in names.items()}
+    given = {k: v for k, v in found.items() if v is not None}
+    if "classes" in given:
+        given["classes"] = tuple(given["classes"])
+    if "seed" in given:
+        given["seed"] = int(given["seed"])
+    return Roles(extra=raw, **given)
+
 
 def session(name: str = "leakwright", **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; sizes are left to the cluster."""

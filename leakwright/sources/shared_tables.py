@@ -9,14 +9,19 @@ share it; a cluster without the setting is refused.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
+#: Paths given out since the innermost ``scratch`` began, and those before.
+_given: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,7 +38,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    for paths in _given:
+        paths.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables made inside are deleted at the end, but for those whose paths were put into the list given.
+
+    To be put around a step whose result is written inside: nothing else that it made is read again.
+    """
+    kept, made = [], []
+    _given.append(made)
+    try:
+        yield kept
+    finally:
+        _given.remove(made)
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:
@@ -55,6 +80,16 @@ def stash(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of up to so many rows is broadcast by ``small_side``.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written and counted: broadcast if it has no more than ``BROADCAST_ROWS`` rows, joined as any table otherwise."""
+    written = stash(df, tag)
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by ``stash`` that nothing reads any more."""
     spark = df.sparkSession
@@ -62,5 +97,9 @@ def discard(df: DataFrame) -> None:
     folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     for folder in folders:
         if inside in folder:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

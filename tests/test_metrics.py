@@ -51,12 +51,50 @@ def test_bootstrap_brackets_the_point_and_repeats(spark):
     assert metrics.bootstrap_ci(frame(spark, [1, 1], [1, 1]), 20).count() == 0
 
 
+# Fixed values of a published report: right, predicted and true rows of each class, and the metrics over them.
+GROUPED = {"akiec": (27, 85, 46), "bcc": (79, 128, 106), "bkl": (124, 300, 199), "df": (11, 37, 20), "mel": (100, 247, 202), "nv": (831, 883, 1121), "vasc": (10, 26, 12)}
+GROUPED_F1 = {"akiec": 0.4122, "bcc": 0.6752, "bkl": 0.497, "df": 0.386, "mel": 0.4454, "nv": 0.8293, "vasc": 0.5263}
+GROUPED_OVERALL = {"accuracy": 0.6928487690504103, "balanced_accuracy": 0.653577195049159, "macro_f1": 0.5387825316011826, "weighted_f1": 0.7169640785532098}
+# Rows, mean confidence and share that is right of the bins that are not empty, and the error over them.
+GROUPED_BINS = [
+    (3, 0.2720816433429718, 0.3333333333333333), (52, 0.36448001861572266, 0.3269230769230769), (126, 0.4568142592906952, 0.4126984126984127), (193, 0.54873126745224, 0.38341968911917096),
+    (150, 0.6507733464241028, 0.4533333333333333), (168, 0.7460710406303406, 0.5476190476190477), (172, 0.8508327603340149, 0.6511627906976745), (842, 0.9817512035369873, 0.9097387173396675),
+]
+GROUPED_ECE = {"ece": 0.11578788527081185, "mean_confidence": 0.8084213137626648, "accuracy": 0.6928487690504103, "n": 1706}
+
+
 def test_golden_grouped_report(spark):
-    """Recall and support of the published grouped report give its balanced accuracy."""
-    recall, support = [0.495], [202]
-    rows = frame(spark, [4] * 202, [4] * 100 + [5] * 102)
-    got = metrics.class_recall(rows, 4).first()
-    assert (round(got.recall, 4), got.support) == (round(recall[0], 4), support[0])
+    """Any table of predictions with these counts has the published metrics; wrong rows are dealt to classes that have room."""
+    pairs = [(c, c, hit) for c, (hit, _, _) in GROUPED.items()]
+    room = {c: said - hit for c, (hit, said, _) in GROUPED.items()}
+    for c, (hit, _, true) in sorted(GROUPED.items(), key=lambda x: -x[1][2]):
+        left = true - hit
+        for other in sorted(room, key=lambda o: -room[o]):
+            n = min(left, room[other]) if other != c else 0
+            pairs.append((c, other, n))
+            room[other], left = room[other] - n, left - n
+        assert left == 0
+    rows = frame(spark, [c for c, _, n in pairs for _ in range(n)], [o for _, o, n in pairs for _ in range(n)])
+    overall = metrics.overall_metrics(rows).first()
+    assert all(math.isclose(overall[m], v, abs_tol=1e-12) for m, v in GROUPED_OVERALL.items()) and overall.n == 1706
+    report = {r["class"]: r for r in metrics.per_class_report(rows, list(GROUPED)).collect()}
+    assert {c: (r.f1, r.support) for c, r in report.items()} == {c: (GROUPED_F1[c], GROUPED[c][2]) for c in GROUPED}
+    assert metrics.class_recall(rows, "mel").first().support == 202
+
+
+def test_golden_grouped_calibration(spark):
+    rows = spark.createDataFrame([(c, i < round(n * share)) for n, c, share in GROUPED_BINS for i in range(n)], "confidence double, correct boolean")
+    got = calibrate.expected_calibration_error(rows).first()
+    assert all(math.isclose(got[k], v, abs_tol=1e-9) for k, v in GROUPED_ECE.items()) and got.verdict == "overconfident"
+
+
+def test_imbalance_strategies(spark):
+    rows = spark.createDataFrame([("a",)] * 3 + [("b",)], "dx string")
+    assert {r.label: round(r.weight, 6) for r in metrics.imbalance_weights(rows, "dx", ["a", "b", "c"], "none").collect()} == {"a": 1.0, "b": 1.0, "c": 1.0}
+    weights = {r.label: r.weight for r in metrics.imbalance_weights(rows, "dx", ["a", "b", "c"], "class_weights").collect()}
+    assert sorted(r.weight for r in metrics.imbalance_weights(rows, "dx", ["a", "b", "c"], "weighted_sampler").collect()) == sorted([weights["a"]] * 3 + [weights["b"]])
+    with pytest.raises(ValueError):
+        metrics.imbalance_weights(rows, "dx", ["a"], "other")
 
 
 def test_bins_and_ece(spark):
