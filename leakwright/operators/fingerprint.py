@@ -10,33 +10,33 @@ WORD = r"([^\x20\x09-\x0D]+)"
 _LOW = (1 << 32) - 1
 
 
-def _halves(word: Column) -> list[Column]:
-    """256 bits of a word as eight numbers of 32 bits, from two md5 digests."""
-    digests = [F.md5(word), F.md5(F.concat(F.lit("1:"), word))]
-    return [F.conv(F.substring(d, 8 * k + 1, 8), 16, 10).cast("long") for d in digests for k in range(4)]
-
-
 def simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, words)``: 256 bits of each text as four 64-bit words, by the votes of its words (SimHash).
 
     Each word votes on every bit by its own hash, as often as it occurs; a bit is set if
     more than half of the votes are for it.  Votes of two bits are counted in the halves
-    of one long, so a text takes 128 sums; they are added up where the text lies before
-    anything is shuffled.  Null and blank texts have no votes and the print 0; rows with
-    one id are one text; a null id is kept as one.
+    of one long, and a word is two rows of 128 bits, so that the 64 sums of a row stay in
+    generated code; they are added up where the text lies before anything is shuffled.
+    Null and blank texts have no votes and the print 0; rows with one id are one text; a
+    null id is kept as one.
     """
     spread = docs.select(F.col(id_col).alias("id"), F.explode_outer(F.regexp_extract_all(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD), 1)).alias("word"))
-    packed = spread.select("id", "word", F.array(*_halves(F.col("word"))).alias("h"))
-    packed = packed.select("id", "word", *(F.shiftleft(F.get("h", F.lit(2 * w)), 32).bitwiseOR(F.get("h", F.lit(2 * w + 1))).alias(f"h{w}") for w in range(4)))
+    digest = F.explode(F.array(*(F.struct(F.lit(part).alias("part"), F.md5(F.concat(F.lit(seed), F.col("word"))).alias("hex")) for part, seed in enumerate(("", "1:")))))
+    votes = spread.select("id", digest.alias("d")).select("id", "d.part", "d.hex")
+    number = lambda k: F.conv(F.substring("hex", 8 * k + 1, 8), 16, 10).cast("long")
+    packed = votes.select("id", "part", *(F.shiftleft(number(2 * w), 32).bitwiseOR(number(2 * w + 1)).alias(f"h{w}") for w in range(2)))
     lanes = F.lit(1 << 32 | 1)
-    votes = packed.groupBy("id").agg(F.count("word").alias("n"), *(F.coalesce(F.sum(F.shiftrightunsigned(f"h{w}", s).bitwiseAND(lanes)), F.lit(0)).alias(f"v{w}_{s}") for w in range(4) for s in range(32)))
+    sums = packed.groupBy("id", "part").agg(F.count("h0").alias("n"), *(F.sum(F.shiftrightunsigned(f"h{w}", s).bitwiseAND(lanes)).alias(f"v{w}_{s}") for w in range(2) for s in range(32)))
 
     def word(w: int) -> Column:
         set_to = lambda count, at: F.call_function("shiftleft", (2 * count > F.col("n")).cast("long"), at)
-        bits = F.transform(F.array(*(F.col(f"v{w}_{s}") for s in range(32))), lambda both, s: set_to(both.bitwiseAND(F.lit(_LOW)), s).bitwiseOR(set_to(F.shiftrightunsigned(both, 32), s + 32)))
+        counts = F.array(*(F.coalesce(F.col(f"v{w}_{s}"), F.lit(0)) for s in range(32)))
+        bits = F.transform(counts, lambda both, s: set_to(both.bitwiseAND(F.lit(_LOW)), s).bitwiseOR(set_to(F.shiftrightunsigned(both, 32), s + 32)))
         return F.aggregate(bits, F.lit(0).cast("long"), lambda out, x: out.bitwiseOR(x))
 
-    return votes.select("id", F.array(*map(word, range(4))).alias("words"))
+    halves = sums.select("id", "part", F.array(word(0), word(1)).alias("words"))
+    of = lambda part: F.max(F.when(F.col("part") == part, F.col("words")))
+    return halves.groupBy("id").agg(F.concat(of(0), of(1)).alias("words"))
 
 
 def hex_print(words: Column, n: int = 4) -> Column:

@@ -107,7 +107,7 @@ def _log_factorial(k: Column) -> Column:
 
 
 #: Pairs of uniform numbers that a binomial number may take; the chance that none will do is below 10^-15.
-ATTEMPTS = 32
+ATTEMPTS, EARLY = 32, 4
 
 
 def _let(value: Column, use) -> Column:
@@ -150,8 +150,9 @@ def binomial_draw(n: Column, p: Column, uniform) -> Column:
                 under = lambda k: F.log(v * scale / (a / (edge * edge) + b)) <= level - _log_factorial(k) - _log_factorial(g["n"] - k) + (k - g["m"]) * F.log(g["r"] / (1 - g["r"]))
                 return _let(k, lambda k: F.when((edge >= 0.07) & (v <= right) | (k >= 0) & (k <= g["n"]) & under(k), k))
 
-            tries = F.transform(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), attempt)
-            return F.coalesce(F.get(F.filter(tries, lambda k: k.isNotNull()), F.lit(0)), g["m"])
+            # Later attempts are made only if none of the earlier ones will do.
+            first = lambda low, high: F.get(F.filter(F.transform(F.sequence(F.lit(low), F.lit(high - 1)), attempt), lambda k: k.isNotNull()), F.lit(0))
+            return F.coalesce(first(0, EARLY), first(EARLY, ATTEMPTS), g["m"])
 
         return _let(_let(spread, shape), tried)
 

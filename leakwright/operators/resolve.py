@@ -86,6 +86,11 @@ def effective_groups(meta: DataFrame, clusters: DataFrame, id_col: str, group: s
     return rows.join(roots, rows["__own__"] == roots["node"], "left").select(*meta.columns, F.coalesce("component", "__own__").alias("effective_group"))
 
 
+def group_counts(grouped: DataFrame, group: str, merged: str = "effective_group") -> DataFrame:
+    """One row: groups before and after those that share duplicates became one; rows without a group count after only."""
+    return grouped.agg(F.countDistinct(group).alias("groups_before"), F.countDistinct(merged).alias("groups_after"))
+
+
 def merge_findings(existing: DataFrame, new: DataFrame, methods_run: list[str] | None = None) -> DataFrame:
     """Findings of methods that were not run again, and the new ones; of repeats the new one, each pair and method once.
 

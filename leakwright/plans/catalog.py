@@ -284,14 +284,31 @@ def dup_components(spark, d):
     return resolve.duplicate_groups(noted_across(spark, d))
 
 
-@query(f"""WITH RECURSIVE {_META}, {_EXACT}, own AS (SELECT doc_id, lang || ':' || (doc_id // 7) AS g FROM meta), pairs2 AS (SELECT a.g AS x, b.g AS y FROM exact JOIN own a ON a.doc_id = id_a JOIN own b ON b.doc_id = id_b),
-e AS (SELECT x, y FROM pairs2 UNION SELECT y, x FROM pairs2), walk AS (SELECT x AS node, x AS seen FROM e UNION SELECT node, y FROM walk JOIN e ON x = seen), roots AS (SELECT node, min(seen) AS root FROM walk GROUP BY node)
-SELECT doc_id, coalesce(root, g) AS effective_group FROM own LEFT JOIN roots ON node = g""")
-def effective_groups(spark, d):
+_EFFECTIVE = f"""WITH RECURSIVE {_META}, {_EXACT}, own AS (SELECT doc_id, lang || ':' || (doc_id // 7) AS g FROM meta), pairs2 AS (SELECT a.g AS x, b.g AS y FROM exact JOIN own a ON a.doc_id = id_a JOIN own b ON b.doc_id = id_b),
+e AS (SELECT x, y FROM pairs2 UNION SELECT y, x FROM pairs2), walk AS (SELECT x AS node, x AS seen FROM e UNION SELECT node, y FROM walk JOIN e ON x = seen), roots AS (SELECT node, min(seen) AS root FROM walk GROUP BY node),
+eff AS (SELECT doc_id, g, coalesce(root, g) AS effective_group FROM own LEFT JOIN roots ON node = g)"""
+
+
+def _merged_groups(spark, d, from_file: bool = False) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.concat_ws(":", "lang", F.floor(F.col("doc_id") / 7)).alias("g"))
     clusters = exact_pairs(spark, d)
     nodes = clusters.select(F.col("id_b").alias("node"), F.col("id_a").alias("component")).unionByName(clusters.select(F.col("id_a").alias("node"), F.col("id_a").alias("component")).distinct())
-    return resolve.effective_groups(rows, nodes, "doc_id", "g").select("doc_id", "effective_group")
+    if from_file:
+        path = new_path(spark, "clusters")
+        files.write_csv(nodes, path)
+        nodes = files.read_clusters(spark, path)
+    return resolve.effective_groups(rows, nodes, "doc_id", "g")
+
+
+@query(f"{_EFFECTIVE} SELECT doc_id, effective_group FROM eff")
+def effective_groups(spark, d):
+    return _merged_groups(spark, d).select("doc_id", "effective_group")
+
+
+@query(f"{_EFFECTIVE} SELECT count(DISTINCT g) AS groups_before, count(DISTINCT effective_group) AS groups_after FROM eff")
+def groups_before_after(spark, d):
+    """Groups before and after those with equal texts became one, by clusters that were written to a file and read back."""
+    return resolve.group_counts(_merged_groups(spark, d, from_file=True), "g")
 
 
 # ------------------------------------------------------------------ splits

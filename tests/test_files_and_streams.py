@@ -101,14 +101,14 @@ def test_refresh_stream_and_its_repeat(spark, tmp_path):
 def test_windowed_accuracy_leaves_late_rows_out(spark, tmp_path):
     at = lambda minute: dt.datetime(2024, 1, 1, 0, minute)
     schema = "ts timestamp, y_true string, y_pred string"
-    # Rows beyond the watermark of an earlier file come last.
+    # Rows beyond the watermark of an earlier file come last; each file is a run of its own.
     for k, rows in enumerate([[(at(1), "a", "a"), (at(2), "a", "b"), (at(7), "b", "b")], [(at(40), "a", "a")], [(at(3), "a", "a"), (at(41), "b", "a")]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = incremental.windowed_accuracy(stream, "ts").select(F.col("window.start").alias("start"), "n", "accuracy")
-    q = out.writeStream.outputMode("append").format("memory").queryName("accuracy").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {r["start"].minute: (r["n"], r["accuracy"]) for r in spark.table("accuracy").collect()}
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        out = incremental.windowed_accuracy(stream, "ts").select(F.col("window.start").alias("start"), "n", "accuracy")
+        writer = out.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint"))
+        writer.trigger(availableNow=True).start().awaitTermination(120)
+    got = {r["start"].minute: (r["n"], r["accuracy"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: (2, 0.5), 5: (1, 1.0)}
 
 
