@@ -474,9 +474,9 @@ lo AS (SELECT unnest(['accuracy', 'balanced_accuracy', 'macro_f1']) AS metric, u
 SELECT metric, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high, count(*) AS iterations FROM lo GROUP BY metric"""
 
 
-@query(f"SELECT metric, round(low, 6) AS low, round(high, 6) AS high, iterations FROM ({_bootstrap_sql(_PREDS)})")
+@query(f"SELECT metric, round(low, 9) AS low, round(high, 9) AS high, iterations FROM ({_bootstrap_sql(_PREDS)})")
 def bootstrap_ci(spark, d):
-    return rounded(metrics.bootstrap_ci(predictions(spark, d), iterations=1000), "low", "high")
+    return rounded(metrics.bootstrap_ci(predictions(spark, d), iterations=1000), "low", "high", places=9)
 
 
 @query(f"""SELECT a.metric, a.low <= b.high AND b.low <= a.high AS overlap FROM ({_bootstrap_sql(_PREDS.replace('FROM said)', 'FROM said WHERE id % 2 = 0)'))}) a
