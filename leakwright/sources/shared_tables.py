@@ -49,6 +49,8 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Tables made inside are deleted at the end, but for those whose paths were put into the list given.
 
     To be put around a step whose result is written inside: nothing else that it made is read again.
+    Paths are compared by their last name, which is unlike any other: Spark spells the folder before it
+    in other ways than ``spark.checkpoint.dir`` does (``/a``, ``file:/a`` and ``file:///a``).
     """
     kept, made = [], []
     _given.append(made)
@@ -56,8 +58,9 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
         yield kept
     finally:
         _given.remove(made)
+        names = {path.rstrip("/").rsplit("/", 1)[-1] for path in kept}
         for path in made:
-            if path not in kept:
+            if path.rsplit("/", 1)[-1] not in names:
                 _delete(spark, path)
 
 
@@ -93,11 +96,12 @@ def small_side(df: DataFrame, tag: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by ``stash`` that nothing reads any more."""
     spark = df.sparkSession
-    inside = shared_folder(spark).split("://")[-1]
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if inside in folder:
-            _delete(spark, folder)
+    own = shared_folder(spark)
+    inside = own.rsplit("/", 1)[-1]
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        *_, parent, name = folder.split("/")
+        if parent == inside:
+            _delete(spark, f"{own}/{name}")
 
 
 def _delete(spark: SparkSession, folder: str) -> None:
