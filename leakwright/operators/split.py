@@ -29,8 +29,8 @@ def naive_split(meta: DataFrame, id_col: str, label: str, test_size: float = 0.1
     return ranked.join(quotas, F.col(label).eqNullSafe(F.col("__label__"))).select(*meta.columns, split.alias("split"))
 
 
-def grouped_split(meta: DataFrame, id_col: str, group: str, label: str, test_size: float = 0.15, val_size: float = 0.15, seed: int = 42, legacy_thirds: bool = False) -> DataFrame:
-    """Adds ``split``: whole groups at random within their most frequent label.
+def grouped_split(meta: DataFrame, id_col: str, group: str, label: str, test_size: float = 0.15, val_size: float = 0.15, seed: int = 42, legacy_thirds: bool = False, label_of: str = "frequent") -> DataFrame:
+    """Adds ``split``: whole groups at random within their most frequent label, or with ``label_of="least"`` within the first of their labels by name.
 
     Groups of a label go, in seeded order, to test until its share of rows is reached,
     then to validation, then to train; no group is ever in two.  A row without a group
@@ -45,7 +45,10 @@ def grouped_split(meta: DataFrame, id_col: str, group: str, label: str, test_siz
     rows = meta.withColumn("__group__", name)
     per = rows.groupBy("__group__", F.col(label).alias("__label__")).agg(F.count("*").alias("n"))
     # Of labels that are equally frequent the first by name, null last.
-    groups = per.groupBy("__group__").agg(F.min_by("__label__", F.struct(-F.col("n"), F.col("__label__").isNull(), F.col("__label__"))).alias("__label__"), F.sum("n").alias("n"))
+    if label_of not in ("frequent", "least"):
+        raise ValueError(f"label_of is frequent or least, not {label_of}")
+    chosen = F.min("__label__") if label_of == "least" else F.min_by("__label__", F.struct(-F.col("n"), F.col("__label__").isNull(), F.col("__label__")))
+    groups = per.groupBy("__group__").agg(chosen.alias("__label__"), F.sum("n").alias("n"))
     groups = groups.withColumn("__key__", order_key(seed, "__group__"))
     placed = running_before(groups, ["__label__"], "__key__", "__group__", F.col("n"))
     totals = small_side(groups.groupBy(F.col("__label__").alias("__of__")).agg(F.sum("n").alias("total")), "totals")
