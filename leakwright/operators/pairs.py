@@ -25,33 +25,47 @@ def _known(prints: DataFrame, id_col: str, words_col: str) -> DataFrame:
 MANY_PRINTS = 1 << 24
 
 
-def _bits(words: Column, first: int, last: int) -> Column:
-    """Bits first..last, at most 63 of them, of an array of 64-bit words as a number."""
-    out, at = None, first
-    while at < last:
-        w, low = divmod(at, 64)
-        n = min(last - at, 64 - low)
+#: Members of a class in one list, and pairs of members that one task gives, both about.
+MEMBERS, PAIRS_A_TASK = 256, 2_000_000
+
+
+def _bits(words: Column, places: list[int]) -> Column:
+    """The bits at ``places``, ascending and at most 63 of them, of an array of 64-bit words as a number."""
+    out, at = None, 0
+    while at < len(places):
+        w, low = divmod(places[at], 64)
+        n = next(k for k in range(1, len(places) - at + 1) if at + k == len(places) or places[at + k] != places[at] + k or places[at + k] // 64 != w)
         part = F.shiftrightunsigned(F.element_at(words, w + 1), low).bitwiseAND(F.lit((1 << n) - 1))
-        out = part if out is None else out.bitwiseOR(F.shiftleft(part, at - first))
+        out = part if out is None else out.bitwiseOR(F.shiftleft(part, at))
         at += n
-    return out
+    return F.lit(0).cast("long") if out is None else out
+
+
+def _varying(classes: DataFrame, words: int) -> list[int]:
+    """The places of the bits that not all prints have alike; the others tell no two apart."""
+    each = [f(F.element_at("words", w + 1)) for w in range(words) for f in (F.bit_or, F.bit_and)]
+    seen = classes.agg(*(x.alias(str(i)) for i, x in enumerate(each))).first()
+    differ = [((seen[2 * w] or 0) ^ (seen[2 * w + 1] or 0)) & ((1 << 64) - 1) for w in range(words)]
+    return [64 * w + b for w in range(words) for b in range(64) if differ[w] >> b & 1]
 
 
 def _close_classes(classes: DataFrame, words: int, max_distance: int, flips: int | None = None) -> DataFrame:
     """``(wa, wb, hamming)`` of distinct prints at most ``max_distance`` bits apart, wa < wb.
 
-    With ``flips`` 0 bits are dealt to max_distance + 1 bands, one of which is equal in
+    Bits that all prints have alike are left out, so no band is of those alone.
+    With ``flips`` 0 the others are dealt to max_distance + 1 bands, one of which is equal in
     two such prints.  With 1 there are half as many, twice as wide: one of them differs in
     one bit at most, so one side is laid out as it is and the other also with each bit
     flipped.  Wide bands meet by chance much less often, which pays from
-    ``MANY_PRINTS`` on; the pairs are the same.  A pair is kept in the first band it meets in.
+    ``MANY_PRINTS`` on, and where one band is left, as all that meets in it then is a pair; the pairs are the same.  A pair is kept in the first band it meets in.
     """
+    places = _varying(classes, words)
     if flips is None:
-        flips = int(classes.count() >= MANY_PRINTS)
-    bits = 64 * words
+        flips = int(classes.count() >= MANY_PRINTS or (max_distance == 1 and len(places) <= 63))
+    bits = len(places)
     bands = max(max_distance // (flips + 1) + 1, -(-bits // 63))
     edges = [bits * b // bands for b in range(bands + 1)]
-    of = lambda side: [_bits(F.col(side), a, b) for a, b in zip(edges, edges[1:])]
+    of = lambda side: [_bits(F.col(side), places[a:b]) for a, b in zip(edges, edges[1:])]
     flipped = lambda value, n: F.transform(F.sequence(F.lit(-1), F.lit(n - 1)), lambda k: F.when(k < 0, value).otherwise(value.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
     one = classes.select(F.col("words").alias("wa")).select("wa", F.posexplode(F.array(*of("wa"))).alias("band", "value"))
     two = classes.select(F.col("words").alias("wb"))
@@ -69,16 +83,24 @@ def hamming_pairs(prints: DataFrame, id_col: str, words_col: str, words: int = 4
     """``(id_a, id_b, hamming)`` of all pairs at most ``max_distance`` bits apart, id_a < id_b.
 
     Lossless banding, as ``_close_classes`` says: pairs meet by band, in an equi-join.
-    Equal prints are one class first, so copies do not meet in every band: classes are joined, and
-    the members of two classes, or of one, are paired last.
+    Equal prints are one class first, so copies do not meet in every band.  The members
+    of a class are lists of about ``MEMBERS`` ids; lists of two classes, or of one, meet as
+    rows, which are dealt out evenly and only then become pairs: no pair is shuffled,
+    and a large class is spread over many tasks.
     """
     known = _known(prints, id_col, words_col)
-    classes = known.select("words").distinct()
-    close = _close_classes(classes, words, max_distance, flips)
+    classes = stash(known.groupBy("words").agg(F.count("*").alias("n")), "classes")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / MEMBERS)).alias("part")
+    lists = stash(known.join(classes, "words").groupBy("words", part).agg(F.collect_list("id").alias("ids")), "lists")
+    of = lambda w, p, ids: lists.select(F.col("words").alias(w), F.col("part").alias(p), F.col("ids").alias(ids))
     same = classes.select(F.col("words").alias("wa"), F.col("words").alias("wb"), F.lit(0).alias("hamming"))
-    left, right = known.select(F.col("id").alias("x"), F.col("words").alias("wa")), known.select(F.col("id").alias("y"), F.col("words").alias("wb"))
-    met = close.unionByName(same).join(left, "wa").join(right, "wb").where("wa <> wb OR x < y")
-    return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), F.col("hamming").cast("long").alias("hamming"))
+    close = _close_classes(classes.select("words"), words, max_distance, flips).unionByName(same)
+    met = close.join(of("wa", "i", "xs"), "wa").join(of("wb", "j", "ys"), "wb").where("wa <> wb OR i <= j")
+    met = stash(met.select("xs", "ys", F.col("hamming").cast("long").alias("hamming"), (F.col("wa").eqNullSafe(F.col("wb")) & (F.col("i") == F.col("j"))).alias("itself")), "lists-met")
+    total = met.agg(F.sum(F.size("xs").cast("long") * F.size("ys"))).first()[0] or 0
+    dealt = met.repartition(max(1, -(-total // PAIRS_A_TASK)))
+    both = dealt.select("ys", "hamming", "itself", F.explode("xs").alias("x")).select("x", "hamming", "itself", F.explode("ys").alias("y")).where("NOT itself OR x < y")
+    return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "hamming")
 
 
 def hamming_classes(prints: DataFrame, id_col: str, words_col: str, words: int = 4, max_distance: int = 12, flips: int | None = None) -> DataFrame:
