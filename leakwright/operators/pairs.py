@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,47 +120,129 @@ def hamming_classes(prints: DataFrame, id_col: str, words_col: str, words: int =
     return met.unionByName(members)
 
 
-#: Vectors of a block; two blocks are compared by one matrix product.
-BLOCK_ROWS = 1024
+#: Vectors of a block at most; two blocks are compared by one matrix product.
+BLOCK_ROWS = 4096
+#: Blocks that are wanted of a small table, so that tasks have work, and blocks of a slab, by which partial results are kept.
+LEAST_BLOCKS, SLAB_BLOCKS = 24, 32
+#: Rows of a block that are compared at once, and pairs whose products are computed in double at once.
+CHUNK, EXACT = 512, 1 << 16
 
 
-def _blocks(vectors: DataFrame, id_col: str, vec_col: str, n_blocks: int) -> DataFrame:
-    block = F.pmod(F.xxhash64(id_col), F.lit(n_blocks))
-    return vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(block.alias("block"), F.struct(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).alias("x")).groupBy("block").agg(F.collect_list("x").alias("xs"))
+def _blocks(vectors: DataFrame, id_col: str, vec_col: str, n: int) -> DataFrame:
+    """``(ids, v)``: vectors of length 1 in blocks, ids in a list and numbers in bytes, as a written table."""
+    size = max(1, min(BLOCK_ROWS, -(-n // LEAST_BLOCKS)))
+    n_blocks = max(1, -(-n // size))
+    kind = vectors.schema[id_col].dataType
+    known = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
 
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, count = [], 0
+        for frame in frames:
+            held, count = [*held, frame], count + len(frame)
+            if count >= size:
+                whole = pd.concat(held)
+                for low in range(0, count - count % size, size):
+                    yield packed(whole.iloc[low : low + size])
+                held, count = [whole.iloc[count - count % size :]], count % size
+        if count:
+            yield packed(pd.concat(held))
 
-def cosine_neighbours(vectors: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
-    """``(src, dst, sim, place)``: of each vector its k nearest others by cosine, ties by id.
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack(rows["v"].map(np.asarray).to_list()).astype(np.float64)
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        return pd.DataFrame({"ids": [rows["id"].to_list()], "v": [v.tobytes()]})
 
-    Exact search in blocks: every block of vectors meets every other once, as rows of
-    two blocks, and gives the k best of each source; those are ranked again.
-    """
-    n = vectors.count()
-    n_blocks = max(1, -(-n // BLOCK_ROWS))
-    blocks = _blocks(vectors, id_col, vec_col, n_blocks)
-    asked = blocks.select(F.col("xs").alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"))
-    met = asked.join(blocks.select("block", F.col("xs").alias("others")), "block").select("mine", "others")
+    dealt = known.repartition(min(n_blocks, 4 * known.sparkSession.sparkContext.defaultParallelism))
+    return stash(dealt.mapInPandas(pack, f"ids array<{kind.simpleString()}>, v binary"), "blocks", compression="none")
 
-    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for mine, others in zip(frame["mine"], frame["others"]):
-                (ids, a), (names, b) = ((np.array([x["id"] for x in side]), np.array([np.asarray(x["v"], dtype=np.float64) for x in side])) for side in (mine, others))
-                norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                sim = norm(a) @ norm(b).T
-                sim[ids[:, None] == names[None, :]] = -np.inf
-                best = np.lexsort((np.broadcast_to(names, sim.shape), -sim), axis=1)[:, :k]
-                out = pd.DataFrame({"src": np.repeat(ids, best.shape[1]), "dst": names[best].ravel(), "sim": np.take_along_axis(sim, best, 1).ravel()})
-                yield out[np.isfinite(out["sim"])]
 
+def _best(mine: np.ndarray, ids: np.ndarray, others: np.ndarray, names: np.ndarray, k: int, least: np.ndarray, rank: bool) -> tuple[np.ndarray, ...]:
+    """``(row, name, sim)`` of the k best of ``others`` for each row, from the row's ``least`` up, ties by name.
+
+    Products in single precision, less their error, tell which few can be among them; those are
+    computed in double.  ``rank`` looks for the k best of each row first, which pays where ``least`` lets many through.
+    """
+    slack = 4e-7 * (others.shape[1] + 8)
+    a, b = mine.astype(np.float32), others.astype(np.float32)
+    found = []
+    for low in range(0, len(a), CHUNK):
+        sim = a[low : low + CHUNK] @ b.T
+        cut = least[low : low + CHUNK]
+        if rank and sim.shape[1] > k + 1:  # one of them may be the row itself
+            cut = np.maximum(cut, np.partition(sim, sim.shape[1] - k - 1, axis=1)[:, -k - 1])
+        i, j = np.nonzero(sim >= (cut - slack)[:, None])
+        i = i + low
+        i, j = (x[ids[i] != names[j]] for x in (i, j))
+        for at in range(0, len(i), EXACT):
+            p, q = i[at : at + EXACT], j[at : at + EXACT]
+            exact = np.einsum("ij,ij->i", mine[p], others[q])
+            good = exact >= least[p]
+            found.append(_firsts(p[good], names[q[good]], exact[good], k))
+    if not found:
+        return np.zeros(0, np.int64), names[:0], np.zeros(0)
+    return _firsts(*(np.concatenate(x) for x in zip(*found)), k)
+
+
+def _firsts(row: np.ndarray, name: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((name, -sim, row))
+    row, name, sim = row[order], name[order], sim[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], name[place < k], sim[place < k]
+
+
+def cosine_neighbours(vectors: DataFrame, id_col: str, vec_col: str, k: int, least: float = -2.0) -> DataFrame:
+    """``(src, dst, sim, place)``: of each vector its k nearest others by cosine, ties by id; those from ``least`` up.
+
+    Exact search: every block of vectors meets every other in a cross join of two reads of
+    one written table, so that vectors are shuffled once and not for each block.  A task
+    goes through a slab of blocks for each of its own and gives the k best of each
+    vector; the best of the slabs are ranked again.  Products grow with the square of the table.
+    """
+    n = vectors.count()
+    blocks = _blocks(vectors, id_col, vec_col, n)
+    slabs = max(1, -(-n // (BLOCK_ROWS * SLAB_BLOCKS)))
+    mine = blocks.select(F.col("ids").alias("a_ids"), F.col("v").alias("a"))
+    met = mine.hint("shuffle_replicate_nl").crossJoin(blocks.coalesce(slabs))
     kind = vectors.schema[id_col].dataType.simpleString()
-    found = met.mapInPandas(nearest, f"src {kind}, dst {kind}, sim double")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, None
+
+        def told() -> pa.RecordBatch:
+            row, name, sim = held
+            return pa.RecordBatch.from_arrays([pa.array(own[1][row], types[0]), pa.array(name, types[0]), pa.array(sim)], names=["src", "dst", "sim"])
+
+        types = [None]
+        for batch in batches:
+            types[0] = batch.schema.field("a_ids").type.value_type
+            lists = [batch.column(c) for c in ("a_ids", "ids")]
+            raw = [batch.column(c) for c in ("a", "v")]
+            for i in range(batch.num_rows):
+                key = raw[0][i].as_py()
+                ids = lists[0][i].values.to_numpy(zero_copy_only=False)
+                if own is None or own[0] != key or not np.array_equal(own[1], ids):
+                    if own is not None:
+                        yield told()
+                    own, held = (key, ids, np.frombuffer(key).reshape(len(ids), -1)), None
+                names = lists[1][i].values.to_numpy(zero_copy_only=False)
+                floor = np.full(len(own[1]), float(least))
+                if held is not None:  # the k-th best so far
+                    last = np.flatnonzero(np.diff(held[0], append=-1) != 0)
+                    last = last[last - np.searchsorted(held[0], held[0][last]) == k - 1]
+                    floor[held[0][last]] = held[2][last]
+                more = _best(own[2], own[1], np.frombuffer(raw[1][i].as_py()).reshape(len(names), -1), names, k, floor, held is None)
+                held = more if held is None else _firsts(*(np.concatenate(x) for x in zip(held, more)), k)
+        if own is not None:
+            yield told()
+
+    found = met.mapInArrow(nearest, f"src {kind}, dst {kind}, sim double")
     place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst"))
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
 def cosine_pairs(vectors: DataFrame, id_col: str, vec_col: str, threshold: float, k: int = 5) -> DataFrame:
     """``(id_a, id_b, cosine)`` at or above ``threshold`` where either is among the other's k nearest; rounded after the test."""
-    near = cosine_neighbours(vectors, id_col, vec_col, k).where(F.col("sim") >= threshold)
+    near = cosine_neighbours(vectors, id_col, vec_col, k, threshold)
     pairs = near.select(F.least("src", "dst").alias("id_a"), F.greatest("src", "dst").alias("id_b"), "sim")
     return pairs.groupBy("id_a", "id_b").agg(F.round(F.max("sim"), 5).alias("cosine"))
 
@@ -170,7 +253,7 @@ def threshold_sweep(vectors: DataFrame, id_col: str, vec_col: str, groups: DataF
     ``near`` is the neighbours ``(src, dst, sim)`` if they are known, as from an index.
     """
     spark = vectors.sparkSession
-    near = (cosine_neighbours(vectors, id_col, vec_col, k) if near is None else near).where(F.col("sim") >= min(thresholds))
+    near = (cosine_neighbours(vectors, id_col, vec_col, k, min(thresholds)) if near is None else near).where(F.col("sim") >= min(thresholds))
     pairs = near.select(F.least("src", "dst").alias("id_a"), F.greatest("src", "dst").alias("id_b"), "sim").groupBy("id_a", "id_b").agg(F.max("sim").alias("sim"))
     of = lambda side: groups.select(F.col(id_col).alias(f"id_{side}"), F.col(group).alias(f"g_{side}"))
     flagged = pairs.join(of("a"), "id_a", "left").join(of("b"), "id_b", "left").withColumn("declared", F.coalesce(F.col("g_a") == F.col("g_b"), F.lit(False)))

@@ -67,8 +67,9 @@ def key_pair_counts(rows: DataFrame, key: str, group: str, label: str) -> DataFr
 
 
 def duplicate_groups(pairs: DataFrame) -> DataFrame:
-    """``(node, component)`` of the undeclared pairs."""
-    return connected_components(undeclared(pairs) if "same_group" in pairs.columns else pairs, "id_a", "id_b")
+    """``(node, component)`` of the undeclared pairs, which are found once and written."""
+    open_pairs = undeclared(pairs) if "same_group" in pairs.columns else pairs
+    return connected_components(stash(open_pairs.select("id_a", "id_b"), "undeclared"), "id_a", "id_b")
 
 
 def effective_groups(meta: DataFrame, clusters: DataFrame, id_col: str, group: str, null_group: str = "single") -> DataFrame:
