@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakwright.sources.shared_tables import stash
+from leakwright.sources.shared_tables import small_side, stash
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -30,6 +30,10 @@ MANY_PRINTS = 1 << 24
 MEMBERS, PAIRS_A_TASK = 256, 2_000_000
 
 
+#: Prints with one value of a band from which on they are dealt to several tasks, of so many on one side.
+HOT = 1000
+
+
 def _bits(words: Column, places: list[int]) -> Column:
     """The bits at ``places``, ascending and at most 63 of them, of an array of 64-bit words as a number."""
     out, at = None, 0
@@ -75,11 +79,23 @@ def _close_classes(classes: DataFrame, words: int, max_distance: int, flips: int
         two = two.select("wb", F.posexplode(F.array(*of("wb"))).alias("band", "value")).select("wb", "band", F.explode(flipped(F.col("value"), wide)).alias("value"))
     else:
         two = two.select("wb", F.posexplode(F.array(*of("wb"))).alias("band", "value"))
-    met = one.join(two, ["band", "value"]).where("wa < wb").withColumn("hamming", hamming(F.col("wa"), F.col("wb"))).where(F.col("hamming") <= max_distance)
+    # Spark does not count on what explode adds and would broadcast these rows: they are to be shuffled and sorted.
+    one, two = _spread(one, two)
+    met = one.hint("merge").join(two, ["band", "value", "share"]).where("wa < wb").withColumn("hamming", hamming(F.col("wa"), F.col("wb"))).where(F.col("hamming") <= max_distance)
     first = F.coalesce(*(F.when(F.bit_count(x.bitwiseXOR(y)) <= flips, F.lit(k)) for k, (x, y) in enumerate(zip(of("wa"), of("wb")))))
     return met.where(F.col("band") == first).select("wa", "wb", "hamming")
 
 
+def _spread(one: DataFrame, two: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``share``: rows of a value that many prints have are dealt to shares on one side and repeated for each on the other."""
+    many = one.groupBy("band", "value").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    many = small_side(many.select(F.col("band").alias("b"), F.col("value").alias("v"), F.ceil(F.col("n") / HOT).alias("shares")), "hot-values")
+    same = (F.col("band") == F.col("b")) & (F.col("value") == F.col("v"))
+    shares = F.coalesce("shares", F.lit(1).cast("long"))
+    left = one.join(many, same, "left").select("wa", "band", "value", F.pmod(F.xxhash64("wa"), shares).alias("share"))
+    return left, two.join(many, same, "left").select("wb", "band", "value", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
+
+
 def hamming_pairs(prints: DataFrame, id_col: str, words_col: str, words: int = 4, max_distance: int = 12, flips: int | None = None) -> DataFrame:
     """``(id_a, id_b, hamming)`` of all pairs at most ``max_distance`` bits apart, id_a < id_b.
 
