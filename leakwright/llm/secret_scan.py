@@ -19,7 +19,7 @@ it by Adam on the likelihood, computed by the forward-backward algorithm.
 
 Defined cases: null text is empty and has no spans; a match whose value is too short is
 dropped and its characters are not searched again; the span of an assignment is its
-value; places are code points, ends exclusive; repeated rows are scanned alike; with no
+value, or its match from the trigger on with ``whole``; places are code points, ends exclusive; repeated rows are scanned alike; with no
 text to learn from nothing is added; an empty table gives an empty result; further columns
 are kept by ``redact`` whatever their names and ignored by ``scan_report``.
 """
@@ -71,11 +71,11 @@ N_FEATURES = int(_BASE[-1])
 _HIDDEN = (3, 4, 5, 6, 8, 10)
 
 
-def base_spans(raw: bytes, maybe_assigned: bool = True) -> list[Span]:
-    """Spans of the patterns in one text, by start and then kind."""
+def base_spans(raw: bytes, maybe_assigned: bool = True, whole: bool = False) -> list[Span]:
+    """Spans of the patterns in one text, by start and then kind; of an assignment its value, or its match if ``whole``."""
     found: list[Span] = []
     if maybe_assigned:
-        found += [("assign", *m.span(2)) for m in _ASSIGN.finditer(raw) if len(m[2]) >= ASSIGN_CHARS]
+        found += [("assign", *m.span(0 if whole else 2)) for m in _ASSIGN.finditer(raw) if len(m[2]) >= ASSIGN_CHARS]
     found += [("access", *m.span()) for m in _ACCESS.finditer(raw) if len(m[0]) >= ACCESS_CHARS]
     data = np.frombuffer(raw, dtype=np.uint8)
     edges = np.flatnonzero(np.diff(np.concatenate([[False], _HEX[data], [False]]).astype(np.int8)))
@@ -423,7 +423,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_t
 # ------------------------------------------------------------------ scans
 
 
-def scan_texts(column: pa.Array, field: Field | None) -> Iterator[tuple[list[Span], bytes, np.ndarray]]:
+def scan_texts(column: pa.Array, field: Field | None, whole: bool = False) -> Iterator[tuple[list[Span], bytes, np.ndarray]]:
     """Of each text, in order, its spans in code points by start and kind, its bytes, and the byte of each code point."""
     for at, end, data, offsets in text_slices(column):
         raw = data.tobytes()
@@ -433,15 +433,15 @@ def scan_texts(column: pa.Array, field: Field | None) -> Iterator[tuple[list[Spa
         for i, a, b in field.spans(data, offsets) if field else ():
             if b - a >= MIN_CHARS:
                 added.setdefault(i, []).append(("field", a - int(offsets[i]), b - int(offsets[i])))
-        whole = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
         for i in range(end - at):
             low = int(offsets[i])
             own = raw[low : int(offsets[i + 1])]
-            base = base_spans(own, bool(maybe[i]))
+            base = base_spans(own, bool(maybe[i]), whole)
             more = [s for s in added.get(i, ()) if all(s[2] <= a or s[1] >= b for _, a, b in base)]
-            point = lambda p: int(whole[low + p] - whole[low])
+            point = lambda p: int(points[low + p] - points[low])
             spans = [(kind, point(a), point(b)) for kind, a, b in sorted([*base, *more], key=_order)]
-            yield spans, own, whole
+            yield spans, own, points
 
 
 def _told(spans: list[Span]) -> str:
@@ -451,14 +451,17 @@ def _told(spans: list[Span]) -> str:
 _REPORT = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 
 
-def scan_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
-    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256 and spans, all as ``kind:start:end``."""
+def scan_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, **bounds: int) -> DataFrame:
+    """Per document: doc_id, n_assign, n_access, n_hex, base_sha256 and spans, all as ``kind:start:end``.
+
+    With ``whole`` the span of an assignment is its match, trigger included, in place of its value.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, **bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for spans, _, _ in scan_texts(batch.column("text"), shared.value):
+            for spans, _, _ in scan_texts(batch.column("text"), shared.value, whole):
                 base = [s for s in spans if s[0] != "field"]
                 rows.append((*(sum(k == s[0] for s in base) for k in KINDS[:3]), hashlib.sha256(_told(base).encode()).hexdigest(), _told(spans)))
             if rows:
