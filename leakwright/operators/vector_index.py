@@ -11,7 +11,13 @@ many there are.
 
 Two vectors at an angle a are parted by a split with a chance of about a / pi, so they share
 a leaf of one of t trees of depth d with ``1 - (1 - (1 - a / pi)^d)^t``; ``trees_for``
-takes the least t that reaches the recall asked for.  Equal vectors are one class first
+takes the least t that reaches the recall asked for.
+
+``indexed_pairs`` grows its trees in two parts, so that few copies of a vector are sent.  Trees
+over all rows end in ``CELLS`` cells, or in as many as keep a cell near ``CELL`` rows; a cell
+goes to one task, which splits it further by several trees of its own.  Up to ``CELLS * CELL`` distinct
+vectors the trees over all rows have one depth, hence one number for a threshold and a
+recall: what is sent is in proportion to the rows.  Equal vectors are one class first
 and enter the trees once; so copies fill no leaf.
 
 Defined cases: null ids and vectors are left out; rows with equal ids are one if their
@@ -23,11 +29,13 @@ from __future__ import annotations
 
 import math
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,13 +47,36 @@ SAMPLE, ROUND, MAX_ROUNDS = 4096, 6, 8
 BROADCAST_BYTES = 64 << 20
 #: Rows of a leaf that are compared with it at once.
 CHUNK = 1024
+#: Cells that the trees over all rows end in, at least, and rows of a cell beyond which there are more of them.
+CELLS, CELL = 32, 1 << 16
+#: The chance, at least, that the trees inside a cell find a pair that lies in it.
+CELL_RECALL = 0.9
 
 
 def trees_for(n: int, threshold: float, recall: float, leaf: int) -> int:
     """Trees that find pairs at ``threshold`` with a chance of ``recall``."""
+    return _times(_together(n, threshold, leaf), recall)
+
+
+def _together(n: int, threshold: float, leaf: int) -> float:
+    """The chance that a tree over n rows leaves a pair at ``threshold`` in one leaf."""
     depth = max(0, math.ceil(math.log2(max(1, n) / leaf)))
-    together = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** depth
-    return 1 if together > 1 - 1e-9 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - together)))
+    return (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** depth
+
+
+def _times(chance: float, recall: float) -> int:
+    return 1 if chance > 1 - 1e-9 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - chance)))
+
+
+def layout(n: int, threshold: float, recall: float, leaf: int) -> tuple[int, int, int]:
+    """``(trees, cell, inner)``: trees over all rows, rows of their cells, and trees inside a cell, which together reach ``recall``."""
+    cell = max(leaf, min(CELL, math.ceil(n / CELLS)))
+    if cell == leaf:
+        return trees_for(n, threshold, recall, leaf), leaf, 1
+    # A cell has up to twice its rows.
+    inner = trees_for(2 * cell, threshold, CELL_RECALL, leaf)
+    found = 1 - (1 - _together(2 * cell, threshold, leaf)) ** inner
+    return _times(_together(n, threshold, cell) * found, recall), cell, inner
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -170,26 +201,76 @@ def _placed(batch: pa.RecordBatch, tree: list, node: list, model_of, names: list
     return pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), batch.column(2), batch.column(3)], names=names)
 
 
-def indexed_neighbours(classes: DataFrame, k: int, threshold: float, trees: int, leaf: int = 512, seed: int = 42) -> DataFrame:
-    """``(src, dst, sim, place)``: of each distinct vector its k nearest that the forest finds, at ``threshold`` or above; ties by id."""
-    placed = forest(classes, trees, leaf, seed)
+def leaves(points: np.ndarray, leaf: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Ascending places of the points of each leaf of one tree over points that fit a task; leaves have ``2 * leaf`` points at most, or points that no split parts."""
+    levels = math.ceil(math.log2(len(points) / leaf)) if len(points) > 2 * leaf else 0
+    open_nodes = [(np.arange(len(points)), levels)]
+    while open_nodes:
+        own, left = open_nodes.pop()
+        right = None
+        if len(own) > (leaf if left > 0 else 2 * leaf):
+            for attempt in range(4):
+                one, two = points[rng.choice(own, 2, replace=False)]
+                direction = one - two if attempt < 2 and (one != two).any() else rng.normal(size=points.shape[1])
+                along = points[own] @ direction
+                right = along > np.median(along)
+                if right.any():
+                    break
+        if right is None or not right.any():
+            yield own
+        else:
+            open_nodes += [(own[right], left - 1), (own[~right], left - 1)]
+
+
+def _near(points: np.ndarray, own: np.ndarray, threshold: float, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(i, j, sim)`` of the k nearest of each point of a leaf among the others, at ``threshold`` or above; ties by place."""
+    inside = points[own]
+    for low in range(0, len(own), CHUNK):
+        sim = inside[low : low + CHUNK] @ inside.T
+        hit = sim >= threshold
+        each = np.arange(len(sim))
+        hit[each, low + each] = False
+        many = np.flatnonzero(hit.sum(1) > k)
+        if len(many):
+            best = np.argsort(np.where(hit[many], -sim[many], np.inf), axis=1, kind="stable")[:, :k]
+            hit[many] = False
+            hit[many[:, None], best] = True
+        i, j = np.nonzero(hit)
+        yield own[low + i], own[j], sim[i, j]
+
+
+def cell_neighbours(points: np.ndarray, k: int, threshold: float, inner: int, leaf: int, seed: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, sim)`` of the k nearest of each point that ``inner`` trees over the points of a cell find."""
+    found = [part for t in range(inner) for own in leaves(points, leaf, np.random.default_rng([*seed, t])) for part in _near(points, own, threshold, k)]
+    i, j, sim = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((-sim, j, i))
+    i, j, sim = i[order], j[order], sim[order]
+    new = np.ones(len(i), dtype=bool)
+    new[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    i, j, sim = i[new], j[new], sim[new]
+    order = np.lexsort((j, -sim, i))
+    i, j, sim = i[order], j[order], sim[order]
+    keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[keep], j[keep], sim[keep]
+
+
+def indexed_neighbours(classes: DataFrame, k: int, threshold: float, trees: int, leaf: int = 512, seed: int = 42, cell: int | None = None, inner: int = 1) -> DataFrame:
+    """``(src, dst, sim, place)``: of each distinct vector its k nearest that the forest finds, at ``threshold`` or above; ties by id.
+
+    The trees end in cells of about ``cell`` rows, each of which is split to ``leaf`` by ``inner`` trees in its task.
+    """
+    placed = forest(classes, trees, cell or leaf, seed)
     kind = classes.schema["rep"].dataType.simpleString()
 
-    def nearest(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rep", kind="stable")
-        ids = part["rep"].to_numpy()
-        points = _unit(np.stack(part["v"].map(np.asarray).to_list()).astype(np.float64))
-        found = []
-        for low in range(0, len(ids), CHUNK):
-            sim = points[low : low + CHUNK] @ points.T
-            sim[(sim < threshold) | (ids[low : low + CHUNK, None] == ids[None, :])] = -np.inf
-            best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-            value = np.take_along_axis(sim, best, 1)
-            i, j = np.nonzero(np.isfinite(value))
-            found.append(pd.DataFrame({"src": ids[low + i], "dst": ids[best[i, j]], "sim": value[i, j]}))
-        return pd.concat(found)
-
-    met = placed.groupBy("tree", "node").applyInPandas(nearest, f"src {kind}, dst {kind}, sim double")
+    def nearest(part: pa.Table) -> pa.Table:
+        order = pc.sort_indices(part["rep"])
+        ids = part["rep"].take(order)
+        points = _unit(_matrix(part["v"])[order.to_numpy()])
+        own = [seed, part["tree"][0].as_py(), zlib.crc32(part["node"][0].as_py().encode())]
+        i, j, sim = cell_neighbours(points, k, threshold, inner, leaf, own)
+        return pa.table({"src": ids.take(pa.array(i)), "dst": ids.take(pa.array(j)), "sim": sim})
+
+    met = placed.groupBy("tree", "node").applyInArrow(nearest, f"src {kind}, dst {kind}, sim double")
     pairs = met.groupBy("src", "dst").agg(F.max("sim").alias("sim"))
     order = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst"))
     return pairs.withColumn("place", order).where(F.col("place") <= k)
@@ -203,7 +284,8 @@ def indexed_pairs(vectors: DataFrame, id_col: str, vec_col: str, threshold: floa
     """
     classes, members = vector_classes(vectors, id_col, vec_col)
     n = classes.count()
-    near = indexed_neighbours(classes, k, threshold, trees or trees_for(n, threshold, recall, leaf), leaf, seed)
+    least, cell, inner = layout(n, threshold, recall, leaf)
+    near = indexed_neighbours(classes, k, threshold, trees or least, leaf, seed, cell, inner)
     found = near.groupBy(F.least("src", "dst").alias("id_a"), F.greatest("src", "dst").alias("id_b")).agg(F.round(F.max("sim"), 5).alias("cosine"))
     return found.withColumn("copy", F.lit(False)).unionByName(members.select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("cosine"), F.lit(True).alias("copy")))
 
