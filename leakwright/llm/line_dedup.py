@@ -20,6 +20,9 @@ has an ``n_lines`` or ``n_dropped`` itself, the count is named with a ``_`` afte
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ from leakwright.sources.shared_tables import stash
 BROADCAST_LINES, BROADCAST_TEXTS = 500_000, 100_000
 #: Tags of HTML that begin or end a line.
 BLOCK_TAGS = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|meta|nav|ol|p|script|section|style|table|td|th|title|tr|ul)(?:[ /][^>]*)?>"
-_BLANK = r"[ \t\x0B\f\r]"
+_BLANK = " \t\x0b\f\r"
 
 
 def host_of(url: Column) -> Column:
@@ -43,9 +46,10 @@ def html_lines(html: Column) -> Column:
     return F.regexp_replace(html, BLOCK_TAGS, "\n")
 
 
-def _bare(text: Column) -> Column:
-    """The text with each of its lines free of the white space around it."""
-    return F.regexp_replace(F.regexp_replace(text, f"{_BLANK}*\n{_BLANK}*", "\n"), f"^{_BLANK}+|{_BLANK}+$", "")
+def _bare(line: Column) -> Column:
+    """A line without the white space around it.  Most have none, which their first and last bytes tell."""
+    ends = reduce(or_, [at(blank) for blank in _BLANK for at in (line.startswith, line.endswith)])
+    return F.when(ends, F.trim(line, F.lit(_BLANK))).otherwise(line)
 
 
 def _site(site: Column) -> Column:
@@ -58,7 +62,8 @@ def _marks() -> list[Column]:
 
 def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
     """``(site, a, b)``: the hashes of the boilerplate lines of each site of ``(site, text)``, as a written table."""
-    lines = pages.select("site", F.explode(F.array_distinct(F.split(_bare(F.col("text")), "\n"))).alias("line")).where("line <> ''")
+    bare = F.transform(F.filter(F.split("text", "\n"), lambda line: line != ""), _bare)
+    lines = pages.select("site", F.explode(F.array_distinct(bare)).alias("line")).where("line <> ''")
     counts = lines.select("site", *_marks()).groupBy("site", "a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     totals = stash(pages.groupBy("site").agg(F.count("*").alias("pages")), "totals")
     return stash(counts.join(totals, "site").where(F.col("n") > F.col("pages") * F.lit(max_ratio)).select("site", "a", "b"), "boilerplate")
@@ -84,13 +89,15 @@ def drop_boilerplate(pages: DataFrame, site: Column | str = "source", text_col:
     found = boilerplate(slim, max_ratio, min_pages)
     # Texts go by two hashes of site and text: equal ones lose equal lines.
     name = [F.xxhash64("site", "text").alias("k1"), F.xxhash64(F.lit(1), "site", "text").alias("k2")]
-    lines = slim.select("site", *name, F.posexplode(F.split(_bare(F.col("text")), "\n")).alias("place", "line")).where("line <> ''")
-    hits = lines.select("site", "k1", "k2", "place", *_marks()).join(_sized(found, BROADCAST_LINES), ["site", "a", "b"], "left_semi")
+    lines = slim.select("site", *name, F.posexplode(F.split("text", "\n")).alias("place", "line")).where("line <> ''")
+    hits = lines.withColumn("line", _bare(F.col("line"))).select("site", "k1", "k2", "place", *_marks()).join(_sized(found, BROADCAST_LINES), ["site", "a", "b"], "left_semi")
     gone = stash(hits.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("place")).alias("gone")), "gone")
-    rows = pages.select(F.struct("*").alias("row"), site.alias("site"), text.alias("text")).select("row", "text", *name)
-    joined = rows.join(_sized(gone, BROADCAST_TEXTS), ["k1", "k2"], "left")
-    whole = F.split("text", "\n")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(without_places(whole, F.col("gone")), "\n"))
+    # Other columns travel by number, apart from those of this step; the text travels once.
+    others = {c: f"c{i}" for i, c in enumerate(pages.columns) if c != text_col}
+    rows = pages.select(F.struct("*").alias("row"), site.alias("site"), text.alias("text")).select(*(F.col("row").getField(c).alias(n) for c, n in others.items()), "text", *name)
+    # A text is split once, in a step of its own, for the lines that stay and for their number.
+    joined = rows.join(_sized(gone, BROADCAST_TEXTS), ["k1", "k2"], "left").withColumn("lines", F.split("text", "\n"))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(without_places(F.col("lines"), F.col("gone")), "\n"))
     n_lines, n_dropped = unused(pages.columns, "n_lines", "n_dropped")
-    rest = [kept.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in pages.columns]
-    return joined.select(*rest, F.when(F.col("text").isNull(), 0).otherwise(F.size(whole)).cast("long").alias(n_lines), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias(n_dropped))
+    rest = [F.col(others[c]).alias(c) if c in others else kept.alias(c) for c in pages.columns]
+    return joined.select(*rest, F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias(n_lines), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias(n_dropped))
